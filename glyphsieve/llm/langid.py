@@ -276,12 +276,15 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
 
 
 def sample(docs: DataFrame, text: str, label: str, rows: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows, the same for the same table: the least seeded hashes."""
+    """A bounded sample of labelled rows, the same for the same table: the least seeded hashes.
+
+    A first cut at a share of the hashes (four times what is wanted) keeps what tasks send to the driver bounded too."""
     t, y = docs[text], docs[label].cast("string")
     key = F.xxhash64(t, y, F.lit(seed))
+    share = min(1.0, 4 * rows / max(1, docs.count()))
     start = F.pmod(key, F.greatest(F.length(t) - chars, F.lit(1))).cast("int") + 1
     got = (
-        docs.filter(t.isNotNull() & y.isNotNull() & (F.length(t) > 0))
+        docs.filter(t.isNotNull() & y.isNotNull() & (F.length(t) > 0) & (F.pmod(F.xxhash64(t), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
         .select(F.xxhash64(t, F.lit(seed + 1)).alias("k"), t.substr(start, F.lit(chars)).alias("t"), y.alias("y"))
         .orderBy("k", "y", "t")
         .limit(rows)
