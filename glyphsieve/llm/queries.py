@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import langid, ngram_join
+from glyphsieve.llm import decontaminate, langid, ngram_join, pii
 from glyphsieve.llm.shared import read
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(read(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.detect_languages(docs, langid.fit(docs))
@@ -20,6 +28,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

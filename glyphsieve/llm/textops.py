@@ -133,3 +133,17 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and Latin-1 letters, in UTF-8, byte for byte."""
+    out = _LOWER[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    b = data[after]
+    after = after[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]
+    out[after] |= 0x20
+    return out
