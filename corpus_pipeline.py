@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphsieve.llm import langid
+from glyphsieve.llm import decontaminate, langid, mixing, ngram_join, pii
 from glyphsieve.llm.shared import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,9 +17,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.fit(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similar documents link: the one of the least id."""
+    return ngram_join.deduplicated(docs)
 
-#: The stages train a network, so SQL can't give the rows; tests hold each stage against a brute-force version.
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark occurs."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by the name of its kind; n_chars follows."""
+    return pii.masked_documents(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by epoch, in the proportions of the tree."""
+    return mixing.mixed(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("private_data", private_data),
+    ("source_mixing", source_mixing),
+]
+
+#: The first stage trains a network, so SQL can't give the rows; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

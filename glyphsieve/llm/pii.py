@@ -174,3 +174,11 @@ def private_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
 
 def masked(text: Column, min_score: float = MIN_SCORE) -> Column:
     return masker(min_score)(text)
+
+
+def masked_documents(docs: DataFrame, *, text: str = "text", size: str = "n_chars", min_score: float = MIN_SCORE) -> DataFrame:
+    """All rows and columns of docs with the text masked; a column that holds the text's length is renewed (null stays null)."""
+    out = docs.select(*(masked(docs[c], min_score).alias(c) if c == text else docs[c] for c in docs.columns))
+    if size not in docs.columns:
+        return out
+    return out.select(*(F.when(out[size].isNotNull(), F.length(out[text])).cast(docs.schema[size].dataType).alias(c) if c == size else out[c] for c in out.columns))
