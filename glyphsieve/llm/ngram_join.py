@@ -409,5 +409,6 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFram
     edges = found.select(F.lit(0).alias("k"), F.element_at("docs", 1).alias("a"), F.explode("docs").alias("b"))
     groups = components(written(edges))
     drop = written(groups.filter("node <> component").select(F.col("node").alias("drop")))
-    few = drop.count() <= options.get("broadcast_keys", BROADCAST_KEYS)
-    return docs.join(F.broadcast(drop) if few else drop, docs[key].cast("long") == F.col("drop"), "left_anti")
+    if drop.count() <= options.get("broadcast_keys", BROADCAST_KEYS):
+        drop = F.broadcast(drop)
+    return docs.join(drop, docs[key].cast("long") == drop["drop"], "left_anti")
