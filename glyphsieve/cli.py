@@ -17,6 +17,7 @@ from glyphsieve.plans import config as configs
 from glyphsieve.plans.planner import rule_counts, warnings
 from glyphsieve.plans.rules import RuleError, UnsupportedScopeError, virtual_rules
 from glyphsieve.sources import files as sources
+from glyphsieve.sources.tables import kept
 
 VERSION = "0.1.0"
 OK, FOUND, FAILED = 0, 1, 2
@@ -164,7 +165,7 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
 def _report(o: argparse.Namespace, found: DataFrame, files: DataFrame, use: tuple[str | None, DataFrame | None] | None, out: Callable[[str], None], say: Callable[[str], None], fixed: int = 0, converged: bool = True, refused: int = 0) -> int:
     path, scope = use or (None, None)
     spark = found.sparkSession
-    found = found.cache()
+    found = kept(found)
     accounted = stale = 0
     if path is not None and o.baseline_write:
         if refused:
@@ -186,7 +187,7 @@ def _report(o: argparse.Namespace, found: DataFrame, files: DataFrame, use: tupl
             stale = len(gone)
             if stale:
                 say(f"{report.plural(stale, 'entry') if stale == 1 else f'{stale} entries'} of the baseline have no finding any more")
-            found = parts.reported.cache()
+            found = kept(parts.reported)
     shown = ordered(found.drop("cp_offset"))
     if o.format == "json":
         out(report.json_report(shown, o.quiet))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.functions.chars import BOM
 from glyphsieve.functions.text import strip_bom
+from glyphsieve.sources.tables import kept
 
 MAX_PASSES = 10
 APPLIED = "file string, text string, fixed int, overlap int, stale int"
@@ -98,48 +98,35 @@ class Fixed:
     warnings: list[str] = field(default_factory=list)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows, from a table in the folder that the session checkpoints to; lineage ends there."""
-    spark = df.sparkSession
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        return df.cache()
-    path = f"{where.rstrip('/')}/fixes-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fix_to_fixpoint(files: DataFrame, scan: Callable[[DataFrame], DataFrame], *, hold: DataFrame | None = None, after_pass: Callable[[DataFrame], None] | None = None, max_passes: int = MAX_PASSES) -> Fixed:
     """Scans and fixes until nothing changes, nothing writable is left, or the passes run out.
 
     ``scan`` gives the findings of a table (file, text). Only files that a pass changed are scanned again. ``hold``
     (file) names files that are reported and not written."""
     texts = files.select("file", "text")
-    found = _kept(scan(texts))
+    found = kept(scan(texts))
     total, warnings, changed = 0, [], None
     converged = True
     for number in range(1, max_passes + 1):
         writable = found if hold is None else found.join(hold.select("file").distinct(), "file", "left_anti")
         if not writable.filter("replacement is not null").head(1):
             break
-        done = _kept(fixed_files(texts, writable))
+        done = kept(fixed_files(texts, writable))
         sums = done.agg(F.sum("fixed"), F.sum("stale")).first()
         if sums[1]:
             warnings.append(f"{sums[1]} finding(s) were not fixed, as the text there isn't what was scanned")
         new = done.join(texts.withColumnRenamed("text", "old"), "file").filter("text <> old").select("file", "text", "fixed")
-        new = _kept(new)
+        new = kept(new)
         count = new.agg(F.count("*"), F.sum("fixed")).first()
         if not count[0]:
             break
         total += count[1]
         changed = new.select("file") if changed is None else changed.union(new.select("file")).distinct()
         names = new.select("file")
-        texts = _kept(texts.join(names, "file", "left_anti").unionByName(new.select("file", "text")))
+        texts = kept(texts.join(names, "file", "left_anti").unionByName(new.select("file", "text")))
         if after_pass is not None:
             after_pass(new.select("file", "text"))
-        found = _kept(found.join(names, "file", "left_anti").unionByName(scan(new.select("file", "text"))))
+        found = kept(found.join(names, "file", "left_anti").unionByName(scan(new.select("file", "text"))))
         if number == max_passes:
             left = found if hold is None else found.join(hold.select("file").distinct(), "file", "left_anti")
             if left.filter("replacement is not null").head(1):
