@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.text import context, without_bom
+from glyphsieve.sources.tables import kept
 
 FILENAME = "glyphsieve-baseline.json"
 VERSION = 1
@@ -53,7 +54,7 @@ def split(findings: DataFrame, files: DataFrame, baseline: DataFrame, scope: Dat
     columns = findings.columns
     own = keyed(findings, files)
     twin = Window.partitionBy("file", "rule_id", "context", "ordinal")
-    own = own.withColumn("copy", F.row_number().over(twin.orderBy("offset")))
+    own = kept(own.withColumn("copy", F.row_number().over(twin.orderBy("offset"))))  # read three times
     known = baseline.select("file", "rule_id", "context", "ordinal", "pos").withColumn("copy", F.row_number().over(twin.orderBy("pos")))
     key = ["file", "rule_id", "context", "ordinal", "copy"]
     marked = own.join(known.select(*key, F.lit(True).alias("exact")), key, "left")

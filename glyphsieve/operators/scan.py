@@ -23,6 +23,8 @@ from glyphsieve.plans.planner import restricted, targeted
 from glyphsieve.plans.rules import Rule
 
 FINDINGS = "rule_id string, file string, line bigint, column bigint, end_column bigint, offset bigint, match string, message string, severity string, fixable boolean, replacement string"
+#: Matches that are folded into one array before it joins the others.
+BLOCK = 64
 COLUMNS = [c.split()[0] for c in FINDINGS.split(", ")]
 _ARROW = pa.schema([("rule_id", pa.string()), ("file", pa.string()), *((n, pa.int64()) for n in ("line", "column", "end_column", "offset")), *((n, pa.string()) for n in ("match", "message", "severity")), ("fixable", pa.bool_()), ("replacement", pa.string())])
 
@@ -67,23 +69,34 @@ def spans(text: Column, pattern: str, wide: Column) -> Column:
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
     sizes = F.transform(parts, lambda x: F.struct(x["match"].alias("match"), *measured(x["gap"], "gap"), *measured(x["match"], "match")))
     kind = "struct<offset:bigint,cp_offset:bigint,line:bigint,column:bigint,end_column:bigint,match:string>"
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    start = F.struct(zero.alias("at"), zero.alias("cp"), one.alias("line"), one.alias("column"), F.array().cast(f"array<{kind}>").alias("out"))
+    empty = F.array().cast(f"array<{kind}>")
+
+    def state(at: Column, cp: Column, line: Column, column: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), cp.alias("cp"), line.alias("line"), column.alias("column"), out.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         at, cp, line = a["at"] + x["gap_units"], a["cp"] + x["gap_points"], a["line"] + x["gap_breaks"]
         column = F.when(x["gap_breaks"] > 0, x["gap_tail"] + 1).otherwise(a["column"] + x["gap_units"])
         after = F.when(x["match_breaks"] > 0, x["match_tail"] + 1).otherwise(column + x["match_units"])
         found = F.struct(at.alias("offset"), cp.alias("cp_offset"), line.alias("line"), column.alias("column"), after.alias("end_column"), x["match"].alias("match"))
-        return F.struct(
-            (at + x["match_units"]).alias("at"),
-            (cp + x["match_points"]).alias("cp"),
-            (line + x["match_breaks"]).alias("line"),
-            after.alias("column"),
-            F.when(x["match"].isNull(), a["out"]).otherwise(F.array_append(a["out"], found)).alias("out"),
-        )
-
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+        return state(at + x["match_units"], cp + x["match_points"], line + x["match_breaks"], after, F.when(x["match"].isNull(), a["out"]).otherwise(F.array_append(a["out"], found)))
+
+    # an append copies its array, so matches are gathered in blocks, and blocks one behind the fold
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    def blocks(all_sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_sizes, i * BLOCK + 1, F.lit(BLOCK)))
+
+    start = F.struct(state(zero, zero, one, one, empty).alias("r"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+
+    def block(a: Column, part: Column) -> Column:
+        r = a["r"]
+        return F.struct(F.aggregate(part, state(r["at"], r["cp"], r["line"], r["column"], empty), step).alias("r"), F.array_append(a["outs"], r["out"]).alias("outs"))
+
+    def folded(all_sizes: Column) -> Column:
+        return F.aggregate(blocks(all_sizes), start, block, lambda a: F.flatten(F.array_append(a["outs"], a["r"]["out"])))
+
+    # the variable of a lambda is computed once, however often it is used
+    return F.element_at(F.transform(F.array(sizes), folded), 1)
 
 
 def _native(rows: DataFrame, rules: list[Rule], applies: dict[str, str]) -> DataFrame:
