@@ -18,8 +18,8 @@ find no other passage of that length.)
 
 Result: (key, start, end, windows, copies, first): a span of characters of the
 text, how many of its windows are repeated, in how many places the most frequent
-one stands, and whether all its windows stand here for the first time (in order of
-key and position). Dropping all but the first ones leaves one copy of everything.
+one stands, and whether any of its windows stands here for the first time (in order
+of key and position). Dropping the spans where none does leaves a copy of everything.
 
 Defined results:
 
@@ -308,7 +308,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (start[1:] > end[:-1])
     cut = np.flatnonzero(new)
     n = np.diff(np.append(cut, len(k)))
-    out = (k[cut], start[cut], end[np.append(cut[1:], len(k)) - 1], n.astype(np.int32), np.maximum.reduceat(copies, cut), np.logical_and.reduceat(first, cut))
+    out = (k[cut], start[cut], end[np.append(cut[1:], len(k)) - 1], n.astype(np.int32), np.maximum.reduceat(copies, cut), np.logical_or.reduceat(first, cut))
     for i in range(0, len(cut), 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in out], ["k", "start", "end", "windows", "copies", "first"])
 
