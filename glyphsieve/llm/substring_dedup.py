@@ -48,8 +48,8 @@ DEPTH = 2
 #: Counters in each row of the sketch that a task merges. Tasks grow with the input.
 WIDTH = 1 << 24
 CHUNK = 1 << 20
-#: Up to so many marked texts are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Up to so many bytes of marks are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 M40 = U64((1 << 40) - 1)
 _MUL = U64(0x9FB21C651E98DF25)
 
@@ -279,7 +279,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[p], x[p], start[p], end[p], copies[p].astype(np.int32), new[p])], ["k", "t", "start", "end", "copies", "first"])
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, step: int = STEP, depth: int = DEPTH, width: int = WIDTH, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, step: int = STEP, depth: int = DEPTH, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, start, end, windows, copies, first): see the module."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -287,7 +287,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sent = texts.mapInArrow(_sketched(tasks, words, step), SENT_DDL)
     back = sent.repartitionById(tasks, F.col("r")).mapInArrow(_merged(depth, width), SENT_DDL)
     marks = written(back.repartition(tasks, "chunk").mapInArrow(_marks, "k long, t long, bits binary").dropDuplicates(["k", "t"]))
-    few = marks.count() <= broadcast_keys
+    few = (marks.agg(F.sum(F.length("bits") + 48)).first()[0] or 0) <= broadcast_bytes
     marked = texts.join(F.broadcast(marks) if few else marks, ["k", "t"])
     windows = marked.mapInArrow(_repeated(words, step), WINDOWS)
     places = windows.repartition(tasks, "h").mapInArrow(_grouped, PLACES)

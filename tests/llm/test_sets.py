@@ -141,7 +141,7 @@ def test_repeated_spans(docs_of, rng):
 def test_collisions_lose_nothing(docs_of, rng):
     df = docs_of(passages(rng)[0])
     plain = {tuple(r) for r in substring_dedup.repeated_spans(df).collect()}
-    assert plain == {tuple(r) for r in substring_dedup.repeated_spans(df, width=64, depth=1, broadcast_keys=0).collect()}
+    assert plain == {tuple(r) for r in substring_dedup.repeated_spans(df, width=64, depth=1, broadcast_bytes=0).collect()}
 
 
 def test_every_long_shared_passage_has_a_window(rng):
