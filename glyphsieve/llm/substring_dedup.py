@@ -1,11 +1,10 @@
 """Substring dedup with a count-min prefilter.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, case folded.
-The windows of ``words`` words whose hash is the least of ``step`` neighbouring
-windows are looked at. Which ones they are depends on their words alone, so every
-passage of ``words + step - 1`` words that stands in two places has a window that
-is looked at in both. (All of a text's windows would cost six times as much and
-find no other passage of that length.)
+Every window of ``words`` words is looked at, so every passage of so many words that
+stands in two places is found, from its first word to its last. (With a ``step`` over
+1 only the windows whose hash is the least of ``step`` neighbouring ones are: passages
+of fewer than ``words + step - 1`` words may be lost and spans may be short.)
 
 1. Each partition makes count-min sketches of its windows: ``depth`` rows of
    counters. They are sparse, so they travel as the cells that aren't zero, in
@@ -43,7 +42,7 @@ from glyphsieve.llm.shared import written
 from glyphsieve.llm.textops import U64, buffers, char_index, fold, mix, slices, span_hashes, words
 
 WORDS = 40
-STEP = 11
+STEP = 1
 DEPTH = 2
 #: Counters in each row of the sketch that a task merges. Tasks grow with the input.
 WIDTH = 1 << 24
@@ -71,8 +70,8 @@ def window_hashes(word: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def minima(hashes: np.ndarray, row: np.ndarray, step: int) -> np.ndarray:
     """Indices of the hashes that are least among some ``step`` neighbours of their row (or all, if it has fewer); the first of equal ones."""
     n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
+    if n == 0 or step == 1:
+        return np.arange(n)
     best = np.arange(n)
     reach = 1
 

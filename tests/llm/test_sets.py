@@ -163,3 +163,31 @@ def test_estimates_are_never_too_low():
         got = substring_dedup.estimates(values, 2, width)
         assert all(g >= true[v] for g, v in zip(got.tolist(), values.tolist(), strict=True))
     assert (substring_dedup.estimates(values, 2, 1 << 20) == [true[v] for v in values.tolist()]).all()
+
+
+def spans_of_all_windows(rows, n):
+    """Spans from every window of n words, compared word by word."""
+    places = defaultdict(list)
+    for key, text in rows:
+        word = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
+        for i in range(len(word) - n + 1):
+            places[tuple(w for *_, w in word[i : i + n])].append((key, word[i][0], word[i + n - 1][1]))
+    out: list[list] = []
+    for key, start, end, copies in sorted((*x, len(v)) for v in places.values() if len(v) > 1 for x in v):
+        if out and out[-1][0] == key and start <= out[-1][2]:
+            out[-1][2:] = [end, out[-1][3] + 1, max(out[-1][4], copies)]
+        else:
+            out.append([key, start, end, 1, copies])
+    return {tuple(x) for x in out}
+
+
+def test_every_repeated_window_is_in_a_span(docs_of, rng):
+    n = 40
+    rows = []
+    for length in range(n - 1, n + 12):
+        passage = words(rng, length)
+        rows += [(len(rows), f"{words(rng, 30)} {passage} {words(rng, 20)}"), (len(rows) + 1, f"{words(rng, 7)}, {passage.upper()}. {words(rng, 60)}")]
+    df = docs_of(rows, odd=False)
+    got = {(r.doc_id, r.start, r.end, r.windows, r.copies) for r in substring_dedup.repeated_spans(df).collect()}
+    assert len(got) == 24
+    assert got == spans_of_all_windows(rows, n)
