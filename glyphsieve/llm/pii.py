@@ -11,7 +11,9 @@ Defined results:
 * null and empty texts have no spans; a null stays null when masked;
 * of overlapping spans the one with the higher score stays, then the longer, then
   the first, then the kind that sorts first;
-* positions are characters of the text; repeated rows each get their spans.
+* positions are characters of the text; repeated rows each get their spans;
+* a value behind a key's name runs to the closing quote or the next blank, however
+  long; signs (& % $ # *) at the end of one without quotes don't belong to it.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ KINDS = (
     Kind("PHONE", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])", re.A), 0.65, None, _any("tel|telephone|telefon|telefono|phone|call|mobile|cell|fax|ring|anrufen|appelez"), _any("isbn|order|invoice|serial|version")),
     Kind("IPV4", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A), 0.6, ipv4, _any("ip|address|host|server|client|login|from"), _any("version|release|section|build|v")),
     Kind("SSN", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), 0.5, ssn, _any("ssn|social|security")),
-    Kind("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'&%$#*]{8,200}[\"']?"), 0.8, None, _any("key|token|secret|password|credential|aws")),
+    Kind("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,3}[=:]\s{0,3}(?:\"[^\s\"]{8,}\"|'[^\s']{8,}'|[\"']?(?:[^\s\"']|[\"'](?=\w)){7,}[^\s\"'&%$#*][\"']?)"), 0.8, None, _any("key|token|secret|password|credential|aws")),
 )
 
 #: A span of any kind holds one of these bytes, or the letters of a key's mark.

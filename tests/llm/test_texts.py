@@ -118,6 +118,23 @@ def test_private_data(docs_of):
     assert rows[1].n_chars == len(rows[1].text)
 
 
+@pytest.mark.parametrize(
+    ("text", "rest"),
+    [
+        ("token=" + "eyJhbGci.Oi_J-" * 40 + " next", "[SECRET] next"),
+        ("password=Pa$$word123 next", "[SECRET] next"),
+        ("pwd: longer-than-8&and#more*signs%in$it. Next", "[SECRET] Next"),
+        ("secret = abcdefgh1### next &&&", "[SECRET]### next &&&"),
+        ("api_key='abc$defgh&&' next", "[SECRET] next"),
+        ("{'a': 'token=abcdefgh1'}", "{'a': '[SECRET]}"),
+        ("password=ab'cd\"efghij next", "[SECRET] next"),
+        ("token: ### $$$ &&&&&&&&&& next", "token: ### $$$ &&&&&&&&&& next"),
+    ],
+)
+def test_whole_values_are_masked(spark, text, rest):
+    assert pii.masked_documents(spark.createDataFrame([(text,)], "text string")).first().text == rest
+
+
 def test_context_decides():
     plain = [s for s in pii.find("123-45-6789") if s[2] == "SSN"][0]
     near = [s for s in pii.find("my social security number is 123-45-6789") if s[2] == "SSN"][0]
