@@ -9,9 +9,18 @@ A text is cut into segments of ``SEGMENT`` bytes which run side by side as the
 columns of one matrix; each direction is warmed up on ``CONTEXT`` bytes before
 its segment. All bytes of all texts are labelled.
 
+Softmax knows no 'none of these', and the best of K is 1/K at least. So a text is
+accepted only if it also reads like the training texts: the mean log-probability of
+its trigrams (letters folded, all else a space; of the languages the one that makes a
+trigram likeliest) must reach a floor. It lies halfway between held-out pieces of the
+training texts and the same with their letters scrambled, or ``SLACK`` below the
+lowest held-out pieces (2 %) if that is less. It doesn't depend on K.
+
 Defined results:
 
 * null or empty text: language null, confidence 0.0, no spans, not accepted;
+* a text without a letter (junk, signs, numbers) isn't accepted by a model;
+* languages with less than two pieces of ``PIECE`` bytes to learn from set no floor;
 * no row with a declared language to train on: language null, confidence 0.0,
   accepted (nothing can be rejected without a model);
 * one declared language only: that language with confidence 1.0;
@@ -28,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphsieve.llm.textops import buffers, lists, slices
+from glyphsieve.llm.textops import buffers, fold, lists, slices
 
 HIDDEN = 8
 SEGMENT = 256
 CONTEXT = 32
+#: Of the floor under which no text is accepted: bytes of a held-out piece, natural logarithms below the lowest of them, and what short texts are given over the root of their trigrams.
+PIECE, SLACK, SHORT = 200, 2.0, 6.0
 SCHEMA = (
     "language string, confidence double, accepted boolean, probabilities array<float>, "
     "spans array<struct<start:int,end:int,language:string>>"
@@ -125,6 +136,59 @@ def loss_and_gradient(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dic
     return float(-np.log(np.maximum(at, 1e-12)).mean()), grad
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(97, 123), *range(128, 256)]] = True
+
+
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit hash, row) of the trigrams around each letter byte; runs of other bytes are one space."""
+    low = fold(data)
+    low = np.insert(np.where(_LETTER[low], low, np.uint8(32)), offsets, np.uint8(32))
+    keep = np.ones(len(low), dtype=bool)
+    keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
+    d = low[keep].astype(np.uint32)
+    at = np.flatnonzero(d[1:-1] != 32) + 1
+    h = d[at - 1] * np.uint32(0x9E3779B1) ^ d[at] * np.uint32(0x85EBCA77) ^ d[at + 1] * np.uint32(0xC2B2AE3D)
+    where = np.flatnonzero(keep)[at]  # offsets[i] + i is the space before row i
+    return (h >> np.uint32(7)) & np.uint32(0xFFFF), np.searchsorted(offsets + np.arange(len(offsets)), where) - 1
+
+
+def _likelihood(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * counts.shape[1])).max(0).astype(np.float32)
+
+
+def familiarity(known: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean log-probability, number) of each row's trigrams."""
+    h, row = trigrams(data, offsets)
+    n = np.bincount(row, minlength=len(offsets) - 1)
+    return np.bincount(row, known[h], minlength=len(n)) / np.maximum(n, 1), n
+
+
+def _known(by: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """(log-probability of each trigram, floor) from the bytes of each language. Pieces are judged by the other half of them."""
+
+    def count(parts: list[np.ndarray]) -> np.ndarray:
+        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return np.bincount(trigrams(data, np.cumsum([0, *map(len, parts)]))[0], minlength=1 << 16)
+
+    pieces = [[b[i : i + PIECE] for i in range(0, len(b) - PIECE + 1, PIECE)] for b in by]
+    floors = []
+    half = [np.stack([count(x[k::2]) for x in pieces]) for k in (0, 1)]
+    for x in pieces:
+        true, mixed = [], []
+        for k in (0, 1):
+            if (own := x[k::2]) and len(x) > 1:
+                known, ends = _likelihood(half[1 - k]), np.arange(len(own) + 1) * PIECE
+                true.append(familiarity(known, np.concatenate(own), ends)[0])
+                mixed.append(familiarity(known, np.concatenate([rng.permutation(o) for o in own]), ends)[0])
+        if true:
+            true, mixed = np.concatenate(true), np.concatenate(mixed)
+            floors.append(min((np.median(true) + np.median(mixed)) / 2, np.quantile(true, 0.02) - SLACK))
+        else:
+            floors.append(-np.inf)
+    return _likelihood(np.stack([count([b]) for b in by])), float(min(floors))
+
+
 def train(texts: list[str], labels: list[str], *, hidden: int = HIDDEN, steps: int = 160, batch: int = 256, length: int = 48, seed: int = 7) -> dict | None:
     """A model, or None without a labelled text that isn't empty."""
     pairs = [(t.encode(), y) for t, y in zip(texts, labels, strict=True) if t and y is not None]
@@ -133,6 +197,7 @@ def train(texts: list[str], labels: list[str], *, hidden: int = HIDDEN, steps: i
     names = sorted({y for _, y in pairs})
     rng = np.random.default_rng(seed)
     by = [b"\n".join(t for t, y in pairs if y == name) for name in names]
+    known, floor = _known([np.frombuffer(b, np.uint8) for b in by], np.random.default_rng(seed))
     by = [np.frombuffer(b * (length // max(1, len(b)) + 1), np.uint8) for b in by]
     p = init(len(names), hidden, rng)
     if len(names) > 1:
@@ -148,7 +213,7 @@ def train(texts: list[str], labels: list[str], *, hidden: int = HIDDEN, steps: i
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
                 p[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-    return {"names": names, **p}
+    return {"names": names, "known": known, "floor": floor, **p}
 
 
 class Network:
@@ -159,6 +224,7 @@ class Network:
         half = np.ones((3 * H, 1), np.float32)
         half[: 2 * H] = 0.5
         self.hidden, self.bias = H, model["o"]
+        self.known, self.floor = model["known"], model["floor"]
         self.table = {d: np.ascontiguousarray(model[d + "W"] * half) for d in "fb"}
         self.cross = {d: np.ascontiguousarray(model[d + "U"] * half) for d in "fb"}
         self.shift = {d: model[d + "c"] for d in "fb"}
@@ -190,6 +256,11 @@ class Network:
                 np.matmul(O, h, out=part)
                 logits[steps[t - skip]] += part
 
+    def familiar(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each row has letters and reads like the training texts."""
+        mean, n = familiarity(self.known, data, offsets)
+        return (n > 0) & (mean >= self.floor - SHORT / np.sqrt(np.maximum(n, 1)))
+
     def label(self, data: np.ndarray, offsets: np.ndarray, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(label of each byte, mean probabilities of each row)."""
         K, rows = len(self.names), len(offsets) - 1
@@ -251,11 +322,12 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
             fields=list(ARROW),
         )
     names, K = pa.array(network.names, pa.string()), len(network.names)
-    probs, runs = [], []
+    probs, runs, familiar = [], [], []
     for i, j in slices(offsets, 2 << 20):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         labels, pooled = network.label(part, own)
         probs.append(pooled)
+        familiar.append(network.familiar(part, own))
         row, start, end, lab = spans_of(labels, part, own)
         runs.append((row + i, start, end, lab))
     prob = np.concatenate(probs) if probs else np.zeros((0, K))
@@ -267,7 +339,7 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
         [
             names.take(pa.array(best.astype(np.int32), mask=empty)),
             pa.array(confidence),
-            pa.array(confidence >= min_confidence),
+            pa.array((confidence >= min_confidence) & (np.concatenate(familiar) if familiar else False) & ~empty),
             lists(pa.array(prob.ravel().astype(np.float32)), np.full(n, K)),
             lists(spans, np.bincount(row, minlength=n)),
         ],
@@ -299,7 +371,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_rows
 
 
 def detector(model: dict | None, min_confidence: float = 0.4):
-    """An Arrow UDF from a text to a struct of SCHEMA. accepted: the confidence reaches min_confidence."""
+    """An Arrow UDF from a text to a struct of SCHEMA. accepted: the confidence reaches min_confidence and the text reads like those of the training."""
 
     @F.arrow_udf(SCHEMA)
     def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from glyphsieve.llm import decontaminate, langid, pii, queries, winnow
@@ -181,6 +182,21 @@ def test_language_edge_cases(docs_of, empty, rng):
     assert langid.accepted(df, langid.fit(df, steps=40)).columns == df.columns
 
 
+def test_what_is_in_no_declared_language_is_rejected(rng):
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["text"] and r["lang"]]
+    unseen = ["широкая электрификация южных губерний даст мощный толчок подъёму", "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。"]
+    junk = ["#### $$$ &&& ;; ;; -- == " * 10, "12 4 8829 - 17", "".join(chr(rng.randint(33, 126)) for _ in range(400)), "".join(rng.sample(rows[0]["text"] * 3, 300))]
+    for names in (["en"], ["en", "de"], ["de", "en", "es", "fr"]):
+        own = [r for r in rows if r["lang"] in names]
+        model = langid.train([r["text"][:600] for r in own[::2]], [r["lang"] for r in own[::2]], steps=80)
+        found = langid._result(langid.Network(model), pa.array([*unseen, *junk, *(r["text"] for r in own[1::2])]), 0.4).to_pylist()
+        assert not any(f["accepted"] for f in found[: len(unseen) + len(junk)])
+        assert np.mean([f["accepted"] for f in found[len(unseen) + len(junk) :]]) > 0.95
+        if len(names) < 4:
+            others = [r["text"] for r in rows if r["lang"] not in names and len(r["text"]) > 100]
+            assert np.mean([f["accepted"] for f in langid._result(langid.Network(model), pa.array(others), 0.4).to_pylist()]) < 0.1
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, SF)
