@@ -39,7 +39,7 @@ SCHEMA = "text string, title string, blocks int, kept int"
 ARROW = pa.struct([("text", pa.string()), ("title", pa.string()), ("blocks", pa.int32()), ("kept", pa.int32())])
 SMOOTH = 0.6
 NEAR = 0.4
-#: How many blocks ahead the tree is looked at, and up to which distance in it an edge is made.
+#: How many blocks ahead all are looked at, and up to which distance in the tree an edge is made. Further ahead the next near block below each ancestor gets one.
 AHEAD, DISTANCE = 4, 4
 SCALE = 1000
 
@@ -267,8 +267,12 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 
 
 def edges_of(blocks: list[Block], smooth: float, near: float) -> list[tuple[int, int, int]]:
-    """Edges of neighbours, and of blocks near in the tree: the fewer steps apart, the dearer to separate."""
+    """Edges of neighbours, and of blocks near in the tree: the fewer steps apart, the dearer to separate.
+
+    However many blocks stand between, each block is joined to the last one before it in each place of the
+    tree (so many steps up, so many down) within DISTANCE; that is linear in the blocks."""
     out: dict[tuple[int, int], float] = {}
+    last: dict[tuple[tuple[int, ...], int], int] = {}
     for i, one in enumerate(blocks):
         a = one.path
         for j in range(i + 1, min(len(blocks), i + 1 + AHEAD)):
@@ -282,6 +286,17 @@ def edges_of(blocks: list[Block], smooth: float, near: float) -> list[tuple[int,
                 weight += near / (1 + steps)
             if weight:
                 out[i, j] = weight
+        for up in range(min(DISTANCE, len(a)) + 1):
+            top = a[: len(a) - up]
+            for down in range(DISTANCE + 1 - up):
+                h = last.get((top, down))
+                if h is not None and i - h >= AHEAD and (h, i) not in out:
+                    b, same = blocks[h].path, len(top)
+                    while same < min(len(a), len(b)) and a[same] == b[same]:
+                        same += 1
+                    out[h, i] = near / (1 + len(a) + len(b) - 2 * same)
+        for up in range(min(DISTANCE, len(a)) + 1):
+            last[a[: len(a) - up], up] = i
     return [(i, j, int(w * SCALE)) for (i, j), w in out.items()]
 
 

@@ -175,6 +175,44 @@ def test_min_cut_against_all_labellings(rng):
 PAGE = "<html><head><title>A &amp; b</title><script>var t='</p>'</script><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class=ad>Buy now</div>{0}<footer>&copy; someone</footer>"
 
 
+def test_siblings_with_much_between_are_joined():
+    html = "<article><p>first one</p><ul>" + "".join(f"<li><div><div><div>item {i}</div></div></div></li>" for i in range(9)) + "</ul><p>second one</p></article>"
+    blocks, _ = html_extract.blocks_of(html)
+    a, b = (next(i for i, x in enumerate(blocks) if x.text == t) for t in ("first one", "second one"))
+    assert b - a == 10
+    weights = {(i, j): w for i, j, w in html_extract.edges_of(blocks, 0.6, 0.4)}
+    assert weights[a, b] == int(0.4 / 3 * html_extract.SCALE)
+    flat, _ = html_extract.blocks_of("<div>" + "".join(f"<p>block {i}</p>" for i in range(300)) + "</div>")
+    assert len(html_extract.edges_of(flat, 0.6, 0.4)) < 10 * len(flat)
+
+
+def test_near_blocks_are_linked_by_near_edges(rng):
+    for _ in range(30):
+        parts, depth = [], 0
+        for i in range(40):
+            move = rng.choice((-1, 0, 0, 1))
+            if move > 0:
+                parts.append("<div>")
+                depth += 1
+            elif move < 0 and depth:
+                parts.append("</div>")
+                depth -= 1
+            parts.append(f"<p>block {i}</p>")
+        blocks, _ = html_extract.blocks_of("".join(parts))
+
+        def steps(i, j, blocks=blocks):
+            a, b = blocks[i].path, blocks[j].path
+            same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            return len(a) + len(b) - 2 * same
+
+        edges = {(i, j): w for i, j, w in html_extract.edges_of(blocks, 0, 0.4)}
+        assert all(w == int(0.4 / (1 + steps(i, j)) * html_extract.SCALE) and steps(i, j) <= html_extract.DISTANCE for (i, j), w in edges.items())
+        for j in range(len(blocks)):
+            for i in range(j):
+                if blocks[i].path[:-1] == blocks[j].path[:-1] and not any(blocks[m].path[:-1] == blocks[j].path[:-1] for m in range(i + 1, j)):
+                    assert (i, j) in edges
+
+
 def test_extraction(spark, rng):
     body = "".join(f"<p>{words(rng, 40)}, {words(rng, 30)}. {words(rng, 20)}.</p>" for _ in range(4))
     tagged = [PAGE.format(f"<article><h1>{words(rng, 5)}</h1>{body}</article>") for _ in range(20)]
