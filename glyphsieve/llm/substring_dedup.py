@@ -6,11 +6,12 @@ stands in two places is found, from its first word to its last. (With a ``step``
 1 only the windows whose hash is the least of ``step`` neighbouring ones are: passages
 of fewer than ``words + step - 1`` words may be lost and spans may be short.)
 
-1. Each partition makes count-min sketches of its windows: ``depth`` rows of
-   counters. They are sparse, so they travel as the cells that aren't zero, in
-   shares by hash; a task merges the sketches of its share by adding them. What it
-   sends back says which windows may be repeated. Collisions only add to a count,
-   so no repeated window is lost.
+1. Each partition sends 40 bits of the hash of every window occurrence to a task by
+   hash; repeats aren't added up before. There the counters are made: count-min,
+   ``depth`` rows of them, from the hashes of all partitions. So no sketches of
+   partitions are merged, and what travels grows with the windows, not with a
+   sketch's size. What the task sends back says which windows may be repeated.
+   Collisions only add to a count, so no repeated window is lost.
 2. Only windows estimated repeated are read again. They are grouped exactly, by
    128 bits of hash, and those found once after all are dropped.
 3. The windows of a text that overlap become one span.
@@ -44,7 +45,7 @@ from glyphsieve.llm.textops import U64, buffers, char_index, fold, mix, slices,
 WORDS = 40
 STEP = 1
 DEPTH = 2
-#: Counters in each row of the sketch that a task merges. Tasks grow with the input.
+#: Counters in each row of the sketch that a task makes. Tasks grow with the input.
 WIDTH = 1 << 24
 CHUNK = 1 << 20
 #: Up to so many bytes of marks are broadcast; more are joined by a shuffle.
@@ -123,7 +124,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sketched(tasks: int, n: int, step: int):
-    """A chunk's sparse sketch by share: the windows' places in the chunk and 40 bits that give their cells.
+    """A chunk's windows by share: their places in the chunk and 40 bits of hash that give their cells.
 
     The keys, hashes and window counts of the texts go along once, with the first share."""
 
@@ -183,7 +184,7 @@ def estimates(residual: np.ndarray, depth: int, width: int) -> np.ndarray:
 
 
 def _merged(depth: int, width: int):
-    """Sketches of a share, merged: for each chunk the places of windows that may be repeated."""
+    """The sketch of a share, from the hashes of all chunks: for each chunk the places of windows that may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
