@@ -9,55 +9,61 @@ rare grams first and break ties by different hashes.
 
 How it runs, each step over all rows that the one before left:
 
-1. The grams of all texts are counted exactly: they go, packed, to tasks by hash,
-   and only the positions of those found in two texts come back. A text with
-   fewer than ``ceil(threshold * n)`` such grams has no partner.
-2. Equal sets become one set with a list of its keys.
-3. Counts over what is left give the orders. In each, the texts that share a gram
-   of their prefixes are linked; candidates lie in the same component in every
-   order (the intersection), so only such cells of texts meet again.
+1. The grams of all texts are counted. A task gathers chunks of texts. A gram that two
+   sets of a chunk have is known to be shared there and then: it is sent on once,
+   however often the chunk has it. Of the others only the places of those found
+   elsewhere too come back. A text with fewer than ``ceil(threshold * n)`` shared grams
+   has no partner.
+2. Equal sets become one set. The table of keys by set holds numbers only.
+3. Counts over what is left, added up by chunk before they are sent, give the orders.
+   In each, the sets that share a gram of their prefixes are linked, in the chunk
+   first; from a chunk one entry for each gram goes on. Candidates lie in the same
+   component in every order (the intersection), so only such cells of sets meet again.
 4. Cells meet in blocks of bounded size, every two blocks of a cell in a task of
    their own. There the prefixes are compared pair by pair under each order, and
-   pairs that pass them all are verified by their exact overlap.
+   pairs that pass them all are verified by their exact overlap. A block gives each
+   set's number of links and a few edges that span its groups, not the pairs.
 
-Work grows with the texts and with the similar pairs, never with the pairs that
-share some frequent passage. No partner is left out.
+No partner is left out. No task gets more of a gram, however frequent, than one entry
+for each chunk. What a cell of sets that are all alike costs is the number of its pairs.
 
-Result: rows (docs array<bigint>, jaccard double). A row with jaccard 1.0 holds
-all keys with one and the same set. Other rows hold two keys, the least ones of
-two different sets, whose coefficient reaches the threshold: it holds for every
-key of the one with every key of the other.
+Result: a row (doc_id, class_id, copies, links) for each key that has a partner.
+class_id is the least key of the group that links connect it with; copies, how many
+other keys have an equal set; links, how many different sets reach the threshold with
+its own.
 
 Defined results:
 
 * a null key, and a text that is null or has no word, is in no row;
-* a text of fewer than n words is the set of one gram, all its words;
-* repeated rows count once: a key is never paired with itself; a key that comes
-  with two texts stands for both of its sets;
-* other columns are not read; empty tables give an empty result.
+* a text of fewer than n words is the set of one gram, all its words; a very long text
+  is one set as any other;
+* repeated rows count once: a key is never its own copy; a key that comes with two
+  texts stands for both of its sets, which may link to each other, and its copies and
+  links are those of both together;
+* other columns are not read, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.graph import components, local_components
-from glyphsieve.llm.shared import written
+from glyphsieve.llm.shared import small, written
 from glyphsieve.llm.textops import U64, buffers, mix, slices, span_hashes, word_ngrams, words
 
 N = 3
 THRESHOLD = 0.6
 ORDERS = 3
-#: Grams that a task gathers before it sends them on.
-CHUNK = 1 << 21
-#: Up to so many keys are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Grams that a task gathers before it sends them on, and those of a chunk of sets.
+CHUNK, CHUNK_SETS = 1 << 21, 1 << 20
+#: Tables of keys are broadcast up to so many bytes (as counted by ``small``); larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 BLOCK_GRAMS, BLOCK_TEXTS = 1_000_000, 1000
 M48 = U64((1 << 48) - 1)
 
@@ -113,30 +119,55 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield (key >> U64(48)).astype(np.int64) + i, key & M48, i, j
 
 
-SENT = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("steps", pa.binary()), ("grams", pa.binary())])
-SENT_DDL = "r int, chunk long, ids binary, n binary, steps binary, grams binary"
+SENT = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("known", pa.binary()), ("steps", pa.binary()), ("grams", pa.binary()), ("often", pa.binary())])
+SENT_DDL = "r int, chunk long, ids binary, n binary, known binary, steps binary, grams binary, often binary"
 
 
-def _send(ids: np.ndarray, row: np.ndarray, gram: np.ndarray, tasks: int, width: int) -> Iterator[pa.RecordBatch]:
-    """A chunk of sets by target task. The keys go along once, with the first target."""
-    n = np.bincount(row, minlength=len(ids))
-    chunk = int(mix(np.array([len(ids), *ids[:: max(1, len(ids) // 64)], *n[:64]], dtype=np.int64).view(U64)).sum().astype(np.int64))
-    mixed = mix(gram)
+def _batches(rows: list[tuple], schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + most], strict=True), schema, strict=True)], schema=schema)
+
+
+def _targets(mixed: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by target task, where each target's run is cut, the targets of the runs)."""
     target = (((mixed & U64(0xFFFFFF)) * U64(tasks)) >> U64(24)).astype(np.int64)
     order = np.argsort(target.astype(np.uint16) if tasks <= 1 << 16 else target, kind="stable")
-    target, row = target[order], row[order]
-    value = (mixed >> U64(24) if width == 5 else gram)[order]
+    target = target[order]
     cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True]) if len(target) else np.zeros(1, np.int64)
-    out = []
-    for s, e in zip(cut[:-1], cut[1:], strict=True):
-        first = s == 0
-        out.append((int(target[s]), chunk, _planes(ids) if first else None, _planes(n) if first else None, _steps(row[s:e]), _pack(value[s:e], width)))
-    for i in range(0, len(out), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 64], strict=True), SENT, strict=True)], schema=SENT)
+    return order, cut, target[cut[:-1]]
+
 
+def _send(chunk: int, ids: np.ndarray, row: np.ndarray, gram: np.ndarray, tasks: int) -> Iterator[pa.RecordBatch]:
+    """A chunk of sets by target task: places and hashes of the grams that one set has, hashes of those that more have.
 
-def _send_texts(n: int, tasks: int):
+    The keys, sizes and numbers of grams known to be shared go along once, with the first target."""
+    n = np.bincount(row, minlength=len(ids))
+    mixed = mix(gram)
+    order = np.argsort(mixed)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = mixed[order[1:]] != mixed[order[:-1]]
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    one = np.sort(order[alone])
+    known = n - np.bincount(row[one], minlength=len(ids))
+    often = mixed[order[new & ~alone]]
+    by: dict[int, list[bytes]] = {}
+    rest, cut, target = _targets(mixed[one], tasks)
+    own_row, value = row[one][rest], (mixed[one] >> U64(24))[rest]
+    for t, s, e in zip(target, cut[:-1], cut[1:], strict=True):
+        by[int(t)] = [_steps(own_row[s:e]), _pack(value[s:e], 5), b""]
+    rest, cut, target = _targets(often, tasks)
+    value = (often >> U64(24))[rest]
+    for t, s, e in zip(target, cut[:-1], cut[1:], strict=True):
+        by.setdefault(int(t), [_steps(own_row[:0]), b"", b""])[2] = _pack(value[s:e], 5)
+    heads = iter([(_planes(ids), _planes(n), _planes(known))])
+    yield from _batches([(t, chunk, *next(heads, (None, None, None)), *x) for t, x in by.items()], SENT)
+
+
+def _send_texts(n: int, tasks: int, most: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a name of the chunk's own: partition and running number, the same if the task is run again
+        chunk = TaskContext.get().partitionId() << 32
         ids, rows, grams, count, size = [], [], [], 0, 0
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False)
@@ -145,83 +176,58 @@ def _send_texts(n: int, tasks: int):
                 rows.append(row - i + count)
                 grams.append(gram)
                 count, size = count + j - i, size + len(gram)
-                if size >= CHUNK:
-                    yield from _send(np.concatenate(ids), np.concatenate(rows), np.concatenate(grams), tasks, 5)
+                if size >= most:
+                    yield from _send(chunk, np.concatenate(ids), np.concatenate(rows), np.concatenate(grams), tasks)
                     ids, rows, grams, count, size = [], [], [], 0, 0
+                    chunk += 1
         if size:
-            yield from _send(np.concatenate(ids), np.concatenate(rows), np.concatenate(grams), tasks, 5)
-
-    return send
-
-
-def _send_sets(tasks: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, grams = [], [], []
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            for k, blob in zip(own, b.column(1), strict=True):
-                grams.append(_unpack(blob.as_py(), 6))
-                ids.append(k)
-                sizes.append(len(grams[-1]))
-            if sum(sizes) >= CHUNK:
-                yield from _send(np.array(ids), np.repeat(np.arange(len(ids)), sizes), np.concatenate(grams), tasks, 6)
-                ids, sizes, grams = [], [], []
-        if ids:
-            yield from _send(np.array(ids), np.repeat(np.arange(len(ids)), sizes), np.concatenate(grams), tasks, 6)
+            yield from _send(chunk, np.concatenate(ids), np.concatenate(rows), np.concatenate(grams), tasks)
 
     return send
 
 
-def _count(width: int):
-    """Of what a task got: the grams found in two sets or more, for the chunks that they came from."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(x[0], []).append(x[1:])
-        for got in by.values():
-            grams = [_unpack(g, width) for *_, g in got]
-            whole = np.concatenate(grams)
-            order = np.argsort(whole)
-            a = whole[order]
-            cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            run = np.diff(np.append(cut, len(a)))
-            many = np.empty(len(a), np.int64)
-            many[order] = np.repeat(run, run)
-            at, out = 0, []
-            for (chunk, ids, n, steps, _), g in zip(got, grams, strict=True):
-                c = many[at : at + len(g)]
-                at += len(g)
-                on = c > 1
-                more = width == 6
-                out.append((0, chunk, ids, n, _steps(_from_steps(steps)[on]), (_pack(g[on], 6) + np.minimum(c[on], 65535).astype("<u2").tobytes()) if more else b""))
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 64], strict=True), SENT, strict=True)], schema=SENT)
-        return
-
-    return count
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(keys, sizes, [(rows, grams), ...]) of every chunk in the partition."""
+def _found_elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of what a task got: the places of grams found in two sets or more, for the chunks that they came from."""
     by: dict[int, list] = {}
     for b in batches:
-        for _, chunk, ids, n, steps, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            one = by.setdefault(chunk, [None, None, []])
-            if ids is not None:
-                one[0], one[1] = ids, n
-            one[2].append((steps, grams))
-    for ids, n, parts in by.values():
-        yield _from_planes(ids), _from_planes(n), [(_from_steps(s), g) for s, g in parts]
+        for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by.setdefault(x[0], []).append(x[1:])
+    for got in by.values():
+        grams = [_unpack(g, 5) for *_, g, _ in got]
+        often = np.unique(_unpack(b"".join(x[-1] for x in got), 5))
+        whole = np.concatenate(grams)
+        order = np.argsort(whole)
+        a = whole[order]
+        same = np.zeros(len(a), dtype=bool)
+        same[1:] = a[1:] == a[:-1]
+        same[:-1] |= same[1:]
+        if len(often):
+            at = np.minimum(np.searchsorted(often, a), len(often) - 1)
+            same |= often[at] == a
+        many = np.empty(len(a), dtype=bool)
+        many[order] = same
+        at, out = 0, []
+        for (chunk, ids, n, known, steps, *_), g in zip(got, grams, strict=True):
+            on = many[at : at + len(g)]
+            at += len(g)
+            if ids is not None or on.any():
+                out.append((0, chunk, ids, n, known, _steps(_from_steps(steps)[on]), None, None))
+        yield from _batches(out, SENT)
 
 
 def _alive(threshold: float):
     def alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, n, parts in _chunks(batches):
-            shared = np.zeros(len(ids), np.int64)
-            for rows, _ in parts:
-                shared += np.bincount(rows, minlength=len(ids))
+        by: dict[int, list] = {}
+        for b in batches:
+            for _, chunk, ids, n, known, steps, _, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one = by.setdefault(chunk, [None, []])
+                if ids is not None:
+                    one[0] = (ids, n, known)
+                one[1].append(steps)
+        for head, parts in by.values():
+            ids, n, shared = map(_from_planes, head)
+            for steps in parts:
+                shared = shared + np.bincount(_from_steps(steps), minlength=len(ids))
             on = (n > 0) & (shared >= least_overlap(n, threshold))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[on]))], ["k"])
 
@@ -256,45 +262,107 @@ def prefixes(row: np.ndarray, gram: np.ndarray, count: np.ndarray, left: np.ndar
     return on
 
 
+def _grams_of(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram, size of each row's set) of packed sets."""
+    n = sets["n"].to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), _unpack(b"".join(x.as_py() for x in sets["grams"]), 6), n
+
+
+ASKED = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask(tasks: int):
+    """How often the chunk has each of its grams, by target task."""
+
+    def ask(sets: pa.Table) -> pa.Table:
+        _, gram, _ = _grams_of(sets)
+        gram, count = np.unique(gram, return_counts=True)
+        order, cut, target = _targets(mix(gram), tasks)
+        gram, count = gram[order], np.minimum(count[order], 65535).astype("<u2")
+        chunk = sets["chunk"][0].as_py()
+        return pa.Table.from_batches(_batches([(int(t), chunk, _pack(gram[s:e], 6), count[s:e].tobytes()) for t, s, e in zip(target, cut[:-1], cut[1:], strict=True)], ASKED), ASKED)
+
+    return ask
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of a chunk's own counts those of all chunks, in the same order."""
+    by: dict[int, list] = {}
+    for b in batches:
+        for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by.setdefault(x[0], []).append(x)
+    for got in by.values():
+        grams = _unpack(b"".join(x[2] for x in got), 6)
+        counts = np.frombuffer(b"".join(x[3] for x in got), "<u2").astype(np.int64)
+        _, at = np.unique(grams, return_inverse=True)
+        total = np.minimum(np.bincount(at, counts), 65535).astype("<u2")[at]
+        ends = np.cumsum([len(x[3]) // 2 for x in got])
+        yield from _batches([(x[0], x[1], None, total[e - len(x[3]) // 2 : e].tobytes()) for x, e in zip(got, ends, strict=True)], ASKED)
+
+
+LINKS = pa.schema([("r", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("grams", pa.binary())])
+LINKS_DDL = "r int, k int, keys binary, grams binary"
+
+
 def _links(threshold: float, orders: int, tasks: int):
-    """The sets' prefixes under each order, by gram: rows (r, k, key, gram)."""
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, n, parts in _chunks(batches):
-            size = [len(r) for r, _ in parts]
-            row = np.concatenate([r for r, _ in parts])
-            gram = np.concatenate([_unpack(g[: 6 * m], 6) for (_, g), m in zip(parts, size, strict=True)])
-            count = np.concatenate([np.frombuffer(g, "<u2", offset=6 * m) for (_, g), m in zip(parts, size, strict=True)]).astype(np.int64)
-            # grams of one set alone come first in every order and link nothing
-            left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=len(ids)))
-            for k in range(orders):
-                on = prefixes(row, gram, count, left, k)
-                target = mix(gram[on] + U64(k)) % U64(tasks)
-                order = np.argsort(target, kind="stable")
-                t, v, key = target[order].astype(np.int32), gram[on][order], ids[row[on]][order]
-                cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True]) if len(t) else [0]
-                out = [(int(t[s]), k, key[s:e].astype("<i8").tobytes(), _pack(v[s:e], 6)) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["r", "k", "keys", "grams"])
+    """The sets' prefixes under each order: edges inside the chunk, and one set for each of its grams."""
+
+    def links(sets: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(sets):
+            return pa.Table.from_batches([], LINKS)
+        row, gram, n = _grams_of(sets)
+        ids = sets["rid"].to_numpy()
+        values, at = np.unique(gram, return_inverse=True)
+        order, cut, target = _targets(mix(values), tasks)
+        total = np.zeros(len(values), np.int64)
+        said = dict(zip(answers["r"].to_pylist(), answers["counts"].to_pylist(), strict=True))
+        for t, s, e in zip(target, cut[:-1], cut[1:], strict=True):
+            total[order[s:e]] = np.frombuffer(said[int(t)], "<u2")
+        count = total[at]
+        shared = count > 1  # grams of one set alone come first in every order and link nothing
+        row, gram, count = row[shared], gram[shared], count[shared]
+        left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=len(ids)))
+        out = []
+        for k in range(orders):
+            on = prefixes(row, gram, count, left, k)
+            g, who = gram[on], ids[row[on]]
+            if not len(g):
+                continue
+            by = np.argsort(g)
+            g, who = g[by], who[by]
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            least = np.repeat(np.minimum.reduceat(who, first), np.diff(np.append(first, len(g))))
+            node, component = local_components(who, least)
+            inner = node != component
+            out.append((0, k, np.concatenate([node[inner], component[inner]]).astype("<i8").tobytes(), None))
+            of = component[np.searchsorted(node, least[first])]
+            value = g[first]
+            by, cut, target = _targets(mix(value + U64(k)), tasks)
+            value, of = value[by], of[by]
+            out += [(int(t), k, of[s:e].astype("<i8").tobytes(), _pack(value[s:e], 6)) for t, s, e in zip(target, cut[:-1], cut[1:], strict=True)]
+        return pa.Table.from_batches(_batches(out, LINKS), LINKS)
 
     return links
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each order a few edges that link the keys which share a gram."""
+    """For each order the chunks' own edges, and a few that link the sets which share a gram."""
     by: dict[int, list] = {}
     for b in batches:
         for _, k, keys, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            by.setdefault(k, []).append((keys, grams))
+            if grams is None:
+                node, component = np.frombuffer(keys, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, np.int32)), pa.array(node), pa.array(component)], ["k", "a", "b"])
+            else:
+                by.setdefault(k, []).append((keys, grams))
     for k, parts in by.items():
         key = np.concatenate([np.frombuffer(x, "<i8") for x, _ in parts])
         gram = np.concatenate([_unpack(x, 6) for _, x in parts])
         order = np.argsort(gram)
         key, gram = key[order], gram[order]
         cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        run = np.diff(np.append(cut, len(gram)))
-        least = np.repeat(np.minimum.reduceat(key, cut), run)
-        on = np.repeat(run > 1, run)
+        least = np.repeat(np.minimum.reduceat(key, cut), np.diff(np.append(cut, len(gram))))
+        on = key != least
         if on.any():
             node, component = local_components(key[on], least[on])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, np.int32)), pa.array(node), pa.array(component)], ["k", "a", "b"])
@@ -334,11 +402,10 @@ def similar(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) -> t
     on = count[at] > 1
     row, at, gram = row[on], at[on], gram[on]
     passed = np.ones((m, m), dtype=bool)
-    if m > 3:
-        left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=m))
-        for k in range(orders):
-            in_prefix = prefixes(row, gram, count[at], left, k)
-            passed &= _pair_counts(row[in_prefix], at[in_prefix], m) > 0
+    left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=m))
+    for k in range(orders):
+        in_prefix = prefixes(row, gram, count[at], left, k)
+        passed &= _pair_counts(row[in_prefix], at[in_prefix], m) > 0
     i, j = np.nonzero(np.triu(passed, 1))
     if not len(i):
         return i, j, np.zeros(0)
@@ -350,65 +417,111 @@ def similar(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) -> t
 
 
 def _meet(threshold: float, orders: int):
+    """Of two blocks of a cell: how many links each set has between them, and its group there by least key."""
+
     def meet(table: pa.Table) -> pa.Table:
-        key, block = table["rep"].to_numpy(), table["block"].to_numpy()
-        order = np.argsort(key)
-        blobs = table["grams"].combine_chunks()
-        sets = [_unpack(blobs[int(x)].as_py(), 6) for x in order]
-        key, block = key[order], block[order]
-        i, j, value = similar(sets, threshold, orders)
+        table = table.sort_by("rid")
+        rid, rep, block = (table[c].to_numpy() for c in ("rid", "rep", "block"))
+        sets = [_unpack(x.as_py(), 6) for x in table["grams"]]
+        i, j, _ = similar(sets, threshold, orders)
         one, other = table["one"][0].as_py(), table["other"][0].as_py()
         on = ((block[i] == one) & (block[j] == other)) | ((block[i] == other) & (block[j] == one))
-        on &= key[i] != key[j]
-        return pa.table({"a": key[i[on]], "b": key[j[on]], "jaccard": value[on]})
+        i, j = i[on], j[on]
+        links = np.bincount(i, minlength=len(rid)) + np.bincount(j, minlength=len(rid))
+        node, component = local_components(i, j)
+        least = np.full(len(rid), np.iinfo(np.int64).max)
+        np.minimum.at(least, component, rep[node])
+        return pa.table({"rid": rid[node], "links": links[node].astype(np.int64), "a": rep[node], "b": least[component]})
 
     return meet
 
 
-def similar_sets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(docs array<bigint>, jaccard double): groups of keys with equal sets, and pairs of similar ones. See the module."""
+def _compared(docs: DataFrame, key: str, text: str, n: int, threshold: float, orders: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """((h, k, rep, members, links) by key and set, edges between keys (k, a, b)) of the sets that have a partner."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folded = docs.select(docs[key].cast("long").alias("k"), F.lower(docs[text]).alias("t")).filter("k is not null and t is not null")
 
-    sent = folded.mapInArrow(_send_texts(n, tasks), SENT_DDL)
-    back = sent.repartitionById(tasks, F.col("r")).mapInArrow(_count(5), SENT_DDL)
+    sent = folded.mapInArrow(_send_texts(n, tasks, CHUNK), SENT_DDL)
+    back = sent.repartitionById(tasks, F.col("r")).mapInArrow(_found_elsewhere, SENT_DDL)
     alive = written(back.repartition(tasks, "chunk").mapInArrow(_alive(threshold), "k long").distinct())
-    few = alive.count() <= broadcast_keys
-    left = folded.join(F.broadcast(alive) if few else alive, "k", "left_semi")
-
-    sets = left.mapInArrow(_sets(n), "k long, grams binary").filter(F.length("grams") > 0)
-    equal = sets.groupBy(F.md5("grams").alias("h"), F.length("grams").alias("bytes")).agg(F.min("k").alias("rep"), F.array_sort(F.collect_set("k")).alias("docs"), F.any_value("grams").alias("grams"))
-    reps = written(equal.select("rep", (F.col("bytes") / 6).cast("int").alias("n"), "docs", "grams"))
-
-    sent = reps.select("rep", "grams").mapInArrow(_send_sets(tasks), SENT_DDL)
-    back = sent.repartitionById(tasks, F.col("r")).mapInArrow(_count(6), SENT_DDL)
-    links = back.repartition(tasks, "chunk").mapInArrow(_links(threshold, orders, tasks), "r int, k int, keys binary, grams binary")
+    left = folded.join(small(alive, 24, broadcast_bytes), "k", "left_semi")
+
+    # rid is stored with the set, so it stays what it is
+    sets = written(left.mapInArrow(_sets(n), "k long, grams binary").filter(F.length("grams") > 0).select(F.monotonically_increasing_id().alias("rid"), "k", F.md5("grams").alias("h"), (F.length("grams") / 6).cast("int").alias("n"), "grams"))
+    keyed = written(sets.groupBy("h", "k").agg(F.min("rid").alias("rid")))
+    leads = written(keyed.groupBy("h").agg(F.min("rid").alias("rid"), F.min("k").alias("rep"), F.count("*").alias("members")))
+    chunks = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // CHUNK_SETS))
+    reps = written(sets.select("rid", "n", "grams").join(small(leads.select("rid", "rep"), 40, broadcast_bytes), "rid"))
+
+    placed = reps.select("rid", "n", "grams", F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk")).repartition(min(tasks, chunks), "chunk")
+    asked = placed.groupBy("chunk").applyInArrow(_ask(tasks), "r int, chunk long, grams binary, counts binary")
+    said = asked.repartitionById(tasks, F.col("r")).mapInArrow(_add_up, "r int, chunk long, grams binary, counts binary").drop("grams")
+    links = placed.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_links(threshold, orders, tasks), LINKS_DDL)
     edges = written(links.repartitionById(tasks, F.col("r")).mapInArrow(_forest, "k int, a long, b long"))
 
     inside = components(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "component"))).alias("c")).filter(F.size("c") == orders)
-    cells = inside.select(F.col("node").alias("rep"), F.xxhash64("c").alias("cell"))
-    sized = cells.join(reps.select("rep", "n"), "rep").groupBy("cell").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).filter("texts > 1")
+    cells = written(inside.select(F.col("node").alias("rid"), F.xxhash64("c").alias("cell")))
+    sized = cells.join(reps.select("rid", "n"), "rid").groupBy("cell").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).filter("texts > 1")
     blocks = sized.select("cell", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = cells.join(blocks, "cell").select("rep", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks")
     met = (
-        placed.join(reps.select("rep", "grams"), "rep")
+        cells.join(blocks, "cell")
+        .select("rid", "cell", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "blocks")
+        .join(reps.select("rid", "rep", "grams"), "rid")
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        .select("rep", "cell", "block", "grams", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"))
+        .select("rid", "rep", "cell", "block", "grams", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"))
     )
-    pairs = met.groupBy("cell", "one", "other").applyInArrow(_meet(threshold, orders), "a long, b long, jaccard double")
-    same = reps.filter(F.size("docs") > 1).select("docs", F.lit(1.0).alias("jaccard"))
-    return same.unionByName(pairs.distinct().select(F.array("a", "b").alias("docs"), "jaccard"))
+    found = written(met.groupBy("cell", "one", "other").applyInArrow(_meet(threshold, orders), "rid long, links long, a long, b long"))
+    linked = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    info = written(leads.join(linked, "rid", "left").select("h", "rep", "members", F.coalesce("links", F.lit(0)).cast("long").alias("links")).filter("members > 1 or links > 0"))
+    members = written(keyed.select("h", "k").join(info, "h"))
+    edges = written(members.select("k", "rep").union(found.select("a", "b")).distinct().select(F.lit(0).alias("k"), F.col("k").alias("a"), F.col("rep").alias("b")))
+    return members, edges
+
+
+def similar_sets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, orders: int = ORDERS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, class_id, copies, links): a row for each key that has a partner. See the module."""
+    members, edges = _compared(docs, key, text, n, threshold, orders, broadcast_bytes)
+    own = members.groupBy("k").agg(F.sum(F.col("members") - 1).alias("copies"), F.sum("links").alias("links")).filter("copies + links > 0")
+    classes = components(edges).select(F.col("node").alias("k"), F.col("component").alias("class_id"))
+    return own.join(classes, "k").select(F.col("k").alias(key), "class_id", "copies", "links")
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows without those whose key is in a group (linked by similar sets) with a lesser key.
 
-    Rows without a key stay, as do all rows of the least key."""
-    found = written(similar_sets(docs, key=key, **options))
-    edges = found.select(F.lit(0).alias("k"), F.element_at("docs", 1).alias("a"), F.explode("docs").alias("b"))
-    groups = components(written(edges))
-    drop = written(groups.filter("node <> component").select(F.col("node").alias("drop")))
-    if drop.count() <= options.get("broadcast_keys", BROADCAST_KEYS):
-        drop = F.broadcast(drop)
+    Rows without a key stay, as do all rows of the least key, repeated ones too."""
+    _, edges = _compared(docs, key, options.pop("text", "text"), **{"n": N, "threshold": THRESHOLD, "orders": ORDERS, "broadcast_bytes": BROADCAST_BYTES} | options)
+    drop = written(components(edges).filter("node <> component").select(F.col("node").alias("drop")).distinct())
+    drop = small(drop, 24, options.get("broadcast_bytes", BROADCAST_BYTES))
     return docs.join(drop, docs[key].cast("long") == drop["drop"], "left_anti")
+
+
+def oracle() -> str:
+    """The rows of similar_sets() with its defaults in DuckDB's SQL: all pairs of sets that share a gram, and their closure."""
+    return r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), grams AS (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS s FROM worded WHERE len(w) > 0
+), sets AS (
+  SELECT s, md5(array_to_string(s, '|')) AS h, min(doc_id) AS rep, count(DISTINCT doc_id) AS members FROM grams GROUP BY s
+), entries AS (
+  SELECT h, len(s) AS n, unnest(s) AS gram FROM sets
+), pairs AS (
+  SELECT a.h AS h, b.h AS other FROM entries a JOIN entries b ON a.gram = b.gram AND a.h <> b.h
+  GROUP BY a.h, b.h HAVING 5 * count(*) >= 3 * (any_value(a.n) + any_value(b.n) - count(*))
+), info AS (
+  SELECT sets.h, rep, members, coalesce(l.links, 0) AS links FROM sets LEFT JOIN (SELECT h, count(*) AS links FROM pairs GROUP BY h) l ON sets.h = l.h
+), members AS (
+  SELECT g.doc_id, i.h, i.rep, i.members, i.links FROM grams g JOIN info i ON md5(array_to_string(g.s, '|')) = i.h
+), edges AS (
+  SELECT doc_id AS a, rep AS b FROM members UNION SELECT rep, doc_id FROM members
+  UNION SELECT x.rep, y.rep FROM pairs JOIN sets x ON pairs.h = x.h JOIN sets y ON pairs.other = y.h
+), reach(a, b) AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), own AS (
+  SELECT doc_id, CAST(sum(members - 1) AS BIGINT) AS copies, CAST(sum(links) AS BIGINT) AS links FROM members GROUP BY doc_id
+)
+SELECT own.doc_id, (SELECT min(b) FROM reach WHERE reach.a = own.doc_id) AS class_id, own.copies, own.links FROM own WHERE copies + links > 0
+"""

@@ -72,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.oracle(),
     "op4_document_fingerprints": winnow.oracle(),
+    "op10_ngram_jaccard_join": ngram_join.oracle(),
 }

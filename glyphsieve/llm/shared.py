@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +35,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, row_bytes: int, most_bytes: int) -> DataFrame:
+    """The table itself, marked for a broadcast if its counted rows, at so many bytes each, keep within most_bytes. df must be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df

@@ -15,23 +15,45 @@ def grams(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def slow_pairs(rows, n, threshold):
+def slow_partners(rows, n, threshold):
+    """{key: (class, copies, links)} from all pairs of sets."""
     sets = defaultdict(set)
     for k, t in rows:
         if k is not None and grams(t, n):
             sets[grams(t, n)].add(k)
-    out = {(tuple(sorted(v)), 1.0) for v in sets.values() if len(v) > 1}
-    kinds = list(sets.items())
-    for i, (a, x) in enumerate(kinds):
-        for b, y in kinds[:i]:
-            value = len(a & b) / len(a | b)
-            if value >= threshold - 1e-12:
-                key = tuple(sorted((min(x), min(y))))
-                if key[0] != key[1]:
-                    out.add((key, round(value, 9)))
+    label, links = {}, Counter()
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    def join(x, y):
+        a, b = find(x), find(y)
+        label[max(a, b)] = min(a, b)
+
+    kinds = list(sets)
+    for i, a in enumerate(kinds):
+        for k in sets[a]:
+            join(k, min(sets[a]))
+        for b in kinds[:i]:
+            if len(a & b) >= threshold * len(a | b) - 1e-12:
+                links[a] += 1
+                links[b] += 1
+                join(min(sets[a]), min(sets[b]))
+    out = {}
+    for k in {k for v in sets.values() for k in v}:
+        own = [a for a in kinds if k in sets[a]]
+        copies, many = sum(len(sets[a]) - 1 for a in own), sum(links[a] for a in own)
+        if copies + many:
+            out[k] = (find(k), copies, many)
     return out
 
 
+def partners(found):
+    return {r.doc_id: (r.class_id, r.copies, r.links) for r in found.collect()}
+
+
 @pytest.fixture
 def similar_docs(docs_of, rng):
     rows, base = [], [words(rng, 40) for _ in range(8)]
@@ -47,31 +69,44 @@ def similar_docs(docs_of, rng):
 @pytest.mark.parametrize("threshold", [0.5, 0.6, 0.85])
 def test_similar_sets(similar_docs, threshold, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 7)
-    got = {(tuple(r.docs), round(r.jaccard, 9)) for r in ngram_join.similar_sets(similar_docs, threshold=threshold).collect()}
-    assert got == slow_pairs([(r.doc_id, r.text) for r in similar_docs.collect()], ngram_join.N, threshold)
+    monkeypatch.setattr(ngram_join, "CHUNK", 3000)
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 1500)
+    got = partners(ngram_join.similar_sets(similar_docs, threshold=threshold))
+    assert got == slow_partners([(r.doc_id, r.text) for r in similar_docs.collect()], ngram_join.N, threshold)
     assert len(got) > 20
 
 
 def test_similar_sets_joined_by_a_shuffle(similar_docs):
-    got = {tuple(r.docs) for r in ngram_join.similar_sets(similar_docs, broadcast_keys=0).collect()}
-    assert got == {k for k, _ in slow_pairs([(r.doc_id, r.text) for r in similar_docs.collect()], ngram_join.N, ngram_join.THRESHOLD)}
+    got = partners(ngram_join.similar_sets(similar_docs, broadcast_bytes=0))
+    assert got == slow_partners([(r.doc_id, r.text) for r in similar_docs.collect()], ngram_join.N, ngram_join.THRESHOLD)
+
+
+def test_layout_and_keys_of_two_texts_change_nothing(spark, rng):
+    """Two snapshots of a table have the same keys in the same places."""
+    first = [(i, words(rng, 30)) for i in range(100)]
+    second = [(i, first[(i * 37 + 11) % 100][1] if i % 2 else words(rng, 30)) for i in range(100)]
+    rows = first + second
+    want = slow_partners(rows, ngram_join.N, ngram_join.THRESHOLD)
+    for parts in (1, 2, 7):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        assert partners(ngram_join.similar_sets(df)) == want
+    assert sum(c for _, c, _ in want.values()) == 100
+
+
+def test_a_popular_text_and_a_popular_passage(spark, rng):
+    popular, passage = words(rng, 50), words(rng, 40)
+    rows = [(i, popular if i % 3 == 0 else f"{words(rng, 8)} {passage} {words(rng, i % 40)}") for i in range(300)]
+    got = partners(ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == slow_partners(rows, ngram_join.N, ngram_join.THRESHOLD)
+    assert got[0] == (0, 99, 0)
 
 
 def test_one_of_each_group_stays(similar_docs):
     kept = ngram_join.deduplicated(similar_docs)
     assert kept.columns == similar_docs.columns
-    label = {}
-
-    def find(x):
-        while label.setdefault(x, x) != x:
-            x = label[x]
-        return x
-
-    for key, _ in slow_pairs([(r.doc_id, r.text) for r in similar_docs.collect()], ngram_join.N, ngram_join.THRESHOLD):
-        for k in key:
-            a, b = find(key[0]), find(k)
-            label[max(a, b)] = min(a, b)
-    want = Counter(r.doc_id for r in similar_docs.collect() if r.doc_id is None or find(r.doc_id) == r.doc_id)
+    rows = similar_docs.collect()
+    found = slow_partners([(r.doc_id, r.text) for r in rows], ngram_join.N, ngram_join.THRESHOLD)
+    want = Counter(r.doc_id for r in rows if r.doc_id not in found or found[r.doc_id][0] == r.doc_id)
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
