@@ -72,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.oracle(),
     "op4_document_fingerprints": winnow.oracle(),
+    "op9_substring_dedup": substring_dedup.oracle(),
     "op10_ngram_jaccard_join": ngram_join.oracle(),
 }

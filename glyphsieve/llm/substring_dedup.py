@@ -2,20 +2,23 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, case folded.
 Every window of ``words`` words is looked at, so every passage of so many words that
-stands in two places is found, from its first word to its last. (With a ``step`` over
-1 only the windows whose hash is the least of ``step`` neighbouring ones are: passages
-of fewer than ``words + step - 1`` words may be lost and spans may be short.)
-
-1. Each partition sends 40 bits of the hash of every window occurrence to a task by
-   hash; repeats aren't added up before. There the counters are made: count-min,
-   ``depth`` rows of them, from the hashes of all partitions. So no sketches of
-   partitions are merged, and what travels grows with the windows, not with a
-   sketch's size. What the task sends back says which windows may be repeated.
-   Collisions only add to a count, so no repeated window is lost.
-2. Only windows estimated repeated are read again. They are grouped exactly, by
-   128 bits of hash, and those found once after all are dropped.
+stands in two places is found, from its first word to its last.
+
+1. Texts are dealt into chunks by a hash. Each chunk makes a count-min sketch of all
+   its windows: ``depth`` rows of counters, which saturate at 2. Its non-zero counters
+   go to the tasks that own their ranges, in order, as gaps of one to four bytes.
+   There the sketches of all chunks are added up; a chunk gets back one bit for each
+   counter that it sent: whether the sum is 2 or more.
+2. A chunk's windows all of whose counters are 2 or more may be repeated; counters only
+   overestimate, so no repeated window is lost. Those windows alone are grouped exactly,
+   by 128 bits of hash: first in the chunk, then, one entry for each window of a chunk,
+   over all chunks. What is found once after all is dropped.
 3. The windows of a text that overlap become one span.
 
+No task gets more of a window, however popular, than one entry for each chunk. The
+rows of the sketch are as wide as ``load`` times the windows (as estimated from the
+bytes of the texts); that decides how many windows pass in vain, and nothing else.
+
 Result: (key, start, end, windows, copies, first): a span of characters of the
 text, how many of its windows are repeated, in how many places the most frequent
 one stands, and whether any of its windows stands here for the first time (in order
@@ -25,9 +28,10 @@ Defined results:
 
 * a null key or text, and a text of fewer than ``words`` words, have no spans;
 * repeated rows (same key and text) count once; one key with two texts stands for
-  two texts, which are told apart by a hash of the text;
-* repetition within a text counts; of equal hashes the first window is taken;
-* other columns are not read; an empty table gives no rows.
+  two texts, which are told apart by a hash of the text and come in any order;
+* repetition within a text counts; of equal windows the first one in order is taken;
+* a text is never cut: a very long one makes a large chunk;
+* other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,279 +44,293 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.shared import written
-from glyphsieve.llm.textops import U64, buffers, char_index, fold, mix, slices, span_hashes, words
+from glyphsieve.llm.textops import U64, buffers, char_index, fold, mix, powers, slices, span_hashes, words
 
 WORDS = 40
-STEP = 1
 DEPTH = 2
-#: Counters in each row of the sketch that a task makes. Tasks grow with the input.
-WIDTH = 1 << 24
-CHUNK = 1 << 20
-#: Up to so many bytes of marks are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
-M40 = U64((1 << 40) - 1)
-_MUL = U64(0x9FB21C651E98DF25)
-
-
-def window_hashes(word: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A hash of every n neighbouring words: of powers of two first, then of two that overlap."""
-    m = len(word) - n + 1
-    if m <= 0:
-        return np.zeros(0, U64)
-    h = mix(word + U64(seed)) if seed else word
-    length = 1
-    while length * 2 <= n:
-        h = mix(h[:-length] * _MUL + h[length:])
-        length *= 2
-    rest = n - length
-    return (mix(h[: len(h) - rest] * _MUL + h[rest:] + U64(n)) if rest else mix(h + U64(n)))[:m]
-
-
-def minima(hashes: np.ndarray, row: np.ndarray, step: int) -> np.ndarray:
-    """Indices of the hashes that are least among some ``step`` neighbours of their row (or all, if it has fewer); the first of equal ones."""
-    n = len(hashes)
-    if n == 0 or step == 1:
-        return np.arange(n)
-    best = np.arange(n)
-    reach = 1
-
-    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # a stands before b
-        return np.where(hashes[b] < hashes[a], b, a)
-
-    parts = []
-    while reach * 2 <= step:
-        best = less(best[:-reach], best[reach:])
-        reach *= 2
-    rest = step - reach
-    if n >= step:
-        whole = less(best[: len(best) - rest], best[rest:]) if rest else best
-        whole = whole[: n - step + 1]
-        parts.append(whole[row[: len(whole)] == row[step - 1 :]])
-    cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    run = np.diff(np.append(cut, n))
-    for s, m in zip(cut[run < step], run[run < step], strict=True):
-        parts.append(np.array([s + int(hashes[s : s + m].argmin())]))
-    return np.unique(np.concatenate(parts))
-
-
-def windows_of(data: np.ndarray, offsets: np.ndarray, n: int, step: int, second: bool) -> tuple[np.ndarray, ...]:
-    """(row, hash, second hash, first byte, end byte) of the windows looked at, in order."""
+#: Counters in a row of the sketch for each window.
+LOAD = 16
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 8 << 20
+#: Counters that a task adds up at a time.
+BLOCK = 1 << 24
+
+
+def window_hashes(word: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """A hash of the n neighbouring words that begin at each place."""
+    power, inverse = powers(len(word) + 1)
+    total = np.zeros(len(word) + 1, U64)
+    np.cumsum(word * power[: len(word)], out=total[1:])
+    return mix((total[at + n] - total[at]) * inverse[at] + U64(n))
+
+
+def windows_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(hash of each word, first word of each window, its row, its hash, start and end byte of each word) of rows."""
     start, end, row = words(data, offsets)
     word = span_hashes(fold(data), start, end)
-    h = window_hashes(word, n)
-    at = np.flatnonzero(row[: len(h)] == row[n - 1 :]) if len(h) else np.zeros(0, np.int64)
-    at = at[minima(h[at], row[at], step)]
-    other = window_hashes(word, n, 0x51ED270B)[at] if second and len(at) else np.zeros(len(at), U64)
-    return row[at], h[at], other, start[at], end[at + n - 1] if len(at) else at
+    m = max(0, len(word) - n + 1)
+    at = np.flatnonzero(row[:m] == row[n - 1 :]) if m else np.zeros(0, np.int64)
+    return word, at, row[at], window_hashes(word, n, at), start, end
 
 
-def _steps(places: np.ndarray) -> bytes:
-    d = np.diff(places, prepend=0)
-    return b"\1" + d.astype(np.uint8).tobytes() if not len(d) or d.max() < 256 else b"\4" + d.astype("<u4").tobytes()
+def sketch(hashes: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the non-zero counters of a count-min sketch in order, which of them are 2 or more); row d has counters [d * width, (d + 1) * width)."""
+    cells = np.sort(np.concatenate([cells_of(hashes, d, width) for d in range(depth)]))
+    new = np.ones(len(cells), dtype=bool)
+    new[1:] = cells[1:] != cells[:-1]
+    first = np.flatnonzero(new)
+    return cells[first], np.diff(np.append(first, len(cells))) > 1
 
 
-def _from_steps(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint8 if blob[:1] == b"\1" else "<u4", offset=1).astype(np.int64))
+def cells_of(hashes: np.ndarray, d: int, width: int) -> np.ndarray:
+    return (mix(hashes + U64(d + 1)) % U64(width) + U64(d * width)).astype(np.int64)
 
 
-SENT = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("cells", pa.binary())])
-SENT_DDL = "r int, chunk long, keys binary, places binary, cells binary"
+def _gaps(cells: np.ndarray) -> bytes:
+    """Ascending numbers as gaps of equal size; the first byte is the size."""
+    d = np.diff(cells, prepend=0)
+    most = int(d.max()) if len(d) else 0
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s))
+    return bytes([size]) + d.astype(f"<u{size}").tobytes()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
+def _from_gaps(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64))
 
 
-def _sketched(tasks: int, n: int, step: int):
-    """A chunk's windows by share: their places in the chunk and 40 bits of hash that give their cells.
+def _ranges(cells: np.ndarray, size: int, tasks: int) -> np.ndarray:
+    """Where the counters of each task begin (and the last one's end)."""
+    return np.searchsorted(cells, np.arange(tasks + 1) * size)
 
-    The keys, hashes and window counts of the texts go along once, with the first share."""
 
-    def send(ids: list, count: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(hashes)
-        keys = np.stack([np.concatenate(x) for x in ids] + [np.concatenate(count)])
-        chunk = int(mix(np.r_[h[:: max(1, len(h) // 256)], keys[:2, :: max(1, keys.shape[1] // 256)].ravel().view(U64)]).sum().astype(np.int64))
-        target = (((h >> U64(40)) * U64(tasks)) >> U64(24)).astype(np.int64)
-        order = np.argsort(target.astype(np.uint16) if tasks <= 1 << 16 else target, kind="stable")
-        t = target[order]
-        cell = np.ascontiguousarray((h[order] & M40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-        cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-        out = []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            out.append((int(t[s]), chunk, keys.astype("<i8").tobytes() if s == 0 else None, _steps(order[s:e]), cell[s:e].tobytes()))
-            if len(out) == 64:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
+def _distinct(texts: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """(keys, texts) of a chunk in order of key and text, repeated rows once."""
+    k, t = texts["k"].to_numpy(), texts["t"].to_numpy()
+    order = np.lexsort((t, k))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (k[order[1:]] != k[order[:-1]]) | (t[order[1:]] != t[order[:-1]])
+    order = order[new]
+    return k[order], texts["text"].combine_chunks().take(pa.array(order))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = [[], []]
-        count, hashes, size = [], [], 0
-        for b in batches:
-            own = [b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
-            data, offsets = buffers(b.column(2))
-            for i, j in slices(offsets, 1 << 20):
-                row, h, *_ = windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n, step, False)
-                if not len(h):
-                    continue
-                per = np.bincount(row, minlength=j - i)
-                on = np.flatnonzero(per)
-                for x, y in zip(ids, own, strict=True):
-                    x.append(y[i:j][on])
-                count.append(per[on])
-                hashes.append(h)
-                size += len(h)
-                if size >= CHUNK:
-                    yield from send(ids, count, hashes)
-                    ids, count, hashes, size = [[], []], [], [], 0
-        if size:
-            yield from send(ids, count, hashes)
 
-    return run
+def _hashes(texts: pa.Array, n: int) -> np.ndarray:
+    data, offsets = buffers(texts)
+    got = [windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)[3] for i, j in slices(offsets, 1 << 20)]
+    return np.concatenate(got) if got else np.zeros(0, U64)
 
 
-def estimates(residual: np.ndarray, depth: int, width: int) -> np.ndarray:
-    """Count-min: how often each value stands here at most. Never less than the truth."""
-    least = None
-    for d in range(depth):
-        cell = (mix(residual + U64(d + 1)) % U64(width)).astype(np.int64)
-        low, at = np.unique(cell, return_inverse=True) if len(cell) * 8 < width else (None, cell)
-        count = np.bincount(at, minlength=width if low is None else 0)[at]
-        least = count if least is None else np.minimum(least, count)
-    return least
+MESSAGE = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("more", pa.binary())])
+MESSAGE_DDL = "r int, chunk long, blob binary, more binary"
 
 
-def _merged(depth: int, width: int):
-    """The sketch of a share, from the hashes of all chunks: for each chunk the places of windows that may be repeated."""
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 4, MESSAGE, strict=True)], schema=MESSAGE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(x[0], []).append(x[1:])
-        for got in by.values():
-            sizes = [len(x[3]) // 5 for x in got]
-            whole = np.zeros((sum(sizes), 8), np.uint8)
-            whole[:, :5] = np.frombuffer(b"".join(x[3] for x in got), np.uint8).reshape(-1, 5)
-            many = estimates(whole.view("<u8").ravel(), depth, width) > 1
-            at, out = 0, []
-            for (chunk, keys, places, _), size in zip(got, sizes, strict=True):
-                on = many[at : at + size]
-                at += size
-                if keys is not None or on.any():
-                    out.append((0, chunk, keys, _steps(_from_steps(places)[on]), None))
-            for i in range(0, len(out), 64):
-                yield _batch(out[i : i + 64])
 
-    return run
+def _sketched(tasks: int, n: int, depth: int, width: int):
+    """A chunk's sketch by ranges of counters: gaps, and bits for those of 2 or more."""
+    size = -(-depth * width // tasks)
 
+    def run(texts: pa.Table) -> pa.Table:
+        cells, twice = sketch(_hashes(_distinct(texts)[1], n), depth, width)
+        cut, chunk = _ranges(cells, size, tasks), texts["chunk"][0].as_py()
+        return _table([(r, chunk, _gaps(cells[s:e] - r * size), np.packbits(twice[s:e]).tobytes()) for r, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e])
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hash of the text, bits over its windows) of the texts with a window that may be repeated."""
-    by: dict[int, list] = {}
-    for b in batches:
-        for _, chunk, keys, places, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            one = by.setdefault(chunk, [None, []])
-            one[0] = keys if keys is not None else one[0]
-            one[1].append(_from_steps(places))
-    for blob, places in by.values():
-        key, text, n = np.frombuffer(blob, "<i8").reshape(3, -1)
-        hit = np.zeros(int(n.sum()), dtype=bool)
-        hit[np.concatenate(places)] = True
-        ends = np.cumsum(n)
-        some = np.flatnonzero(np.diff(np.r_[0, np.cumsum(hit)[ends - 1]]))
-        bits = [np.packbits(hit[ends[i] - n[i] : ends[i]]).tobytes() for i in some]
-        for i in range(0, len(some), 1 << 14):
-            part = some[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(text[part]), pa.array(bits[i : i + (1 << 14)], pa.binary())], ["k", "t", "bits"])
+    return run
 
 
-WINDOWS = "h long, g long, k long, t long, start int, end int"
+def added(sketches: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[np.ndarray]:
+    """Of sketches (counters below size, which are 2 or more): for each one's counters whether the sum of all is 2 or more."""
+    out = [np.zeros(len(cells), dtype=bool) for cells, _ in sketches]
+    for begin in range(0, size, BLOCK):
+        sums = np.zeros(min(BLOCK, size - begin), np.uint8)
+        parts = [np.searchsorted(cells, (begin, begin + BLOCK)) for cells, _ in sketches]
+        for (cells, twice), (s, e) in zip(sketches, parts, strict=True):
+            at = cells[s:e] - begin
+            sums[at] = np.minimum(sums[at] + np.uint8(1) + twice[s:e], 2)
+        for bits, (cells, _), (s, e) in zip(out, sketches, parts, strict=True):
+            bits[s:e] = sums[cells[s:e] - begin] > 1
+    return out
 
 
-def _repeated(n: int, step: int):
-    """The marked windows of marked texts, with 128 bits of hash."""
+def _merged(size: int):
+    """The sketches of all chunks, added up over a range; each gets back which of its counters are 2 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
         for b in batches:
-            data, offsets = buffers(b.column("text"))
-            key, text = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
-            for i, j in slices(offsets, 1 << 20):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                row, h, g, start, end = windows_of(part, own, n, step, True)
-                per = np.bincount(row, minlength=j - i)
-                marks = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(m)) for x, m in zip(b.column("bits").slice(i, j - i), per, strict=True)]
-                on = np.concatenate(marks).astype(bool)
-                chars = char_index(part)
-                base = chars[own[row[on]]]
-                r = row[on] + i
-                columns = (h[on].view(np.int64), g[on].view(np.int64), key[r], text[r], (chars[start[on]] - base).astype(np.int32), (chars[end[on]] - base).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "k", "t", "start", "end"])
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by.setdefault(x[0], []).append(x)
+        for got in by.values():
+            sketches = []
+            for *_, gaps, twice in got:
+                cells = _from_gaps(gaps)
+                sketches.append((cells, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells))))
+            rows = [(r, chunk, np.packbits(bits).tobytes(), None) for (r, chunk, *_), bits in zip(got, added(sketches, size), strict=True)]
+            yield from _table(rows).to_batches(max_chunksize=64)
+
+    return run
+
+
+def _marked(tasks: int, n: int, depth: int, width: int):
+    """The windows of a chunk that may be repeated: an entry for each hash by target task, and, at -1, their places.
+
+    An entry: two hashes, the least key, how many places. The places: key, number of windows and their entries, starts and ends by text."""
+    size = -(-depth * width // tasks)
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts) or not len(answers):
+            return _table([])
+        key, text = _distinct(texts)
+        data, offsets = buffers(text)
+        parts = [(i, j, *windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)) for i, j in slices(offsets, 1 << 20)]
+        h = np.concatenate([p[5] for p in parts])
+        cells, _ = sketch(h, depth, width)
+        cut = _ranges(cells, size, tasks)
+        said = dict(zip(answers["r"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+        bits = [np.unpackbits(np.frombuffer(said[r], np.uint8), count=e - s) for r, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e]
+        many = cells[np.concatenate(bits).astype(bool)]
+        if not len(many):
+            return _table([])
+        near = np.zeros(1 << 22, dtype=bool)
+        near[many & (len(near) - 1)] = True
+        on = np.arange(len(h))
+        for d in range(depth):
+            own = cells_of(h[on], d, width)
+            some = near[own & (len(near) - 1)]
+            on, own = on[some], own[some]
+            on = on[many[np.minimum(np.searchsorted(many, own), len(many) - 1)] == own]
+        rows, first, last, g, at = [], [], [], [], 0
+        for i, j, word, begin, row, _, start, end in parts:
+            s, e = np.searchsorted(on, (at, at + len(begin)))
+            mine = on[s:e] - at
+            at += len(begin)
+            if not len(mine):
+                continue
+            g.append(window_hashes(mix(word + U64(0x51ED270B)), n, begin[mine]))
+            chars = char_index(data[offsets[i] : offsets[j]])
+            base = chars[offsets[i + row[mine]] - offsets[i]]
+            rows.append(i + row[mine])
+            first.append(chars[start[begin[mine]]] - base)
+            last.append(chars[end[begin[mine] + n - 1]] - base)
+        if not rows:
+            return _table([])
+        row, first, last, g = map(np.concatenate, (rows, first, last, g))
+        h, chunk = h[on], texts["chunk"][0].as_py()
+        order = np.lexsort((np.arange(len(h)), g, h))  # equal ones in order of their places
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        entry = np.empty(len(h), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        head = order[new]
+        count = np.diff(np.append(np.flatnonzero(new), len(h)))
+        lot = np.stack([h[head].view(np.int64), g[head].view(np.int64), key[row[head]], count])
+        target = ((h[head] >> U64(40)) * U64(tasks)) >> U64(24)  # ascending, as h is
+        edge = np.searchsorted(target, np.arange(tasks + 1))
+        out = [(r, chunk, lot[:, s:e].astype("<i8").tobytes(), None) for r, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if s < e]
+        texts_on, run = np.unique(row, return_counts=True)
+        out.append((-1, chunk, np.stack([key[texts_on], run]).astype("<i8").tobytes(), np.stack([entry, first, last]).astype("<i4").tobytes()))
+        return _table(out)
 
     return run
 
 
-PLACES = "k long, t long, start int, end int, copies int, first boolean"
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact groups of the windows of a partition: those with two places at least."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    h, g, k, x, start, end = (t[c].to_numpy() for c in ("h", "g", "k", "t", "start", "end"))
-    order = np.lexsort((x, start, k, g, h))
-    h, g, k, x, start, end = (c[order] for c in (h, g, k, x, start, end))
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    fresh = new.copy()
-    fresh[1:] |= (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (start[1:] != start[:-1])
-    new, k, x, start, end = (c[fresh] for c in (new, k, x, start, end))  # a repeated row counts once
-    cut = np.flatnonzero(new)
-    run = np.diff(np.append(cut, len(new)))
-    copies = np.repeat(run, run)
-    on = np.flatnonzero(copies > 1)
-    for i in range(0, len(on), 1 << 16):
-        p = on[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[p], x[p], start[p], end[p], copies[p].astype(np.int32), new[p])], ["k", "t", "start", "end", "copies", "first"])
-
-
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, step: int = STEP, depth: int = DEPTH, width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk's entries: in how many places the window stands, and whether the chunk has the first one."""
+    by: dict[int, list] = {}
+    for b in batches:
+        for r, chunk, blob, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by.setdefault(r, []).append((chunk, np.frombuffer(blob, "<i8").reshape(4, -1)))
+    for r, got in by.items():
+        h, g, key, count = np.concatenate([x for _, x in got], axis=1)
+        chunk = np.repeat([c for c, _ in got], [x.shape[1] for _, x in got])
+        order = np.lexsort((chunk, key, g, h))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        cut = np.flatnonzero(new)
+        total, first = np.empty(len(order), np.int64), np.zeros(len(order), dtype=bool)
+        total[order] = np.repeat(np.add.reduceat(count[order], cut), np.diff(np.append(cut, len(order))))
+        first[order[cut]] = True
+        at, rows = 0, []
+        for c, x in got:
+            e = at + x.shape[1]
+            rows.append((r, c, total[at:e].astype("<i8").tobytes(), np.packbits(first[at:e]).tobytes()))
+            at = e
+        yield from _table(rows).to_batches(max_chunksize=64)
+
+
+SPANS = "k long, start int, end int, windows int, copies int, first boolean"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of the texts of each chunk, from its places and what is known of its entries."""
+    by: dict[int, list] = {}
+    for b in batches:
+        for r, chunk, blob, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            by.setdefault(chunk, []).append((r, blob, more))
+    for got in by.values():
+        (_, texts, places), *answers = sorted(got)
+        total = np.frombuffer(b"".join(x for _, x, _ in answers), "<i8")
+        fresh = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // 8) for _, x, y in answers]).astype(bool)
+        key, run = np.frombuffer(texts, "<i8").reshape(2, -1)
+        entry, start, end = np.frombuffer(places, "<i4").reshape(3, -1)
+        row = np.repeat(np.arange(len(key)), run)
+        first = np.zeros(len(entry), dtype=bool)
+        first[np.unique(entry, return_index=True)[1]] = fresh  # of a chunk's places the first in order
+        copies = total[entry]
+        on = np.flatnonzero(copies > 1)
+        if not len(on):
+            continue
+        row, start, end, copies, first = (x[on] for x in (row, start, end, copies, first))
+        # windows of a text come in order, and each ends after all that begin before it
+        new = np.ones(len(on), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+        cut = np.flatnonzero(new)
+        n = np.diff(np.append(cut, len(on)))
+        out = (key[row[cut]], start[cut], end[np.append(cut[1:], len(on)) - 1], n.astype(np.int32), np.maximum.reduceat(copies, cut).astype(np.int32), np.logical_or.reduceat(first, cut))
+        for i in range(0, len(cut), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in out], ["k", "start", "end", "windows", "copies", "first"])
+
+
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, depth: int = DEPTH, load: float = LOAD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(key, start, end, windows, copies, first): see the module."""
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).filter("k is not null and text is not null")
-    sent = texts.mapInArrow(_sketched(tasks, words, step), SENT_DDL)
-    back = sent.repartitionById(tasks, F.col("r")).mapInArrow(_merged(depth, width), SENT_DDL)
-    marks = written(back.repartition(tasks, "chunk").mapInArrow(_marks, "k long, t long, bits binary").dropDuplicates(["k", "t"]))
-    few = (marks.agg(F.sum(F.length("bits") + 48)).first()[0] or 0) <= broadcast_bytes
-    marked = texts.join(F.broadcast(marks) if few else marks, ["k", "t"])
-    windows = marked.mapInArrow(_repeated(words, step), WINDOWS)
-    places = windows.repartition(tasks, "h").mapInArrow(_grouped, PLACES)
-    return _spans(places).select(F.col("k").alias(key), "start", "end", "windows", "copies", "first")
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows of a partition's texts that overlap."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    k, x, start, end, copies, first = (t[c].to_numpy(zero_copy_only=False) for c in ("k", "t", "start", "end", "copies", "first"))
-    order = np.lexsort((start, x, k))
-    k, x, start, end, copies, first = (c[order] for c in (k, x, start, end, copies, first))
-    # a window ends after all that begin before it: equal numbers of words
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (start[1:] > end[:-1])
-    cut = np.flatnonzero(new)
-    n = np.diff(np.append(cut, len(k)))
-    out = (k[cut], start[cut], end[np.append(cut[1:], len(k)) - 1], n.astype(np.int32), np.maximum.reduceat(copies, cut), np.logical_or.reduceat(first, cut))
-    for i in range(0, len(cut), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in out], ["k", "start", "end", "windows", "copies", "first"])
-
-
-def _spans(places: DataFrame) -> DataFrame:
-    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return places.repartition(tasks, "k").mapInArrow(_joined, "k long, start int, end int, windows int, copies int, first boolean")
+    size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
+    chunks, width = max(1, -(-size // chunk_bytes)), max(1, int(load * size / 6))
+    placed = texts.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(chunks))).repartition(min(tasks, chunks), "chunk")
+    sketches = placed.groupBy("chunk").applyInArrow(_sketched(tasks, words, depth, width), MESSAGE_DDL)
+    answers = sketches.repartitionById(tasks, F.col("r")).mapInArrow(_merged(-(-depth * width // tasks)), MESSAGE_DDL)
+    # the texts' shuffle is the one of the sketches, used again
+    marked = written(placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_marked(tasks, words, depth, width), MESSAGE_DDL))
+    known = marked.filter("r >= 0").repartitionById(tasks, F.col("r")).mapInArrow(_exact, MESSAGE_DDL)
+    spans = marked.filter("r < 0").unionByName(known).repartition(tasks, "chunk").mapInArrow(_spans, SPANS)
+    return spans.select(F.col("k").alias(key), "start", "end", "windows", "copies", "first")
+
+
+def oracle(n: int = WORDS) -> str:
+    """The rows of repeated_spans() in DuckDB's SQL: every window of every text, grouped by its words."""
+    sign = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
+    other = sign.replace("[", "[^")
+    return f"""
+WITH texts AS (
+  SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), split AS (
+  SELECT doc_id, md5(text) AS t, regexp_extract_all(text, '({other}*)({sign}+)', 1) AS gaps, regexp_extract_all(text, '({other}*)({sign}+)', 2) AS ws FROM texts
+), word AS (
+  SELECT doc_id, t, unnest(range(1, len(ws) + 1)) AS i, unnest(gaps) AS gap, unnest(ws) AS w, [lower(x) FOR x IN ws] AS all_words, len(ws) AS many FROM split
+), placed AS (
+  SELECT doc_id, t, i, many, all_words, len(w) AS size, sum(len(gap) + len(w)) OVER (PARTITION BY doc_id, t ORDER BY i) AS until FROM word
+), windows AS (
+  SELECT doc_id, t, i, until - size AS start, lead(until, {n - 1}) OVER (PARTITION BY doc_id, t ORDER BY i) AS stop,
+    CASE WHEN i + {n - 1} <= many THEN md5(array_to_string(list_slice(all_words, i, i + {n - 1}), ' ')) END AS h FROM placed
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY h) AS copies, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) = 1 AS fresh FROM windows WHERE h IS NOT NULL
+), repeated AS (
+  SELECT *, CASE WHEN start <= lag(stop) OVER (PARTITION BY doc_id, t ORDER BY start) THEN 0 ELSE 1 END AS new FROM counted WHERE copies > 1
+), grouped AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY start) AS span FROM repeated
+)
+SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(stop) AS INTEGER) AS "end", CAST(count(*) AS INTEGER) AS windows, CAST(max(copies) AS INTEGER) AS copies, bool_or(fresh) AS first
+FROM grouped GROUP BY doc_id, t, span
+"""

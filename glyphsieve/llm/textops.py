@@ -22,7 +22,7 @@ WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
         size = max(n, 1 << 20)
@@ -91,7 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    power, inverse = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))

@@ -124,35 +124,6 @@ def test_components_spread_over_tasks(spark, rng):
     assert {c for k, _, c in small if k == 1} == {0}
 
 
-def slow_windows(rows, n, step):
-    """Spans from all windows that the sampling looks at, by their words."""
-    places = defaultdict(set)
-    for k, t in rows:
-        w = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t)]
-        data = np.frombuffer(t.encode(), np.uint8)
-        _, h, _, start, end = substring_dedup.windows_of(data, np.array([0, len(data)]), n, step, False)
-        before = [len(t.encode()[:b].decode()) for b in start]
-        at = {x[0]: i for i, x in enumerate(w)}
-        for b in before:
-            i = at[b]
-            places[tuple(x[2] for x in w[i : i + n])].add((k, t, w[i][0], w[i + n - 1][1]))
-    by = defaultdict(list)
-    for found in places.values():
-        if len(found) > 1:
-            for x in sorted(found):
-                by[x[:2]].append((x[2], x[3], len(found)))
-    out = set()
-    for (k, _), spans in by.items():
-        runs = []
-        for a, b, c in sorted(spans):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1], runs[-1][2], runs[-1][3] = b, runs[-1][2] + 1, max(runs[-1][3], c)
-            else:
-                runs.append([a, b, 1, c])
-        out |= {(k, *r) for r in runs}
-    return out
-
-
 def passages(rng):
     shared = [words(rng, 55, "abcdé") for _ in range(5)]
     rows = [(i, words(rng, rng.randint(0, 80)) + " " + shared[i % 5] + ". " + words(rng, 30)) for i in range(40)]
@@ -160,69 +131,76 @@ def passages(rng):
     return rows, shared
 
 
+def spans_of_all_windows(rows, n):
+    """{(key, start, end, windows, copies, first)} from every window of n words of every text, compared word by word."""
+    places = defaultdict(list)
+    for key, text in sorted(set(rows)):
+        word = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", text)]
+        for i in range(len(word) - n + 1):
+            places[tuple(w for *_, w in word[i : i + n])].append((key, text, word[i][0], word[i + n - 1][1]))
+    repeated = sorted((*x, len(v), x == min(v)) for v in places.values() if len(v) > 1 for x in v)
+    out: list[list] = []
+    for key, text, start, end, copies, first in repeated:
+        if out and out[-1][:2] == [key, text] and start <= out[-1][3]:
+            one = out[-1]
+            one[3:] = [end, one[4] + 1, max(one[5], copies), one[6] or first]
+        else:
+            out.append([key, text, start, end, 1, copies, first])
+    return {(k, *x) for k, _, *x in out}
+
+
+def found_spans(df, **options):
+    return {tuple(r) for r in substring_dedup.repeated_spans(df, **options).collect()}
+
+
 def test_repeated_spans(docs_of, rng):
     rows, shared = passages(rng)
     df = docs_of(rows)
-    got = substring_dedup.repeated_spans(df).collect()
-    want = slow_windows(sorted(set((r.doc_id, r.text) for r in df.collect() if r.doc_id is not None and r.text)), substring_dedup.WORDS, substring_dedup.STEP)
-    assert {(r.doc_id, r.start, r.end, r.windows, r.copies) for r in got} == want
-    found = {r.doc_id for r in got}
+    want = spans_of_all_windows([(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None and r.text], substring_dedup.WORDS)
+    got = found_spans(df, chunk_bytes=2000)
+    assert got == want == found_spans(df)
+    found = {k for k, *_ in got}
     assert found >= set(range(40)) | {200}
     assert not found & set(range(100, 120))
     firsts = {s: min(i for i, t in rows if s in t) for s in shared}
-    assert {r.doc_id for r in got if r.first} >= set(firsts.values()) - {200}
+    assert {k for k, *_, first in got if first} >= set(firsts.values()) - {200}
 
 
 def test_collisions_lose_nothing(docs_of, rng):
     df = docs_of(passages(rng)[0])
-    plain = {tuple(r) for r in substring_dedup.repeated_spans(df).collect()}
-    assert plain == {tuple(r) for r in substring_dedup.repeated_spans(df, width=64, depth=1, broadcast_bytes=0).collect()}
-
-
-def test_every_long_shared_passage_has_a_window(rng):
-    n, step = substring_dedup.WORDS, substring_dedup.STEP
-    for _ in range(50):
-        shared = words(rng, n + step - 1)
-        seen = []
-        for _ in range(2):
-            data = np.frombuffer((words(rng, rng.randint(0, 60)) + " " + shared + " " + words(rng, rng.randint(0, 60))).strip().encode(), np.uint8)
-            seen.append(set(substring_dedup.windows_of(data, np.array([0, len(data)]), n, step, False)[1].tolist()))
-        assert seen[0] & seen[1]
+    plain = found_spans(df)
+    assert plain == found_spans(df, load=1e-3, depth=1, chunk_bytes=3000)
+    assert plain == found_spans(df, load=0.1, depth=3)
 
 
-def test_estimates_are_never_too_low():
-    rng = np.random.default_rng(1)
-    values = rng.integers(0, 300, 2000).astype(np.uint64)
-    true = Counter(values.tolist())
-    for width in (7, 64, 1 << 12):
-        got = substring_dedup.estimates(values, 2, width)
-        assert all(g >= true[v] for g, v in zip(got.tolist(), values.tolist(), strict=True))
-    assert (substring_dedup.estimates(values, 2, 1 << 20) == [true[v] for v in values.tolist()]).all()
-
-
-def spans_of_all_windows(rows, n):
-    """Spans from every window of n words, compared word by word."""
-    places = defaultdict(list)
-    for key, text in rows:
-        word = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9]+", text)]
-        for i in range(len(word) - n + 1):
-            places[tuple(w for *_, w in word[i : i + n])].append((key, word[i][0], word[i + n - 1][1]))
-    out: list[list] = []
-    for key, start, end, copies in sorted((*x, len(v)) for v in places.values() if len(v) > 1 for x in v):
-        if out and out[-1][0] == key and start <= out[-1][2]:
-            out[-1][2:] = [end, out[-1][3] + 1, max(out[-1][4], copies)]
-        else:
-            out.append([key, start, end, 1, copies])
-    return {tuple(x) for x in out}
-
-
-def test_every_repeated_window_is_in_a_span(docs_of, rng):
-    n = 40
+@pytest.mark.parametrize("n", [40, 45, 60])
+def test_every_repeated_window_is_in_a_span(docs_of, rng, n):
     rows = []
     for length in range(n - 1, n + 12):
         passage = words(rng, length)
         rows += [(len(rows), f"{words(rng, 30)} {passage} {words(rng, 20)}"), (len(rows) + 1, f"{words(rng, 7)}, {passage.upper()}. {words(rng, 60)}")]
-    df = docs_of(rows, odd=False)
-    got = {(r.doc_id, r.start, r.end, r.windows, r.copies) for r in substring_dedup.repeated_spans(df).collect()}
+    got = found_spans(docs_of(rows, odd=False), words=n, chunk_bytes=4000)
     assert len(got) == 24
     assert got == spans_of_all_windows(rows, n)
+
+
+def test_one_key_with_two_texts(spark, rng):
+    passage = words(rng, 50)
+    rows = [(1, passage + " " + words(rng, 9)), (1, words(rng, 9) + " " + passage), (2, words(rng, 80)), (2, words(rng, 80))]
+    got = found_spans(spark.createDataFrame(rows * 2, "doc_id long, text string"))
+    assert {x[:-1] for x in got} == {x[:-1] for x in spans_of_all_windows(rows, substring_dedup.WORDS)}
+    assert sorted(x[-1] for x in got) == [False, True]
+
+
+def test_sketches_add_up_and_are_never_too_low():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 300, m).astype(np.uint64) for m in (500, 1, 900, 40)]
+    true = Counter(np.concatenate(parts).tolist())
+    for depth, width in ((2, 7), (1, 64), (3, 1 << 12), (2, 1 << 21)):
+        sketches = [substring_dedup.sketch(p, depth, width) for p in parts]
+        for p, (cells, _), bits in zip(parts, sketches, substring_dedup.added(sketches, depth * width), strict=True):
+            many = set(cells[bits].tolist())
+            marked = [all(int(substring_dedup.cells_of(np.array([v], np.uint64), d, width)[0]) in many for d in range(depth)) for v in p]
+            assert all(m for m, v in zip(marked, p.tolist(), strict=True) if true[v] > 1)
+            if width > 1 << 20:
+                assert marked == [true[v] > 1 for v in p.tolist()]
