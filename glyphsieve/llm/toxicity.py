@@ -2,32 +2,43 @@
 
 The kernel counts the subsequences of three letters that two words share, each
 weighted by ``DECAY`` to the length it spans in both. A gap or an inserted letter
-makes it smaller, not zero. The machine works on Nyström features: kernel values with
-landmark words, times the inverse root of the landmarks' kernel matrix. Once trained,
-landmarks and weights fold into one table over letter triples, from which any word's
-decision value follows exactly.
+makes it smaller, not zero. Its sum over the words of two sentences, divided by the
+root of their numbers, is a kernel of sentences. The machine works on Nyström features:
+kernel values with landmark words, times the inverse root of the landmarks' kernel
+matrix. Once trained, landmarks and weights fold into one table over letter triples,
+from which any word's decision value follows exactly.
 
 What it reads are units: words (letters, with digits and signs that stand for
 letters), letters that stand alone one after another ("i d i o t"), and words joined
 by a single sign ("id-iot"). A unit of more than ``LONG`` letters is read in windows of
 so many that overlap by half. A text's value is that of its worst unit.
 
-Training takes labelled sentences: those of ``sample_docs`` texts of each label at
-most, of each one window of ``sample_chars`` characters. Sentences of toxic texts are
-bags in which some unit is to blame. In each of ``rounds`` rounds the units to blame are
-those that stand much oftener in toxic texts not yet explained than in clean ones; the
-machine learns them, and variants with inserted and doubled letters, against units of
-clean texts, the ones it finds hardest in later rounds; texts in which it then finds a
-toxic unit are explained.
+Training takes labelled sentences: those of ``sample_docs`` different texts of each
+label at most, whole ones, ``sample_chars`` characters of each label together at most.
+A sentence inherits its text's label.
+
+1. Landmarks: half are words with four neighbouring letters that the labels' texts
+   have most unequally often, half are words of clean texts.
+2. A machine is trained on all sentences with the sentences' kernel.
+3. As only some sentences of a toxic text are toxic, and in them only some words, the
+   machine is trained again, by ``rounds``, as one of multiple instances: of each toxic
+   text the word that it finds worst, and what else it finds toxic that stands in several
+   toxic texts and hardly in clean ones, with copies of them that have a letter inserted,
+   against words of clean texts, the worst above all. A word costs as many
+   texts as blame it, or as are clean and have it.
 
 Defined results:
 
-* a null or empty text has value 0.0, isn't toxic, and has no place (null);
-* without labelled texts of both kinds, or units to blame, no text is toxic;
+* a null or empty text has value 0.0, isn't toxic, and has no place (null); a null key
+  gets its row as any other; very long texts are read whole;
+* without labelled texts of both kinds no text is toxic; texts of more than
+  ``sample_chars`` characters aren't learnt from;
 * values below the decision boundary are given as 0.0; of equal units the first
   is reported; positions are characters of the text;
-* repeated rows each get their result; labels of unknown keys, null labels and null
-  keys are ignored; other columns are not read.
+* repeated rows each get their result, but count once in training; a key with several
+  texts labels all of them; a key with both labels labels its texts as both; labels of
+  unknown keys, null labels and null keys are ignored;
+* other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,15 +49,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphsieve.llm.shared import written
 from glyphsieve.llm.textops import U64, buffers, char_index, slices, span_hashes
 
 DECAY = 0.6
 LONG = 24
 SHORT = 3
-LETTERS = 32
+LETTERS = 64
+#: Directions of the landmarks in which their kernel matrix is below this share of its largest are left out.
+LEAST_PART = 1e-4
 SCHEMA = "toxic boolean, score double, start int, end int"
 FIELDS = [pa.field("toxic", pa.bool_()), pa.field("score", pa.float64()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
 
@@ -57,7 +71,7 @@ _LETTER[97:123] = _LETTER[65:91] = np.arange(26)
 for _sign, _as in zip("013457@$", "oieastas", strict=True):
     _LETTER[ord(_sign)] = ord(_as) - 97
 _LETTER[0xC0:0x100] = LEAD
-_LETTER[0x80:0xC0] = 26 + np.arange(64) % 6
+_LETTER[0x80:0xC0] = 26 + (np.arange(64) & 0x1F)  # capitals of Latin-1 are 32 below their small letters
 _PROPER = np.zeros(256, dtype=bool)
 _PROPER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True
 _JOIN = np.zeros(256, dtype=bool)
@@ -171,15 +185,6 @@ def by_length(words: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
             yield at, np.stack([words[i] for i in at])
 
 
-def explicit(words: list[np.ndarray]) -> np.ndarray:
-    """(words, triples): the kernel's features, each word's of norm 1."""
-    out = np.zeros((len(words), LETTERS**3), np.float32)
-    for r, w in enumerate(words):
-        for i, j, k, weight in _triples(len(w))[0]:
-            out[r, (int(w[i]) * LETTERS + int(w[j])) * LETTERS + int(w[k])] += weight
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
 def decide(words: list[np.ndarray], model: dict) -> np.ndarray:
     out = np.full(len(words), -np.inf)
     for at, matrix in by_length(words):
@@ -187,16 +192,67 @@ def decide(words: list[np.ndarray], model: dict) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+class Nystrom:
+    """Features of words: kernel values with the landmarks, each word's own kernel value taken as 1, times the inverse root of the landmarks' matrix."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        triples: list[int] = []
+        row: list[int] = []
+        weight: list[float] = []
+        for m, w in enumerate(marks):
+            for i, j, k, x in _triples(len(w))[0]:
+                triples.append((int(w[i]) * LETTERS + int(w[j])) * LETTERS + int(w[k]))
+                row.append(m)
+                weight.append(x)
+        self.ids, at = np.unique(triples, return_inverse=True)
+        self.phi = np.zeros((len(self.ids) + 1, len(marks)), np.float32)  # the last row is of all other triples
+        np.add.at(self.phi, (at, row), weight)
+        self.phi /= np.maximum(np.linalg.norm(self.phi, axis=0), 1e-12)
+        self.index = np.full(LETTERS**3, len(self.ids), np.int32)
+        self.index[self.ids] = np.arange(len(self.ids))
+        value, vector = np.linalg.eigh(self.phi.T.astype(float) @ self.phi)
+        on = value > LEAST_PART * value.max()
+        self.root = vector[:, on] / np.sqrt(value[on])
+
+    def _sums(self, words: np.ndarray) -> np.ndarray:
+        count, n = words.shape
+        w = words.astype(np.int64)
+        total = np.zeros((count, self.phi.shape[1]), np.float32)
+        for i in range(n):
+            for j in range(i + 1, n):
+                pair = (w[:, i] * LETTERS + w[:, j]) * LETTERS
+                for k in range(j + 1, n):
+                    at = self.index[pair + w[:, k]]
+                    hit = np.flatnonzero(at < len(self.ids))
+                    if len(hit):
+                        total[hit] += self.phi[at[hit]] * np.float32(DECAY ** (k - i + 1))
+        return total
+
+    def features(self, words: list[np.ndarray]) -> np.ndarray:
+        """With a last column of ones, for the bias."""
+        out = np.ones((len(words), self.root.shape[1] + 1))
+        for at, matrix in by_length(words):
+            for i in range(0, len(at), 4096):
+                part = matrix[i : i + 4096]
+                out[at[i : i + 4096], :-1] = (self._sums(part) / norms(part)[:, None]) @ self.root
+        return out
+
+    def model(self, w: np.ndarray) -> dict:
+        table = np.zeros(LETTERS**3, np.float32)
+        table[self.ids] = self.phi[:-1] @ (self.root @ w[:-1])
+        return {"table": table, "bias": float(w[-1])}
+
+
+def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton's method; the last column of x is the bias."""
-    w = np.zeros(x.shape[1])
+    w, penalty = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(steps):
         margin = 1 - y * (x @ w)
         on = margin > 0
         xa, ca = x[on], cost[on]
-        step = np.linalg.solve((xa * ca[:, None]).T @ xa + ridge * np.eye(len(w)), ((ca * y[on] * margin[on]) @ xa) - ridge * w)
+        step = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(penalty), ((ca * y[on] * margin[on]) @ xa) - penalty * w)
         w = w + step
-        if np.abs(step).max() < 1e-7:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
@@ -204,99 +260,113 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def _words(text: str) -> set[bytes]:
-    data = np.frombuffer(text.encode(), np.uint8)
-    letters, begin, n, *_ = units(data, np.array([0, len(data)]))
-    return {letters[b : b + m].tobytes() for b, m in zip(begin, n, strict=True)}
-
-
-def _apart(texts: list[list[set[bytes]]]) -> list[list[set[bytes]]]:
-    """Texts without those that share half of a signature with an earlier one: copies say nothing new."""
-    seen: dict[bytes, list[int]] = {}
-    kept: list[list[set[bytes]]] = []
-    for bags in texts:
-        signature = sorted(set().union(*bags), key=lambda w: hash_of(w))[:16]
-        shared: dict[int, int] = {}
-        for w in signature:
-            for i in seen.get(w, ()):
-                shared[i] = shared.get(i, 0) + 1
-        if signature and max(shared.values(), default=0) * 2 <= len(signature):
-            for w in signature:
-                seen.setdefault(w, []).append(len(kept))
-            kept.append(bags)
-    return kept
-
-
-def hash_of(word: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for c in word:
-        h = ((h ^ c) * 0x100000001B3) & (2**64 - 1)
-    return h ^ (h >> 31)
-
-
-def train(toxic: list[str], clean: list[str], *, landmarks: int = 96, rounds: int = 4, seed: int = 3) -> dict | None:
-    """A model from texts of both labels, or None if no unit is to blame."""
-    bad, good = (_apart([[b for s in _SENTENCE.findall(t) if (b := _words(s))] for t in sorted(set(texts))]) for texts in (toxic, clean))
-    if not bad or not good:
+def sentences(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, in order of their hashes, then for each word of each sentence: word, sentence; text of each sentence)."""
+    lines = [(i, s) for i, t in enumerate(texts) for s in _SENTENCE.findall(t)]
+    data, offsets = buffers(pa.array([s for _, s in lines], pa.large_string()))
+    known: dict[int, np.ndarray] = {}
+    hashes, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j in slices(offsets):
+        letters, begin, n, row, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        h = span_hashes(letters, begin, begin + n)
+        for x, f in zip(*np.unique(h, return_index=True), strict=True):
+            known.setdefault(int(x), letters[begin[f] : begin[f] + n[f]])
+        hashes.append(h)
+        rows.append(row + i)
+    keys = np.array(sorted(known), U64)
+    word = np.searchsorted(keys, np.concatenate(hashes))
+    pair = np.unique(np.concatenate(rows) * max(1, len(keys)) + word)
+    return [known[int(x)] for x in keys], pair % max(1, len(keys)), pair // max(1, len(keys)), np.array([i for i, _ in lines], np.int64)
+
+
+def _quads(word: np.ndarray) -> np.ndarray:
+    w = word.astype(np.int64)
+    return np.unique(((w[:-3] * LETTERS + w[1:-2]) * LETTERS + w[2:-1]) * LETTERS + w[3:]) if len(w) > 3 else w[:0]
+
+
+def landmarks(words: list[np.ndarray], word: np.ndarray, text: np.ndarray, n_toxic: int, n_clean: int, most: int) -> list[int]:
+    """Which words are landmarks; word, text: the distinct words of each text, toxic texts first."""
+    each = [_quads(w) for w in words]
+    count = np.array([len(q) for q in each])
+    kinds, quad = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]), return_inverse=True)
+    start = np.cumsum(count) - count
+    many = count[word]
+    entry = np.repeat(start[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    pair = np.unique(np.repeat(text, many) * max(1, len(kinds)) + quad[entry])
+    texts, which = pair // max(1, len(kinds)), pair % max(1, len(kinds))
+    a, b = (np.bincount(which[on], minlength=len(kinds)) + 0.5 for on in (texts < n_toxic, texts >= n_toxic))
+    odds = np.log(a / (n_toxic + 1 - a)) - np.log(b / (n_clean + 1 - b))
+    z = odds / np.sqrt(1 / a + 1 / b)
+    in_toxic = np.bincount(word[text < n_toxic], minlength=len(words))
+    in_clean = np.bincount(word[text >= n_toxic], minlength=len(words))
+    # for each telling quad that no landmark has yet, the word with it that most toxic texts have
+    of = np.repeat(np.arange(len(words)), count)
+    by = np.lexsort((of, -in_toxic[of], quad))
+    lead = of[by[np.searchsorted(quad[by], np.arange(len(kinds)))]]
+    marks: list[int] = []
+    covered = z <= 2
+    for q in np.argsort(-z, kind="stable"):
+        if len(marks) >= most // 2 or z[q] <= 2:
+            break
+        if not covered[q]:
+            i = int(lead[q])
+            covered[quad[start[i] : start[i] + count[i]]] = True
+            marks.append(i)
+    marks = list(dict.fromkeys(marks))
+    taken = set(marks)
+    clean = [int(i) for i in np.flatnonzero(in_clean) if int(i) not in taken]  # words come in order of their hashes
+    return marks + clean[:: max(1, len(clean) // (most - len(marks)))][: most - len(marks)]
+
+
+def train(toxic: list[str], clean: list[str], *, most_landmarks: int = 192, rounds: int = 5, negatives: int = 3000, seed: int = 3) -> dict | None:
+    """A model from texts of both labels, or None without words of both."""
+    toxic, clean = sorted(set(toxic)), sorted(set(clean))
+    words, word, sentence, of = sentences(toxic + clean)
+    text = np.unique(of[sentence] * max(1, len(words)) + word)
+    text, in_text = text // max(1, len(words)), text % max(1, len(words))
+    bad = text < len(toxic)
+    if not bad.any() or bad.all():
         return None
-    wholes = [set().union(*bags) for bags in bad]
-    clean_count: dict[bytes, int] = {}
-    for bags in good:
-        for w in set().union(*bags):
-            clean_count[w] = clean_count.get(w, 0) + 1
-    pool = [np.frombuffer(w, np.uint8) for w in sorted(clean_count, key=hash_of)]
-    negative, hardest = pool[:2000], pool[:landmarks]
+    nystrom = Nystrom([words[i] for i in landmarks(words, in_text, text, len(toxic), len(clean), most_landmarks)])
+    x = nystrom.features(words)
+
+    # sentences with inherited labels
+    cut = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+    run = np.diff(np.append(cut, len(sentence)))
+    mean = np.empty((len(cut), x.shape[1]))
+    for i in range(0, len(cut), 4096):
+        at = cut[i : i + 4096]
+        end = cut[i + 4096] if i + 4096 < len(cut) else len(word)
+        mean[i : i + 4096] = np.add.reduceat(x[word[at[0] : end]], at - at[0]) / np.sqrt(run[i : i + 4096])[:, None]
+    mean[:, -1] = 1
+    y = np.where(of[sentence[cut]] < len(toxic), 1.0, -1.0)
+    w = machine(mean, y, len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum()), ridge=10.0)
+    value = x[:, :-1] @ w[:-1]
+
+    # words as instances
     rng = np.random.default_rng(seed)
-    blamed: dict[bytes, int] = {}
-    positive: list[np.ndarray] = []
-    cost: list[float] = []
-    model, open_ = None, list(range(len(bad)))
-    for _ in range(rounds):
-        # what stands in toxic texts that nothing explains yet, and hardly in clean ones
-        seen: dict[bytes, int] = {}
-        for i in open_:
-            for w in wholes[i]:
-                seen[w] = seen.get(w, 0) + 1
-        least = max(6, len(bad) // 50, len(open_) // 20)
-        new = [w for w, p in seen.items() if w not in blamed and p >= least and p >= 3 * clean_count.get(w, 0) and (p + 0.5) / len(open_) > 20 * (clean_count.get(w, 0) + 0.5) / len(good)]
-        for w in sorted(new, key=lambda w: (-seen[w], w))[: landmarks // 3]:
-            # the sentences that hold it are positive bags, it is their witness
-            blamed[w] = sum(w in b for i in open_ for b in bad[i])
-            own = np.frombuffer(w, np.uint8)
-            variants = [own]
-            for _ in range(12):
-                i = int(rng.integers(1, max(2, len(own))))
-                variants.append(np.insert(own, i, rng.integers(0, 26)))
-                variants.append(np.insert(own, i, own[min(i, len(own) - 1)]))
-            positive += [v[:LONG] for v in variants]
-            cost += [1.0 + float(np.log1p(blamed[w]))] + [0.5] * (len(variants) - 1)
-        if not blamed:
-            return None
-        marks = [np.frombuffer(w, np.uint8) for w in blamed] + hardest[: max(landmarks // 3, landmarks - len(blamed))]
-        phi = explicit(marks)
-        value, vector = np.linalg.eigh(phi.astype(float) @ phi.T)
-        on = value > 1e-6 * value.max()
-        root = vector[:, on] / np.sqrt(value[on])  # Nyström: kernel values times this have the kernel as inner product
-        table = np.ascontiguousarray(phi.T)
-        words = positive + negative
-        x = np.zeros((len(words), root.shape[1] + 1))
-        for at, matrix in by_length(words):
-            x[at, :-1] = (weighted(matrix, table) / norms(matrix)[:, None]) @ root
-        x[:, -1] = 1
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        c = np.r_[np.array(cost) * len(negative) / sum(cost), np.full(len(negative), 2.0)]
-        w = _machine(x, y, c)
-        model = {"table": np.ascontiguousarray((phi.T @ (root @ w[:-1])).astype(np.float32)), "bias": float(w[-1]), "blamed": len(blamed)}
-        scores = decide(pool, model)
-        order = [i for i in np.argsort(-scores)[:1000] if pool[i].tobytes() not in blamed]
-        hardest = [pool[i] for i in order[:landmarks]]
-        known = {n.tobytes() for n in negative}
-        negative = negative + [pool[i] for i in order if pool[i].tobytes() not in known]
-        # texts with a unit well beyond the boundary are explained
-        rest = sorted({w for i in open_ for w in wholes[i]})
-        toxic_words = {w for w, v in zip(rest, decide([np.frombuffer(w, np.uint8) for w in rest], model), strict=True) if v > 1}
-        open_ = [i for i in open_ if not wholes[i] & toxic_words]
-    return model
+    in_toxic, in_clean = (np.bincount(in_text[on], minlength=len(words)) for on in (bad, ~bad))
+    own, first = in_text[bad], np.flatnonzero(np.r_[True, text[bad][1:] != text[bad][:-1]])
+    pool = np.flatnonzero(in_clean)
+    some = pool[:: max(1, len(pool) // negatives)]
+    balance = (len(toxic) / len(clean)) ** 0.25
+    # words that stand in several toxic texts and hardly in clean ones may be to blame beside a worse one
+    known = np.flatnonzero((in_toxic > 2) & (in_toxic * len(clean) > 10 * in_clean * len(toxic)))
+    for number in range(rounds):
+        worst = np.repeat(np.maximum.reduceat(value[own], first), np.diff(np.append(first, len(own))))
+        blamed = np.bincount(own[value[own] >= worst], minlength=len(words))
+        if number:
+            blamed[known] = np.where(value[known] > 0, in_toxic[known], blamed[known])
+        positive = np.flatnonzero(blamed)
+        variants = [np.insert(v, int(rng.integers(1, len(v))), rng.integers(0, 26))[:LONG] for i in positive for v in [words[i]] * 4]
+        hard = pool[np.argsort(-value[pool], kind="stable")][:negatives]
+        negative = np.union1d(some, hard)
+        lot = np.concatenate([x[positive], nystrom.features(variants), x[negative]])
+        y = np.r_[np.ones(len(positive) + len(variants)), -np.ones(len(negative))]
+        cost = np.r_[blamed[positive], np.repeat(blamed[positive] * 0.1, 4), in_clean[negative] * balance]
+        w = machine(lot, y, cost, ridge=1.0)
+        value = x @ w
+    return nystrom.model(w) | {"witnesses": len(positive)}
 
 
 def values(data: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.ndarray, ...]:
@@ -356,22 +426,18 @@ def judge(model: dict | None):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 800, sample_chars: int = 4000, seed: int = 3, **options) -> dict | None:
-    """A model from at most ``sample_docs`` texts of each label, those of the least seeded hashes."""
-    known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("y")).filter("k is not null and y is not null")
-    order = F.xxhash64("k", F.lit(seed))
-    picked = None
-    for y in (0, 1):
-        some = known.filter(F.col("y") == y).select("k", "y", order.alias("o")).distinct().orderBy("o", "k").limit(sample_docs)
-        picked = some if picked is None else picked.unionByName(some)
-    keys = {(r["k"], r["y"]) for r in picked.collect()}
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(int(k), int(y)) for k, y in sorted(keys)], "k long, y int")
-    t = docs[text]
-    start = F.pmod(F.xxhash64(F.substring(t, 1, 64), F.lit(seed)), F.greatest(F.length(t) - sample_chars, F.lit(1))).cast("int") + 1
-    rows = docs.filter(t.isNotNull()).select(docs[key].cast("long").alias("k"), t.substr(start, F.lit(sample_chars)).alias("t")).join(F.broadcast(few), "k")
-    rows = rows.select("y", "t").distinct().orderBy("y", "t").limit(4 * sample_docs).collect()
-    return train([r["t"] for r in rows if r["y"] == 1], [r["t"] for r in rows if r["y"] == 0], seed=seed, **options)
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = 800, sample_chars: int = 8_000_000, seed: int = 3, **options) -> dict | None:
+    """A model from at most ``sample_docs`` different texts of each label with ``sample_chars`` characters together: those of the least seeded hashes."""
+    known = labels.select(labels[key].cast("long").alias("k"), labels[label].cast("int").alias("y")).filter("k is not null and y in (0, 1)").distinct()
+    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"), F.xxhash64(docs[text], F.lit(seed)).alias("h"), F.length(docs[text]).alias("n")).filter(F.col("n").between(1, sample_chars))
+    # numbers first: which texts they are
+    kinds = written(rows.select("k", "h", "n").join(known, "k").select("y", "h", "n").distinct())
+    turn = Window.partitionBy("y").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)
+    share = kinds.groupBy("y").count().select("y", F.least(F.lit(1.0), 4 * sample_docs / F.col("count")).alias("share"))
+    near = kinds.join(F.broadcast(share), "y").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.col("share") * (1 << 20) + 1)
+    picked = near.withColumns({"turn": F.row_number().over(turn), "chars": F.sum("n").over(turn)}).filter((F.col("turn") <= sample_docs) & (F.col("chars") <= sample_chars)).select("y", "h")
+    found = rows.select("t", "h").join(F.broadcast(picked), "h").dropDuplicates(["y", "h"]).select("y", "t").collect()
+    return train([r["t"] for r in found if r["y"] == 1], [r["t"] for r in found if r["y"] == 0], seed=seed, **options)
 
 
 def judged(docs: DataFrame, model: dict | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
