@@ -1,9 +1,11 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
 The network is trained here, in numpy, by backpropagation through time, on a
-bounded sample of rows with a declared language (``sample_rows`` rows, one
-random window of ``sample_chars`` characters of each). It labels every position
-of a text; the probabilities of a document are the mean over its positions.
+bounded sample of rows with a declared language: ``sample_pieces`` pieces of
+``piece_chars`` characters. All pieces of all texts stand the same chance, equal pieces
+of a language count once, and languages take turns, so neither a repeated row nor a
+frequent language decides the sample. The network labels every position of a text; the
+probabilities of a document are the mean over its positions.
 
 A text is cut into segments of ``SEGMENT`` bytes which run side by side as the
 columns of one matrix; each direction is warmed up on ``CONTEXT`` bytes before
@@ -23,9 +25,12 @@ Defined results:
 * languages with less than two pieces of ``PIECE`` bytes to learn from set no floor;
 * no row with a declared language to train on: language null, confidence 0.0,
   accepted (nothing can be rejected without a model);
-* one declared language only: that language with confidence 1.0;
+* one declared language only: that language with confidence 1.0; there may be any
+  number of languages (with more than sample_pieces of them, so many are learnt);
+* a null key gets its row as any other; a very long text is read whole, in segments;
 * repeated rows each get their row; ties between languages go to the language
-  that sorts first; other columns are not read, whatever their names.
+  that sorts first; other columns are not read, whatever their names;
+* an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.textops import buffers, fold, lists, slices
@@ -230,8 +235,8 @@ class Network:
         self.shift = {d: model[d + "c"] for d in "fb"}
         self.out = {d: np.ascontiguousarray(model[d + "O"]) for d in "fb"}
 
-    def _direction(self, d: str, x: np.ndarray, skip: int, logits: np.ndarray) -> None:
-        """Adds one direction's part to logits; x (skip + L, B), in its order."""
+    def _direction(self, d: str, x: np.ndarray, skip: int, logits: np.ndarray, late: np.ndarray | None = None) -> None:
+        """Adds one direction's part to logits; x (skip + L, B), in its order. late: how many columns have not begun at each step."""
         H, B = self.hidden, x.shape[1]
         W, U, c, O = self.table[d], self.cross[d], self.shift[d], self.out[d]
         h = np.zeros((H, B), np.float32)
@@ -252,6 +257,8 @@ class Network:
             h -= n
             h *= zr[:H]
             h += n
+            if late is not None and t < len(late):
+                h[:, : late[t]] = 0
             if t >= skip:
                 np.matmul(O, h, out=part)
                 logits[steps[t - skip]] += part
@@ -264,7 +271,8 @@ class Network:
     def label(self, data: np.ndarray, offsets: np.ndarray, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(label of each byte, mean probabilities of each row)."""
         K, rows = len(self.names), len(offsets) - 1
-        labels, pooled = np.zeros(len(data), np.int8), np.zeros((rows, K))
+        width = max(16, width * 8 // max(8, K))  # probabilities of a step stay of one size
+        labels, pooled = np.zeros(len(data), np.int32), np.zeros((rows, K))
         sizes = np.diff(offsets)
         count = -(-sizes // SEGMENT)
         row = np.repeat(np.arange(rows), count)
@@ -284,7 +292,8 @@ class Network:
             logits = np.empty((L, K, len(at)), np.float32)
             logits[:] = self.bias
             self._direction("f", np.ascontiguousarray(x.T), CONTEXT, logits)
-            self._direction("b", np.ascontiguousarray(xb.T), CONTEXT, logits)
+            # columns are in order of length: backward, the shorter ones begin later
+            self._direction("b", np.ascontiguousarray(xb.T), CONTEXT, logits, np.searchsorted(e - s, L - np.arange(L)))
             best = logits.argmax(1)
             logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
@@ -347,27 +356,25 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
     )
 
 
-def sample(docs: DataFrame, text: str, label: str, rows: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows, the same for the same table: the least seeded hashes.
+def sample(docs: DataFrame, text: str, label: str, most: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
+    """A bounded sample of pieces of labelled rows, the same for the same table: the least seeded hashes of each label in turn.
 
-    A first cut at a share of the hashes (four times what is wanted) keeps what tasks send to the driver bounded too."""
+    A first cut at a share of each label's pieces (four times what is wanted) bounds what is put in order."""
     t, y = docs[text], docs[label].cast("string")
-    key = F.xxhash64(t, y, F.lit(seed))
-    share = min(1.0, 4 * rows / max(1, docs.count()))
-    start = F.pmod(key, F.greatest(F.length(t) - chars, F.lit(1))).cast("int") + 1
-    got = (
-        docs.filter(t.isNotNull() & y.isNotNull() & (F.length(t) > 0) & (F.pmod(F.xxhash64(t), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        .select(F.xxhash64(t, F.lit(seed + 1)).alias("k"), t.substr(start, F.lit(chars)).alias("t"), y.alias("y"))
-        .orderBy("k", "y", "t")
-        .limit(rows)
-        .collect()
-    )
+    rows = docs.select(t.alias("t"), y.alias("y"), F.xxhash64(t).alias("h"), F.ceil(F.length(t) / chars).alias("n")).filter("t is not null and y is not null and n > 0")
+    size = rows.groupBy("y").agg((F.sum("n") * F.approx_count_distinct("h") / F.count("*")).alias("pieces"))
+    cut = (F.least(F.lit(1.0), 4 * most / F.greatest(F.col("pieces"), F.lit(1.0))) * (1 << 20)).cast("int") + 1
+    picked = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(F.col("h"), i, F.lit(seed)), F.lit(1 << 20)) < F.col("cut"))
+    some = rows.join(size.select("y", cut.alias("cut")), "y").select("y", "t", picked.alias("at")).filter(F.size("at") > 0)
+    pieces = some.select("y", F.explode(F.transform("at", lambda i: F.col("t").substr((i * chars + 1).cast("int"), F.lit(chars)))).alias("t")).select("y", "t", F.xxhash64("t", F.lit(seed + 1)).alias("k"))
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("k"))
+    got = pieces.dropDuplicates(["y", "k"]).withColumn("turn", turn).orderBy("turn", "k", "y").limit(most).collect()
     return [r["t"] for r in got], [r["y"] for r in got]
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_rows: int = 2000, sample_chars: int = 600, seed: int = 7, **options) -> dict | None:
-    """A model trained on at most ``sample_rows`` rows of docs; ``label`` names the declared language."""
-    return train(*sample(docs, text, label, sample_rows, sample_chars, seed), seed=seed, **options)
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", sample_pieces: int = 2000, piece_chars: int = 600, seed: int = 7, **options) -> dict | None:
+    """A model trained on at most ``sample_pieces`` pieces of docs; ``label`` names the declared language."""
+    return train(*sample(docs, text, label, sample_pieces, piece_chars, seed), seed=seed, **options)
 
 
 def detector(model: dict | None, min_confidence: float = 0.4):
