@@ -8,19 +8,23 @@ joined by edges that cost something when their ends get different labels. The
 minimum cut, by maximum flow, is the labelling of least total cost; of equal ones
 the one with the fewest content blocks.
 
-The classifier is trained here, in numpy, on a bounded sample of pages
-(``sample_pages``). A block's label in training comes from the page's own semantic
+The classifier is trained here, in numpy, on a bounded sample: ``sample_blocks`` blocks
+of ``sample_pages`` different pages at most; executors read those pages, only numbers
+come to the driver. A block's label in training comes from the page's own semantic
 elements (article and main against nav, footer, aside, header and form); the
 features don't look at those, so pages without such elements are judged alike.
 
 Defined results:
 
-* a null page stays null; an empty one, or one without text, gives an empty text;
+* a null page stays null; an empty one, or one without text, gives an empty text; a
+  null key gets its row as any other; a very long page is one page and is read whole;
 * texts in script, style, template, noscript, svg and head (but its title is kept
   apart), and comments, are in no block; unclosed and stray tags are tolerated;
 * without a page to learn from (none, or without both kinds of blocks) the weights
   of ``PRIOR`` are used;
-* repeated rows each get their result; other columns are not read.
+* repeated rows each get their result, but count once in training; a tie between
+  labellings of equal cost goes to the one with the fewest content blocks;
+* other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -181,18 +185,18 @@ def features(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-def train(pages: list[str], steps: int = 25, ridge: float = 1.0) -> np.ndarray:
-    """Weights by Newton's method for logistic regression on the blocks in semantic elements."""
-    xs, ys = [], []
-    for page in pages:
-        blocks, _ = blocks_of(page)
-        if blocks:
-            label = np.array([b.label for b in blocks])
-            xs.append(features(blocks)[label != 0])
-            ys.append(label[label != 0] > 0)
-    if not xs:
-        return PRIOR
-    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
+def examples(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, content or not) of the blocks in semantic elements."""
+    blocks, _ = blocks_of(page)
+    if not blocks:
+        return np.zeros((0, FEATURES)), np.zeros(0, dtype=bool)
+    label = np.array([b.label for b in blocks])
+    return features(blocks)[label != 0], label[label != 0] > 0
+
+
+def train(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1.0) -> np.ndarray:
+    """Weights by Newton's method for logistic regression on examples."""
+    y = y.astype(float)
     if not len(y) or y.min() == y.max():
         return PRIOR
     w = np.zeros(FEATURES)
@@ -316,16 +320,28 @@ def extract(page: str, weights: np.ndarray, smooth: float = SMOOTH, near: float
     return "\n".join(kept), title, len(blocks), len(kept)
 
 
-def sample(pages: DataFrame, html: str, most: int, seed: int) -> list[str]:
-    """At most so many pages, those of the least seeded hashes."""
-    share = min(1.0, 4 * most / max(1, pages.count()))
-    page = pages[html]
-    near = pages.filter(page.isNotNull() & (F.pmod(F.xxhash64(page), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    return [r[0] for r in near.select(page.alias("h"), F.xxhash64(page, F.lit(seed)).alias("k")).orderBy("k", "h").limit(most).collect()]
+def sample(pages: DataFrame, html: str, most_pages: int, most_blocks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Examples from the pages of the least seeded hashes; of too many blocks again those of the least hashes."""
+    some = pages.select(pages[html].alias("html"), F.xxhash64(pages[html], F.lit(seed)).alias("k")).filter("html is not null")
+    kinds = some.agg(F.approx_count_distinct("k")).first()[0]
+    some = some.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(min(1.0, 4 * most_pages / max(1, kinds)) * (1 << 20)) + 1)
+    keys = [r[0] for r in some.select("k").distinct().orderBy("k").limit(most_pages).collect()]
+    if not keys:
+        return np.zeros((0, FEATURES)), np.zeros(0, dtype=bool)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page in b.column("html"):
+                x, y = examples(page.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(y)], ["x", "y"])
+
+    found = some.filter(F.col("k") <= keys[-1]).dropDuplicates(["k"]).select("html").mapInArrow(read, "x array<double>, y boolean")
+    got = found.orderBy(F.xxhash64("x", "y", F.lit(seed)), "y", "x").limit(most_blocks).toArrow()
+    return np.array(got["x"].to_pylist(), float).reshape(-1, FEATURES), got["y"].to_numpy().astype(bool)
 
 
-def fit(pages: DataFrame, *, html: str = "html", sample_pages: int = 200, seed: int = 5) -> np.ndarray:
-    return train(sample(pages, html, sample_pages, seed))
+def fit(pages: DataFrame, *, html: str = "html", sample_pages: int = 200, sample_blocks: int = 20_000, seed: int = 5) -> np.ndarray:
+    return train(*sample(pages, html, sample_pages, sample_blocks, seed))
 
 
 def extractor(weights: np.ndarray, smooth: float = SMOOTH, near: float = NEAR):
