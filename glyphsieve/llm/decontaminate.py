@@ -13,33 +13,40 @@ by band; regions that meet the bound are kept and verified by an alignment
 within the band.
 
 All of each text is compared with all items. Items go to the tasks in shards of
-``SHARD_CHARS`` characters; a larger benchmark makes more shards and each text is
-held against every one of them.
+``SHARD_CHARS`` characters (a longer item is a shard of its own), each broadcast by
+itself; the driver reads them one at a time and holds no more than one. A task holds the
+index of ``PASS_SHARDS`` of them at most: a larger benchmark takes more passes over the
+texts, and each text is held against every shard.
 
 Defined results:
 
-* a null or empty text, or one without words, has no matches;
+* a null or empty text, or one without words, has no matches; a null document key is
+  reported as any other; very long texts are read whole;
 * items that are null or shorter than q characters are ignored; repeated item
   ids or texts are items of their own; an item with a null id is ignored;
 * of overlapping matches of one item in one text the one with the fewest edits
-  stays, then the leftmost;
-* repeated rows each get their matches; an empty benchmark or table gives none.
+  stays, then the leftmost; a match's end is the earliest with its edits, its start the
+  leftmost that goes with that end;
+* repeated rows each get their matches, in no order; an empty benchmark or table gives
+  none; other columns are not read, whatever their names (``clean`` keeps them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.textops import U64, WORD_BYTE, buffers, char_index, fold, lists, slices
 
 Q = 10
 RATE = 0.08
-SHARD_CHARS = 4_000_000
+SHARD_CHARS, PASS_SHARDS = 4_000_000, 8
 MATCHES = "array<struct<item:bigint,start:int,end:int,edits:int>>"
 MATCH = pa.struct([("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 _BIG = 1 << 40
@@ -210,40 +217,46 @@ def _matches(index: Index, texts: pa.Array) -> pa.Array:
 def shards(benchmark: DataFrame, item: str, text: str, most: int = SHARD_CHARS) -> Iterator[tuple[list[int], list[str]]]:
     ids, texts, size = [], [], 0
     for i, t in benchmark.select(benchmark[item].cast("long"), benchmark[text]).filter(benchmark[item].isNotNull() & benchmark[text].isNotNull()).toLocalIterator():
+        if ids and size + len(t) > most:
+            yield ids, texts
+            ids, texts, size = [], [], 0
         ids.append(i)
         texts.append(t)
         size += len(t)
-        if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def finder(ids: list[int], texts: list[str], q: int = Q, rate: float = RATE):
+def finder(spark: SparkSession, ids: list[int], texts: list[str], q: int = Q, rate: float = RATE):
     """An Arrow UDF from a text to its MATCHES with these items."""
+    items = spark.sparkContext.broadcast((ids, texts))
 
     @F.arrow_udf(MATCHES)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(ids, texts, q, rate)
+        index = Index(*items.value, q, rate)
         for b in batches:
             yield _matches(index, b)
 
     return find
 
 
-def matches(text: Column, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, shard_chars: int = SHARD_CHARS) -> Column:
-    """A column of MATCHES."""
-    parts = [finder(*shard, q, rate)(text) for shard in shards(benchmark, item, item_text, shard_chars)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(MATCHES)
+def passes(text: Column, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, shard_chars: int = SHARD_CHARS, pass_shards: int = PASS_SHARDS) -> Iterator[Column]:
+    """Columns of MATCHES, which together have all items: one for each pass."""
+    found = (finder(benchmark.sparkSession, *shard, q, rate)(text) for shard in shards(benchmark, item, item_text, shard_chars))
+    while some := list(islice(found, pass_shards)):
+        yield F.concat(*some) if len(some) > 1 else some[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, item_id, start, end, edits): one row for each occurrence, positions in characters of the text."""
-    found = docs.select(docs[key].alias("k"), F.explode(matches(docs[text], benchmark, **options)).alias("m"))
+    each = [docs.select(docs[key].alias("k"), F.explode(m).alias("m")) for m in passes(docs[text], benchmark, **options)]
+    found = reduce(DataFrame.union, each or [docs.limit(0).select(docs[key].alias("k"), F.explode(F.array().cast(MATCHES)).alias("m"))])
     return found.select(F.col("k").alias(key), F.col("m.item").alias("item_id"), "m.start", "m.end", "m.edits")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The rows of docs in which no item occurs, with all their columns."""
-    return docs.filter(F.size(matches(docs[text], benchmark, **options)) == 0)
+    out = docs
+    for m in passes(docs[text], benchmark, **options):
+        out = out.filter(F.size(m) == 0)
+    return out
