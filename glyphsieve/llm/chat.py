@@ -29,7 +29,11 @@ Defined results:
 * turns come in order of turn (null first), then role, then text; repeated rows
   (same id, turn, role and text) count once;
 * conversations of equal turns share all nodes, whatever the numbers of the turns;
-* other columns are not read; an empty table gives no rows.
+* a turn is tokenized whole, however long; a conversation is one row of the shuffle;
+* a tie in the order of turns can't be: equal turns of a conversation are one;
+* other columns are not read, whatever their names; an empty table gives no rows;
+* a tokenizer that can't be read, or lacks the end token, is an error at once: the driver
+  reads its file and sends it along with the tasks.
 """
 
 from __future__ import annotations
@@ -37,31 +41,35 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.shared import written
+from glyphsieve.llm.textops import lists
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = "<|endoftext|>"
 SPANS = "array<struct<start:bigint,end:bigint>>"
 NODES = f"part int, moves boolean, first int, tree bigint, start bigint, depth int, position int, role string, conversations array<bigint>, tokens array<int>, attends {SPANS}, report string, path array<binary>, lengths array<int>"
 RESULT = f"tree bigint, start bigint, end bigint, depth int, role string, conversations array<bigint>, tokens array<int>, positions array<int>, attends {SPANS}"
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_SPANS = pa.list_(_SPAN)
 _NODES = pa.schema([("part", pa.int32()), ("moves", pa.bool_()), ("first", pa.int32()), ("tree", pa.int64()), ("start", pa.int64()), ("depth", pa.int32()), ("position", pa.int32()), ("role", pa.string()), ("conversations", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("attends", _SPANS), ("report", pa.string()), ("path", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32()))])
-_RESULT = pa.schema([("tree", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32()), ("role", pa.string()), ("conversations", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())), ("attends", _SPANS)])
 
 Spans = list[tuple[int, int]]
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str, end: str):
+def _tokenizer(json: str, end: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use the cores
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_str(json)
     last = t.token_to_id(end)
     if last is None:
         raise ValueError(f"the tokenizer has no token {end}")
@@ -69,9 +77,22 @@ def _tokenizer(path: str, end: str):
     return t, last
 
 
+def read_tokenizer(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def encoded(turns: list[str], json: str, end: str) -> list[list[int]]:
+    """The tokens of each turn; equal turns are tokenized once."""
+    t, last = _tokenizer(json, end)
+    known = dict.fromkeys(turns)
+    for turn, x in zip(known, t.encode_batch_fast(list(known), add_special_tokens=False), strict=True):
+        known[turn] = [*x.ids, last]
+    return [known[turn] for turn in turns]
+
+
 def encode(turns: list[str], tokenizer: str = TOKENIZER, end: str = END) -> list[list[int]]:
-    t, last = _tokenizer(tokenizer, end)
-    return [[*x.ids, last] for x in t.encode_batch(turns, add_special_tokens=False)]
+    return encoded(turns, read_tokenizer(tokenizer), end)
 
 
 def written_turn(role: str, text: str) -> str:
@@ -94,15 +115,17 @@ def common(one: list[bytes], other: list[bytes]) -> int:
     return same
 
 
-def _pairs(spans: Spans) -> list[dict]:
-    return [{"start": s, "end": e} for s, e in spans]
-
-
 def _root(path: list[bytes]) -> int:
     return int.from_bytes(path[0][:8], "big", signed=True)
 
 
-def _scan(tokenizer: str, end: str):
+def _span_lists(flat: list[int], counts: list[int]) -> pa.ListArray:
+    """Lists of spans from starts and ends one after another, and the number of spans in each list."""
+    both = np.array(flat, np.int64).reshape(-1, 2)
+    return lists(pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], fields=list(_SPAN)), np.array(counts, np.int64))
+
+
+def _scan(tokenizer: Broadcast, end: str):
     """Nodes of sorted conversations, offsets counted from where the task's part of the tree begins.
 
     moves: the node's tree may have begun before this part; first: the node's depth in the part's first conversation, or -1."""
@@ -118,25 +141,40 @@ def _scan(tokenizer: str, end: str):
             for _, p, *_ in rows:
                 new.append(common(before, p))
                 before = p
-            ids = iter(encode([written_turn(r, t) for same, (_, _, roles, texts, _) in zip(new, rows, strict=True) for r, t in zip(roles[same:], texts[same:], strict=True)], tokenizer, end))
-            out = []
+            tokens = encoded([written_turn(r, t) for same, (_, _, roles, texts, _) in zip(new, rows, strict=True) for r, t in zip(roles[same:], texts[same:], strict=True)], tokenizer.value, end)
+            ids = iter(tokens)
+            out: list[tuple] = []
+            attends: list[int] = []
+            owners: list[int] = []
             for same, (part, p, roles, _, conversations) in zip(new, rows, strict=True):
                 opening = head is None
                 if same == 0 and not opening:
                     at, moves = 0, False
                 del stack[same:]
+                tree = _root(p)
                 for depth in range(same, len(p)):
-                    tokens = next(ids)
+                    n = len(next(ids))
                     position, spans = (stack[-1][2], stack[-1][3]) if stack else (0, [])
                     last = depth == len(p) - 1
-                    out.append({"part": part, "moves": moves, "first": depth if opening else -1, "tree": _root(p), "start": at, "depth": depth, "position": position, "role": roles[depth], "conversations": conversations if last else [], "tokens": tokens, "attends": _pairs(spans)})
-                    stack.append((at, len(tokens), position + len(tokens), joined(spans, at, at + len(tokens))))
-                    at += len(tokens)
+                    out.append((moves, depth if opening else -1, tree, at, depth, position, roles[depth], len(conversations) if last else 0, len(spans)))
+                    if last:
+                        owners += conversations
+                    for span in spans:
+                        attends += span
+                    stack.append((at, n, position + n, joined(spans, at, at + n)))
+                    at += n
                 path = p
                 if opening:
                     head = {"part": part, "report": "first", "path": p, "lengths": [n for _, n, *_ in stack]}
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_NODES)
+                moved_, first, trees, starts, depths, positions, role, owned, spread = zip(*out, strict=True)
+                flat = pa.array(np.fromiter(chain.from_iterable(tokens), np.int32))
+                columns = [
+                    pa.array(np.full(len(out), part, np.int32)), pa.array(moved_), pa.array(first, pa.int32()), pa.array(trees), pa.array(starts), pa.array(depths, pa.int32()), pa.array(positions, pa.int32()), pa.array(role),
+                    lists(pa.array(owners, pa.int64()), np.array(owned)), lists(flat, np.array([len(x) for x in tokens])), _span_lists(attends, spread),
+                    *(pa.nulls(len(out), f.type) for f in list(_NODES)[-3:]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=_NODES)
         if head is not None:
             tail = {"part": part, "report": "last", "moves": moves, "start": at, "path": path, "lengths": [n for _, n, *_ in stack], "attends": [{"start": s, "end": s + n} for s, n, *_ in stack]}
             yield pa.RecordBatch.from_pylist([head, tail], schema=_NODES)
@@ -190,26 +228,36 @@ def carried(reports: list[dict]) -> dict[int, tuple[int, int, Spans, int]]:
 def _finish(parts: dict[int, tuple[int, int, Spans, int]]):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                same, prefix, known, move = parts[r["part"]]
-                start, attends = r["start"], r["attends"]
-                if r["moves"]:
-                    if 0 <= r["first"] < same:
-                        continue  # an earlier part has it
-                    start += move
-                    attends = _pairs(moved([(s["start"], s["end"]) for s in attends], prefix, known, move))
-                n = len(r["tokens"])
-                out.append({"tree": r["tree"], "start": start, "end": start + n, "depth": r["depth"], "role": r["role"], "conversations": r["conversations"], "tokens": r["tokens"], "positions": list(range(r["position"], r["position"] + n)), "attends": attends})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
+            keep, start, attends = np.ones(b.num_rows, dtype=bool), b.column("start").to_numpy().copy(), b.column("attends")
+            moves = np.flatnonzero(b.column("moves").to_numpy(zero_copy_only=False).astype(bool))
+            if len(moves):  # nodes of a tree that an earlier part may have begun
+                part, first = (b.column(c).to_numpy() for c in ("part", "first"))
+                spans = [[(s["start"], s["end"]) for s in x] for x in attends.to_pylist()]
+                for i in moves:
+                    same, prefix, known, move = parts[part[i]]
+                    if 0 <= first[i] < same:
+                        keep[i] = False  # an earlier part has it
+                    else:
+                        start[i] += move
+                        spans[i] = moved(spans[i], prefix, known, move)
+                attends = _span_lists([x for own in spans for span in own for x in span], [len(x) for x in spans])
+            tokens = b.column("tokens")
+            n = tokens.value_lengths().to_numpy().astype(np.int64)
+            ends = np.cumsum(n)
+            positions = np.arange(n.sum()) + np.repeat(b.column("position").to_numpy() - (ends - n), n)
+            columns = [b.column("tree"), pa.array(start), pa.array(start + n), b.column("depth"), b.column("role"), b.column("conversations"), tokens, lists(pa.array(positions.astype(np.int32)), n), attends]
+            out = pa.RecordBatch.from_arrays(columns, ["tree", "start", "end", "depth", "role", "conversations", "tokens", "positions", "attends"])
+            yield out if keep.all() else out.filter(pa.array(keep))
 
     return finish
 
 
 def prefix_tree(conversations: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = TOKENIZER, end: str = END) -> DataFrame:
     """One row for each node: see the module."""
-    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = conversations.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    json = read_tokenizer(tokenizer)
+    _tokenizer(json, end)
     empty = F.lit("")
     turns = conversations.select(conversations[key].cast("long").alias("k"), conversations[turn].alias("n"), F.coalesce(conversations[role].cast("string"), empty).alias("role"), F.coalesce(conversations[text].cast("string"), empty).alias("text")).filter("k is not null")
     whole = turns.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("n", "role", "text"))).alias("turns"))
@@ -217,6 +265,6 @@ def prefix_tree(conversations: DataFrame, *, key: str = "conv_id", turn: str = "
     # a role with a line end would write the same turn as another role and text do, and is the same node
     distinct = hashed.groupBy("path").agg(F.array_sort(F.collect_list("k")).alias("conversations"), F.any_value(F.struct("roles", "texts")).alias("one"))
     placed = distinct.repartitionByRange(tasks, "path").sortWithinPartitions("path").select(F.spark_partition_id().alias("part"), "path", "one.roles", "one.texts", "conversations")
-    scanned = written(placed.mapInArrow(_scan(tokenizer, end), NODES))
+    scanned = written(placed.mapInArrow(_scan(spark.sparkContext.broadcast(json), end), NODES))
     reports = [r.asDict(recursive=True) for r in scanned.filter("report is not null").select("part", "report", "moves", "start", "path", "lengths", "attends").collect()]
     return scanned.filter("report is null").mapInArrow(_finish(carried(reports)), RESULT)
