@@ -111,9 +111,10 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
         files = spark.createDataFrame([(name, text)], sources.FILES)
         sign = sources.comment_char(cwd, text)
         prepared = messages.prepared(files, comment=sign)
+        pretty = o.format == "pretty"
         everywhere = [r.__class__(**{k: getattr(r, k) for k in r.__dataclass_fields__} | {"include": ("**",), "exclude": ()}) for r in rules]
-        found = scan(prepared.filter("not generated").select("file", "text"), everywhere, assume_text=True, internal=True)
-        return _report(o, found, files, None, out, say)
+        found = scan(prepared.filter("not generated").select("file", "text"), everywhere, assume_text=True, internal=True, excerpts=pretty)
+        return _report(o, found, None, out, say)
     if o.staged:
         root = sources.repo_root(cwd)
         inside = os.path.relpath(os.path.realpath(loaded.root), root)
@@ -141,28 +142,29 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
         say(f"{file} was skipped: JSX can't be read")
 
     def again(texts: DataFrame) -> DataFrame:
-        return scan(texts, **options, internal=True)
+        return scan(texts, **options, internal=True, excerpts=o.format == "pretty")
 
     fixed, converged = 0, True
     if o.fix:
         for file in sorted(r[0] for r in hold.collect()) if hold is not None else ():
             say(f"{file} is staged in part, so it isn't rewritten")
-        done = fix.fix_to_fixpoint(files, again, hold=hold)
-        names = {r[0] for r in done.changed.toLocalIterator()}
-        for r in done.files.filter(F.col("file").isin(sorted(names))).toLocalIterator() if names else ():
+        done = fix.fix_to_fixpoint(files, hold=hold, **options)
+        names = []
+        for r in done.changed.toLocalIterator():
             with open(os.path.join(loaded.root, r["file"]), "w", encoding="utf-8", newline="") as f:
                 f.write(r["text"])
+            names.append(r["file"])
         if o.staged and names:
             sources.stage(loaded.root, sorted(names))
         for w in done.warnings:
             say(w)
-        found, files, fixed, converged = done.findings, done.files, done.fixed, done.converged
+        found, fixed, converged = done.findings, done.fixed, done.converged
     else:
         found = again(files)
-    return _report(o, found, files, (_use_baseline(loaded, o), scope), out, say, fixed, converged, len(refused))
+    return _report(o, found, (_use_baseline(loaded, o), scope), out, say, fixed, converged, len(refused))
 
 
-def _report(o: argparse.Namespace, found: DataFrame, files: DataFrame, use: tuple[str | None, DataFrame | None] | None, out: Callable[[str], None], say: Callable[[str], None], fixed: int = 0, converged: bool = True, refused: int = 0) -> int:
+def _report(o: argparse.Namespace, found: DataFrame, use: tuple[str | None, DataFrame | None] | None, out: Callable[[str], None], say: Callable[[str], None], fixed: int = 0, converged: bool = True, refused: int = 0) -> int:
     path, scope = use or (None, None)
     spark = found.sparkSession
     found = kept(found)
@@ -170,7 +172,7 @@ def _report(o: argparse.Namespace, found: DataFrame, files: DataFrame, use: tupl
     if path is not None and o.baseline_write:
         if refused:
             raise known.BaselineError("files were skipped, so a baseline would not record their findings")
-        known.write(known.entries_for(found, files), path)
+        known.write(known.entries_for(found), path)
         say(f"recorded {report.plural(found.count(), 'finding')} in {path}")
         return OK
     if path is not None:
@@ -178,23 +180,23 @@ def _report(o: argparse.Namespace, found: DataFrame, files: DataFrame, use: tupl
         if entries is None:
             say(f"there is no baseline at {path}, so every finding is new")
         else:
-            parts = known.split(found, files, entries, scope)
+            parts = known.split(found, entries, scope)
             gone = parts.stale.collect()
             accounted = parts.baselined.count()
             if o.fix and fixed:
-                known.write(known.pruned(entries, parts.baselined, files, scope), path)
+                known.write(known.pruned(entries, parts.baselined, scope), path)
                 gone = []
             stale = len(gone)
             if stale:
                 say(f"{report.plural(stale, 'entry') if stale == 1 else f'{stale} entries'} of the baseline have no finding any more")
             found = kept(parts.reported)
-    shown = ordered(found.drop("cp_offset"))
+    shown = ordered(found.drop("cp_offset", "context"))
     if o.format == "json":
         out(report.json_report(shown, o.quiet))
     elif o.format == "sarif":
         out(report.sarif_report(shown, o.quiet, VERSION))
     else:
-        out(report.pretty_report(shown, files, quiet=o.quiet, color=not o.no_color and sys.stdout.isatty(), fixed=fixed, baselined=accounted))
+        out(report.pretty_report(shown, quiet=o.quiet, color=not o.no_color and sys.stdout.isatty(), fixed=fixed, baselined=accounted))
     code = report.exit_code(F.col("errors"), F.col("warnings"), max_warnings=o.max_warnings, strict_stale=F.lit(stale) if o.baseline_strict else None, converged=F.lit(converged), skipped=F.lit(refused))
     return report.summary(found).select(code.alias("code")).first()["code"]
 

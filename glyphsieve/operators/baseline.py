@@ -10,7 +10,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphsieve.functions.text import context, without_bom
 from glyphsieve.sources.tables import kept
 
 FILENAME = "glyphsieve-baseline.json"
@@ -22,20 +21,15 @@ class BaselineError(ValueError):
     """A baseline that can't be used; never taken as an empty one."""
 
 
-def keyed(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings (with cp_offset) with ``context`` (null without a text) and ``ordinal`` among equal ones by offset.
-
-    One join by file; the windows reuse its partitioning."""
-    texts = files.select("file", without_bom(F.col("text")).alias("source"))
-    joined = findings.join(texts, "file", "left")
-    around = joined.withColumn("context", context(F.col("source"), F.col("cp_offset").cast("int"), F.length("match"))).drop("source")
+def keyed(findings: DataFrame) -> DataFrame:
+    """Findings of a scan with its context (``internal``), with ``ordinal`` among equal ones by offset. No text is needed."""
     same = Window.partitionBy("file", "rule_id", "context").orderBy("offset")
-    return around.withColumn("ordinal", F.when(F.col("context").isNotNull(), F.row_number().over(same) - 1).otherwise(0))
+    return findings.withColumn("ordinal", F.when(F.col("context").isNotNull(), F.row_number().over(same) - 1).otherwise(0))
 
 
-def entries_for(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """ENTRIES without pos, of findings whose texts are known."""
-    return keyed(findings, files).filter("context is not null").select("file", "rule_id", "context", F.col("ordinal").cast("int").alias("ordinal"))
+def entries_for(findings: DataFrame) -> DataFrame:
+    """ENTRIES without pos. Those of findings whose text isn't known have no context; they can't be written."""
+    return keyed(findings).select("file", "rule_id", "context", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @dataclass
@@ -47,15 +41,15 @@ class Parts:
     stale: DataFrame
 
 
-def split(findings: DataFrame, files: DataFrame, baseline: DataFrame, scope: DataFrame | None = None) -> Parts:
+def split(findings: DataFrame, baseline: DataFrame, scope: DataFrame | None = None) -> Parts:
     """First entries of the same context and ordinal, each for one finding; then, of the same file and rule, as many as are left.
 
-    findings have cp_offset; ``scope`` (file): the files that were scanned, if not all."""
+    findings have their context; ``scope`` (file): the files that were scanned, if not all."""
     columns = findings.columns
-    own = keyed(findings, files)
+    own = keyed(findings)
     twin = Window.partitionBy("file", "rule_id", "context", "ordinal")
     own = kept(own.withColumn("copy", F.row_number().over(twin.orderBy("offset"))))  # read three times
-    known = baseline.select("file", "rule_id", "context", "ordinal", "pos").withColumn("copy", F.row_number().over(twin.orderBy("pos")))
+    known = kept(baseline.select("file", "rule_id", "context", "ordinal", "pos").withColumn("copy", F.row_number().over(twin.orderBy("pos"))))
     key = ["file", "rule_id", "context", "ordinal", "copy"]
     marked = own.join(known.select(*key, F.lit(True).alias("exact")), key, "left")
     left = known.join(own.select(*key), key, "left_anti")
@@ -72,9 +66,9 @@ def split(findings: DataFrame, files: DataFrame, baseline: DataFrame, scope: Dat
     return Parts(reported, baselined, stale)
 
 
-def pruned(baseline: DataFrame, baselined: DataFrame, files: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+def pruned(baseline: DataFrame, baselined: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """The entries after a run that fixed findings: of files it covered only those that are still there."""
-    rebuilt = entries_for(baselined, files)
+    rebuilt = entries_for(baselined)
     columns = ["file", "rule_id", "context", "ordinal"]
     if scope is None:
         return rebuilt.select(*columns)
@@ -91,7 +85,12 @@ def serialized(rows: list[dict[str, Any]]) -> str:
 
 
 def write(entries: DataFrame, path: str) -> None:
-    """One file for people to read and compare; its rows come to the driver one by one."""
+    """One file for people to read and compare; its rows come to the driver one by one.
+
+    Nothing is written if an entry has no context, as its text could not be read."""
+    lost = entries.filter("context is null").agg(F.count("*").alias("n"), F.min("file").alias("file")).first()
+    if lost["n"]:
+        raise BaselineError(f"{lost['n']} finding(s) can't be recorded, as their text can't be read; the first is in {lost['file']}")
     rows = [r.asDict() for r in entries.select("file", "rule_id", "context", "ordinal").toLocalIterator()]
     try:
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)

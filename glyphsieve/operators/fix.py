@@ -1,48 +1,74 @@
-"""Fixes: findings with a replacement, written into the texts, again until nothing is left to fix."""
+"""Fixes: findings with a replacement, written into the texts, again until nothing is left to fix.
+
+A file's fixes depend on that file alone, so all passes over it run where its text is:
+one projection, no shuffle, and texts in which nothing is found stay in Spark's scan."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.chars import BOM
-from glyphsieve.functions.text import strip_bom
+from glyphsieve.functions.text import binary, context_of, strip_bom, without_bom
+from glyphsieve.operators.batchscan import line_at
+from glyphsieve.operators.scan import COLUMNS, FINDINGS, any_of, refused, targets, with_rules
+from glyphsieve.operators.textscan import MARKER, scan_text
+from glyphsieve.plans.planner import restricted
+from glyphsieve.plans.rules import Rule
 from glyphsieve.sources.tables import kept
 
 MAX_PASSES = 10
 APPLIED = "file string, text string, fixed int, overlap int, stale int"
 _ARROW = pa.schema([("file", pa.string()), ("text", pa.string()), ("fixed", pa.int32()), ("overlap", pa.int32()), ("stale", pa.int32())])
+_ONE = FINDINGS + ", cp_offset bigint, context string, excerpt string"
+FOUND = "array<struct<" + ",".join(f"{n}:{k}" for n, k in (c.split() for c in _ONE.split(", "))) + ">>"
+SKIPPED = "array<struct<offset:bigint,rule_id:string,match:string,replacement:string,reason:string>>"
+DONE = f"file string, text string, held boolean, fixed int, overlap int, stale int, more boolean, steps array<string>, skipped {SKIPPED}, found {FOUND}"
 
 
-def apply_fixes(text: str, findings: list[dict]) -> tuple[str, int, int, int]:
-    """(text, fixed, overlaps, stale) from findings with offset (UTF-16), match and replacement.
-
-    From the end to the beginning; of two that overlap the later one is written, and one whose match isn't there any
-    more is left."""
-    source, bom = strip_bom(text)
+def unfit(text: str, findings: list[dict]) -> tuple[list[dict], list[tuple[dict, str]]]:
+    """(findings that can be written, from the end to the beginning; the others and why): of two that overlap the later one
+    is written, and one whose match isn't there any more is left. Offsets are UTF-16."""
+    source, _ = strip_bom(text)
     units = source.encode("utf-16-le", "surrogatepass")
     wide = len(units) != 2 * len(source)
-    parts: list[str] = []
-    before = tail = len(source)
-    fixed = overlap = stale = 0
+    before, fit, rest = len(source), [], []
     for f in sorted((f for f in findings if f["replacement"] is not None), key=lambda f: -f["offset"]):
         at = len(units[: 2 * f["offset"]].decode("utf-16-le", "ignore")) if wide else f["offset"]
         end = at + len(f["match"])
-        if fixed and end > before:
-            overlap += 1
+        if fit and end > before:
+            rest.append((f, "overlap"))
         elif source[at:end] != f["match"]:
-            stale += 1
+            rest.append((f, "stale"))
         else:
-            parts += (source[end:tail], f["replacement"])
-            before = tail = at
-            fixed += 1
-    if not fixed:
-        return text, 0, overlap, stale
-    return (BOM if bom else "") + source[:tail] + "".join(reversed(parts)), fixed, overlap, stale
+            fit.append(f | {"at": at})
+            before = at
+    return fit, rest
+
+
+def written_in(text: str, fit: list[dict]) -> str:
+    """The text with what ``unfit`` lets through."""
+    source, bom = strip_bom(text)
+    parts: list[str] = []
+    tail = len(source)
+    for f in fit:
+        parts += (source[f["at"] + len(f["match"]) : tail], f["replacement"])
+        tail = f["at"]
+    return (BOM if bom else "") + source[:tail] + "".join(reversed(parts)) if fit else text
+
+
+def apply_fixes(text: str, findings: list[dict], on_skipped: Callable[[dict, str], None] | None = None) -> tuple[str, int, int, int]:
+    """(text, fixed, overlaps, stale) from findings with offset (UTF-16), match and replacement. on_skipped gets each finding that isn't written and why."""
+    fit, rest = unfit(text, findings)
+    for f, why in rest if on_skipped else ():
+        on_skipped(f, why)
+    overlap = sum(why == "overlap" for _, why in rest)
+    return written_in(text, fit), len(fit), overlap, len(rest) - overlap
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +80,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fixed_files(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """APPLIED: a row for each file with a fixable finding. One shuffle, by file."""
+    """APPLIED: a row for each file with a fixable finding, from findings of another scan. One shuffle, by file; ``fixed`` needs none."""
     fixable = findings.filter("replacement is not null")
     one = F.struct("offset", "rule_id", "match", "replacement")
     grouped = fixable.groupBy("file").agg(F.array_sort(F.collect_list(one)).alias("found"))
@@ -86,50 +112,113 @@ def folded(text: Column, found: Column) -> Column:
     return F.aggregate(latest, start, step)
 
 
+def passes_over(text: str, file: str, rules: list[Rule], most: int, **options: Any) -> tuple[list[str], int, int, int, list[tuple[dict, str]], list[dict]]:
+    """(text after each pass that changed it, fixed, overlaps, stale, what was not written in the last pass, findings that are left)."""
+    steps: list[str] = []
+    fixed = overlap = stale = 0
+    found = scan_text(text, file, rules, **options)
+    skipped: list[tuple[dict, str]] = []
+    while len(steps) < most and any(f["replacement"] is not None for f in found):
+        fit, skipped = unfit(text, found)
+        overlap += sum(why == "overlap" for _, why in skipped)
+        stale += sum(why == "stale" for _, why in skipped)
+        new = written_in(text, fit)
+        if new == text:
+            break
+        steps.append(new)
+        text, fixed = new, fixed + len(fit)
+        found = scan_text(text, file, rules, **options)
+    return steps, fixed, overlap, stale, skipped, found
+
+
+def _fixing(rules: list[Rule], most: int, every_step: bool, options: dict[str, Any]):
+    kinds = [(c.split()[0], c.split()[1]) for c in _ONE.split(", ")]
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    found_type = pa.list_(pa.struct([(n, arrow[k]) for n, k in kinds]))
+    skipped_type = pa.list_(pa.struct([("offset", pa.int64()), ("rule_id", pa.string()), ("match", pa.string()), ("replacement", pa.string()), ("reason", pa.string())]))
+    types = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), skipped_type, found_type]
+    names = ["file", "text", "held", "fixed", "overlap", "stale", "more", "steps", "skipped", "found"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file, text, on, held in zip(*(b.column(c).to_pylist() for c in ("file", "text", "on", "held")), strict=True):
+                own = [r for r, o in zip(rules, on, strict=True) if o]
+                try:
+                    steps, fixed, overlap, stale, skipped, found = passes_over(text, file, own, 0 if held else most, **options)
+                except ValueError as cause:
+                    raise ValueError(f"{file}: {cause}") from cause
+                last = steps[-1] if steps else text
+                plain, _ = strip_bom(last)
+                left = [{n: f.get(n) for n, _ in kinds} | {"context": context_of(plain, f["cp_offset"], len(f["match"])), "excerpt": line_at(plain, f["cp_offset"])} for f in found]
+                more = len(steps) == most and any(f["replacement"] is not None for f in found)
+                rows.append((file, last, held, fixed, overlap, stale, more, steps if every_step else None, [{k: f[k] for k in ("offset", "rule_id", "match", "replacement")} | {"reason": why} for f, why in skipped], left))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _run(files: DataFrame, rules: list[Rule | dict], most: int, hold: DataFrame | None, every_step: bool, ignore: Iterable[str], paths: Iterable[str] | DataFrame | None, assume_text: bool, text_attributes: Iterable[str] | None, marker: str) -> tuple[DataFrame, DataFrame]:
+    """(DONE of the files that rules match and may fix, (file, text) of all others)."""
+    rules = [Rule.of(r) for r in rules]
+    attributes = None if text_attributes is None else tuple(text_attributes)
+    # a fix may make what another rule matches: rules read the files that they are about, once any of them matches
+    inside, applies = targets(files, rules, tuple(ignore), paths)
+    text = F.col("text")
+    hit = any_of(F.col(applies[r.id]) & without_bom(text).rlike(r.java) for r in rules) & ~refused(rules, applies)
+    if not assume_text:
+        hit = hit & ~binary(text)
+    inside = inside.withColumn("hit", F.coalesce(hit, F.lit(False)))
+    rows = inside.filter("hit")
+    if hold is None:
+        rows = rows.withColumn("held", F.lit(False))
+    else:
+        rows = rows.join(hold.select("file").distinct().withColumn("held", F.lit(True)), "file", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    options = {"assume_text": assume_text, "text_attributes": attributes, "marker": marker}
+    done = with_rules(rows, rules, applies, "held").mapInArrow(_fixing(rules, most, every_step, options), DONE)
+    others = inside.filter("not hit").select("file", "text")
+    if paths is not None:
+        others = others.unionByName(restricted(files.select("file", "text"), paths, inside=False))
+    return done, others
+
+
+def fixed(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER) -> DataFrame:
+    """APPLIED: a row for each file with a fixable finding, after one pass. No shuffle."""
+    done, _ = _run(files, rules, 1, None, False, ignore, paths, assume_text, text_attributes, marker)
+    return done.filter("fixed + overlap + stale > 0").select("file", "text", "fixed", "overlap", "stale")
+
+
 @dataclass
 class Fixed:
-    """What is left to report, the new texts, and how it went."""
+    """What is left to report (with cp_offset, context and excerpt), the new texts of all files and of those that changed, what was not
+    written and why, and how it went."""
 
     findings: DataFrame
     files: DataFrame
     fixed: int
-    changed: list[str] | DataFrame
+    changed: DataFrame
     converged: bool
+    skipped: DataFrame
     warnings: list[str] = field(default_factory=list)
 
 
-def fix_to_fixpoint(files: DataFrame, scan: Callable[[DataFrame], DataFrame], *, hold: DataFrame | None = None, after_pass: Callable[[DataFrame], None] | None = None, max_passes: int = MAX_PASSES) -> Fixed:
-    """Scans and fixes until nothing changes, nothing writable is left, or the passes run out.
-
-    ``scan`` gives the findings of a table (file, text). Only files that a pass changed are scanned again. ``hold``
-    (file) names files that are reported and not written."""
-    texts = files.select("file", "text")
-    found = kept(scan(texts))
-    total, warnings, changed = 0, [], None
-    converged = True
-    for number in range(1, max_passes + 1):
-        writable = found if hold is None else found.join(hold.select("file").distinct(), "file", "left_anti")
-        if not writable.filter("replacement is not null").head(1):
-            break
-        done = kept(fixed_files(texts, writable))
-        sums = done.agg(F.sum("fixed"), F.sum("stale")).first()
-        if sums[1]:
-            warnings.append(f"{sums[1]} finding(s) were not fixed, as the text there isn't what was scanned")
-        new = done.join(texts.withColumnRenamed("text", "old"), "file").filter("text <> old").select("file", "text", "fixed")
-        new = kept(new)
-        count = new.agg(F.count("*"), F.sum("fixed")).first()
-        if not count[0]:
-            break
-        total += count[1]
-        changed = new.select("file") if changed is None else changed.union(new.select("file")).distinct()
-        names = new.select("file")
-        texts = kept(texts.join(names, "file", "left_anti").unionByName(new.select("file", "text")))
-        if after_pass is not None:
-            after_pass(new.select("file", "text"))
-        found = kept(found.join(names, "file", "left_anti").unionByName(scan(new.select("file", "text"))))
-        if number == max_passes:
-            left = found if hold is None else found.join(hold.select("file").distinct(), "file", "left_anti")
-            if left.filter("replacement is not null").head(1):
-                converged = False
-                warnings.append(f"the text still changes after {max_passes} passes: two rules undo each other's fixes")
-    return Fixed(found, texts, total, changed if changed is not None else texts.select("file").limit(0), converged, warnings)
+def fix_to_fixpoint(files: DataFrame, rules: list[Rule | dict], *, hold: DataFrame | None = None, after_pass: Callable[[DataFrame], None] | None = None, max_passes: int = MAX_PASSES, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER) -> Fixed:
+    """Scans and fixes each file until nothing changes in it, nothing writable is left, or the passes run out.
+
+    ``hold`` (file) names files that are reported and not written. ``after_pass`` gets (file, text) of what each pass
+    changed, pass by pass. Texts that no rule matches are neither moved nor written."""
+    made, others = _run(files, rules, max_passes, hold, after_pass is not None, ignore, paths, assume_text, text_attributes, marker)
+    done = kept(made)
+    sums = done.agg(F.sum("fixed"), F.sum("stale"), F.count_if("more"), F.max(F.size("steps"))).first()
+    for number in range(1, (sums[3] or 0) + 1 if after_pass is not None else 0):
+        after_pass(done.filter(F.size("steps") >= number).select("file", F.element_at("steps", number).alias("text")))
+    warnings = []
+    if sums[1]:
+        warnings.append(f"{sums[1]} finding(s) were not fixed, as the text there isn't what was scanned")
+    if sums[2]:
+        warnings.append(f"the text of {sums[2]} file(s) still changes after {max_passes} passes: two rules undo each other's fixes")
+    findings = done.select(F.explode("found").alias("f")).select("f.*").select(*COLUMNS, "cp_offset", "context", "excerpt")
+    texts = others.unionByName(done.select("file", "text"))
+    skipped = done.select("file", F.explode("skipped").alias("s")).select("file", "s.*")
+    return Fixed(findings, texts, int(sums[0] or 0), done.filter("fixed > 0").select("file", "text"), not sums[2], skipped, warnings)

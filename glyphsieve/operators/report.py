@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import chars, globs
-from glyphsieve.functions.text import without_bom
 from glyphsieve.plans.rules import Rule
 
 JSON_VERSION = 1
@@ -31,12 +30,10 @@ def listed(findings: DataFrame, quiet: bool = False) -> DataFrame:
     return findings.filter("severity = 'error'") if quiet else findings
 
 
-def excerpts(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings with ``excerpt``, the line they begin in, and ``caret``, a line that points at them."""
-    lines = files.select("file", F.split(without_bom(F.col("text")), "\n", -1).alias("lines"))
-    line = F.regexp_replace(F.try_element_at("lines", F.col("line").cast("int")), "\\r\\z", "")
+def with_caret(findings: DataFrame) -> DataFrame:
+    """Findings of a scan with ``excerpts``, with ``caret``, a line that points at them."""
     caret = F.concat(F.repeat(F.lit(" "), F.greatest(F.col("column") - 1, F.lit(0)).cast("int")), F.repeat(F.lit("^"), F.greatest(F.col("end_column") - F.col("column"), F.lit(1)).cast("int")))
-    return findings.join(lines, "file", "left").withColumns({"excerpt": line, "caret": caret}).drop("lines")
+    return findings.withColumn("caret", caret)
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
@@ -96,10 +93,10 @@ class _Paint:
         return f"\x1b[{code}m{text}\x1b[0m" if self.on else text
 
 
-def pretty_report(findings: DataFrame, files: DataFrame | None = None, *, quiet: bool = False, color: bool = False, fixed: int = 0, baselined: int = 0) -> str:
+def pretty_report(findings: DataFrame, *, quiet: bool = False, color: bool = False, fixed: int = 0, baselined: int = 0) -> str:
     paint = _Paint(color)
     shown = listed(findings, quiet)
-    rows = excerpts(shown, files) if files is not None else shown.withColumns({"excerpt": F.lit(None).cast("string"), "caret": F.lit("")})
+    rows = with_caret(shown if "excerpt" in shown.columns else shown.withColumn("excerpt", F.lit(None).cast("string")))
     out = []
     for r in _in_order(rows).toLocalIterator():
         out.append(paint(4, f"{r['file']}:{r['line']}:{r['column']}"))

@@ -1,24 +1,28 @@
 """The scan: from files and rules to findings.
 
-All rules go over the files in one pass, without a shuffle. What Spark's expressions
-can say (the whole text, fixes that are plain texts) stays in them: matches and the
-gaps between them are measured and folded into positions. Other rules read the texts
-that their expressions match in Arrow batches.
+All rules go over the files in one pass, without a shuffle. Path patterns and
+expressions are Spark's own filters, so that only texts with a match leave it: they go
+in Arrow batches, each text once for all rules. There the expressions of rules on whole
+texts run text by text, and lines, columns and offsets are computed for a whole batch
+at once. ``native=True`` stays in Spark's expressions for such rules: matches and the
+gaps between them are measured and folded into positions. That needs no Python and is
+much slower (interpreted lambdas).
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.functions.chars import described, trimmed, utf16_length
-from glyphsieve.functions.text import binary, without_bom
+from glyphsieve.functions.text import binary, context, without_bom
+from glyphsieve.operators.batchscan import scanner
 from glyphsieve.operators.suppress import entries, silences
-from glyphsieve.operators.textscan import MARKER, scan_text
+from glyphsieve.operators.textscan import MARKER
 from glyphsieve.plans.planner import restricted, targeted
 from glyphsieve.plans.rules import Rule
 
@@ -26,7 +30,8 @@ FINDINGS = "rule_id string, file string, line bigint, column bigint, end_column
 #: Matches that are folded into one array before it joins the others.
 BLOCK = 64
 COLUMNS = [c.split()[0] for c in FINDINGS.split(", ")]
-_ARROW = pa.schema([("rule_id", pa.string()), ("file", pa.string()), *((n, pa.int64()) for n in ("line", "column", "end_column", "offset")), *((n, pa.string()) for n in ("match", "message", "severity")), ("fixable", pa.bool_()), ("replacement", pa.string())])
+INTERNAL = ("cp_offset", "context")
+_EXTRA = {"cp_offset": "bigint", "context": "string", "excerpt": "string"}
 
 
 def positive(rule: Rule) -> bool:
@@ -99,7 +104,7 @@ def spans(text: Column, pattern: str, wide: Column) -> Column:
     return F.element_at(F.transform(F.array(sizes), folded), 1)
 
 
-def _native(rows: DataFrame, rules: list[Rule], applies: dict[str, str]) -> DataFrame:
+def _native(rows: DataFrame, rules: list[Rule], applies: dict[str, str], extra: tuple[str, ...]) -> DataFrame:
     """Findings of the rules that Spark's expressions can find; rows (file, text, wide, quiet, applies...)."""
 
     def of(rule: Rule) -> Column:
@@ -107,29 +112,17 @@ def _native(rows: DataFrame, rules: list[Rule], applies: dict[str, str]) -> Data
         same = {"rule_id": F.lit(rule.id), "message": F.lit(rule.message).cast("string"), "severity": F.lit(rule.severity), "replacement": F.lit(rule.fix).cast("string")}
         return F.transform(found, lambda f: F.struct(*(v.alias(k) for k, v in same.items()), *(f[k].alias(k) for k in ("offset", "cp_offset", "line", "column", "end_column", "match"))))
 
+    def around(f: Column) -> Column:
+        kinds = {"context": lambda: context(F.col("text"), f["cp_offset"].cast("int"), F.length(f["match"])), "excerpt": lambda: F.regexp_replace(F.concat(F.substring_index(F.substring(F.col("text"), F.lit(1), f["cp_offset"].cast("int")), "\n", -1), F.substring_index(F.col("text").substr((f["cp_offset"] + 1).cast("int"), F.length(F.col("text"))), "\n", 1)), "\\r\\z", "")}
+        return F.struct(f.alias("f"), *(kinds[n]().alias(n) for n in extra if n in kinds))
+
     parts = [F.when(F.col(applies[rule.id]), of(rule)) for rule in rules]
-    every = F.flatten(F.array_compact(F.array(*parts)))
-    each = rows.select("file", F.explode(every).alias("f")).select("file", "f.*")
+    every = F.transform(F.flatten(F.array_compact(F.array(*parts))), around)
+    each = rows.select("file", F.explode(every).alias("e")).select("file", "e.*").select("file", "f.*", *(n for n in extra if n != "cp_offset"))
     said = F.concat(F.lit("Banned character "), described(F.when(F.length(trimmed(F.col("match"))) > 0, trimmed(F.col("match"))).otherwise(F.col("match"))))
     return each.withColumns({"message": F.coalesce("message", said), "fixable": F.col("replacement").isNotNull()})
 
 
-def _in_python(rows: DataFrame, rules: list[Rule], applies: dict[str, str], assume_text: bool, text_attributes: tuple[str, ...] | None, marker: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: list[dict] = []
-            for file, text, on in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                try:
-                    found += scan_text(text, file, [r for r, o in zip(rules, on, strict=True) if o], assume_text=assume_text, text_attributes=text_attributes, marker=marker)
-                except ValueError as cause:
-                    raise ValueError(f"{file}: {cause}") from cause
-            for i in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_pylist(found[i : i + 10_000], schema=_ARROW)
-
-    on = F.array(*(F.col(applies[r.id]) for r in rules))
-    return rows.select("file", "text", on.alias("on")).filter(F.exists("on", lambda x: x)).mapInArrow(run, FINDINGS)
-
-
 _JSX_BLOCK = r"(?is)<script\b[^>]*\blang\s*=\s*[\"']?(?:tsx|jsx)\b"
 
 
@@ -143,81 +136,77 @@ def jsx(rule: Rule) -> Column:
     return F.lit(False)
 
 
-def _candidates(files: DataFrame, rules: list[Rule], ignore: tuple[str, ...], paths: Iterable[str] | DataFrame | None, assume_text: bool) -> tuple[DataFrame, dict[str, str]]:
-    """(files that some rule's expression matches, the column that says so for each rule)."""
+def targets(files: DataFrame, rules: list[Rule], ignore: tuple[str, ...], paths: Iterable[str] | DataFrame | None) -> tuple[DataFrame, dict[str, str]]:
+    """((file, text) and for each rule whether it is about the file, that column's name by rule)."""
     seen: set[str] = set()
     for r in rules:
         r.check()
         if r.id in seen:
             raise ValueError(f'two rules are called "{r.id}"')
         seen.add(r.id)
-    rows = restricted(files.select("file", "text"), paths).filter("file is not null and text is not null")
+    applies = {r.id: f"applies_{i}" for i, r in enumerate(rules)}
+    return restricted(files.select("file", "text"), paths).withColumns({applies[r.id]: targeted(r, ignore) for r in rules}), applies
+
+
+def candidates(files: DataFrame, rules: list[Rule], ignore: tuple[str, ...], paths: Iterable[str] | DataFrame | None, assume_text: bool) -> tuple[DataFrame, dict[str, str]]:
+    """(files that some rule's expression matches, the column that says so for each rule)."""
+    rows, applies = targets(files, rules, ignore, paths)
+    rows = rows.filter("file is not null and text is not null")
     if not assume_text:
         rows = rows.filter(~binary(F.col("text")))
     rows = rows.withColumn("text", without_bom(F.col("text")))
-    applies = {r.id: f"applies_{i}" for i, r in enumerate(rules)}
-    hits = {applies[r.id]: targeted(r, ignore) & F.col("text").rlike(r.java) for r in rules}
-    anything = F.lit(False)
-    for hit in hits.values():
-        anything = anything | hit
-    return rows.filter(anything).withColumns(hits) if hits else rows.limit(0), applies
+    hits = {applies[r.id]: F.col(applies[r.id]) & F.col("text").rlike(r.java) for r in rules}
+    return rows.filter(any_of(hits.values())).withColumns(hits) if hits else rows.limit(0), applies
 
 
-def _refused(rules: list[Rule], applies: dict[str, str]) -> Column:
-    refused = F.lit(False)
-    for r in rules:
-        if r.scope in ("strings", "markup"):
-            refused = refused | (F.col(applies[r.id]) & jsx(r))
-    return refused
+def any_of(columns: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, columns, F.lit(False))
+
+
+def refused(rules: list[Rule], applies: dict[str, str]) -> Column:
+    """Whether a rule would have to read JSX in the file."""
+    return any_of(F.col(applies[r.id]) & jsx(r) for r in rules if r.scope in ("strings", "markup"))
+
+
+def with_rules(rows: DataFrame, rules: list[Rule], applies: dict[str, str], *more: str) -> DataFrame:
+    """(file, text, on): on says for each rule whether it reads the text and its expression matches."""
+    on = F.array(*(F.coalesce(F.col(applies[r.id]), F.lit(False)) for r in rules))
+    return rows.select("file", "text", on.alias("on"), *more).filter(F.exists("on", lambda x: x))
 
 
-def scan(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER, native: bool = True, internal: bool = False) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER, native: bool = False, internal: bool = False, excerpts: bool = False) -> DataFrame:
     """Findings (FINDINGS) of a table (file, text), in no order.
 
     A null file or text has none; repeated rows are files of their own. Text that begins with a byte order mark is
-    read without it. ``internal`` keeps cp_offset, the offset in code points. ``native=False`` takes the other path
-    for all rules."""
+    read without it. ``internal`` keeps cp_offset, the offset in code points, and context, the hash of what stands
+    around the match; ``excerpts`` the line that it begins in."""
     rules = [Rule.of(r) for r in rules]
     attributes = None if text_attributes is None else tuple(text_attributes)
-    rows, applies = _candidates(files, rules, tuple(ignore), paths, assume_text)
-    rows = rows.filter(~_refused(rules, applies))
-    plain = [r for r in rules if native and is_native(r)]
-    other = [r for r in rules if r not in plain]
-    columns = [*COLUMNS, "cp_offset"] if internal else COLUMNS
+    extra = (*(INTERNAL if internal else ()), *(("excerpt",) if excerpts else ()))
+    rows, applies = candidates(files, rules, tuple(ignore), paths, assume_text)
+    rows = rows.filter(~refused(rules, applies))
+    inside = [r for r in rules if native and is_native(r)]
+    other = [r for r in rules if r not in inside]
+    columns = [*COLUMNS, *extra]
+    schema = ", ".join([FINDINGS, *(f"{n} {_EXTRA[n]}" for n in extra)])
     parts = []
-    if plain:
+    if inside:
         quiet = F.when(F.col("text").contains(f"{marker}-disable-"), entries(F.col("text"), F.col("file"), marker))
         some = rows.withColumns({"wide": F.col("text").rlike("[\\x{10000}-\\x{10FFFF}]"), "quiet": quiet})
-        parts.append(_native(some, plain, applies).select(*columns))
+        parts.append(_native(some, inside, applies, extra).select(*columns))
     if other:
-        found = _in_python(rows, other, applies, assume_text, attributes, marker)
-        if internal:
-            found = _code_points(found, rows)
-        parts.append(found.select(*columns))
+        run = scanner(other, [is_native(r) for r in other], extra=extra, assume_text=assume_text, text_attributes=attributes, marker=marker)
+        parts.append(with_rules(rows, other, applies).mapInArrow(run, schema))
     if not parts:
-        return files.sparkSession.createDataFrame([], FINDINGS + (", cp_offset bigint" if internal else ""))
+        return files.sparkSession.createDataFrame([], schema)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _code_points(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """With cp_offset: the offset itself but in files with characters beyond the basic plane."""
-    wide = rows.filter(F.col("text").rlike("[\\x{10000}-\\x{10FFFF}]")).select("file", "text")
-
-    @F.arrow_udf("bigint")
-    def points(text: pa.Array, offset: pa.Array) -> pa.Array:
-        got = []
-        for t, o in zip(text, offset, strict=True):
-            got.append(o.as_py() if not t.is_valid else len(t.as_py().encode("utf-16-le")[: 2 * o.as_py()].decode("utf-16-le", "ignore")))
-        return pa.array(got, pa.int64())
-
-    return found.join(wide, "file", "left").withColumn("cp_offset", points("text", "offset")).drop("text")
-
-
 def skipped(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """(file, reason): files that were not scanned as a rule would have to read JSX there."""
     rules = [Rule.of(r) for r in rules]
-    rows, applies = _candidates(files, rules, tuple(ignore), paths, False)
-    return rows.filter(_refused(rules, applies)).select("file", F.lit("JSX can't be read").alias("reason"))
+    rows, applies = candidates(files, rules, tuple(ignore), paths, False)
+    return rows.filter(refused(rules, applies)).select("file", F.lit("JSX can't be read").alias("reason"))
 
 
 def ordered(findings: DataFrame) -> DataFrame:

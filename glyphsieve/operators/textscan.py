@@ -118,6 +118,7 @@ def scan_text(text: str, file: str, rules: list[Rule], *, assume_text: bool = Fa
                         "column": units(a) - units(breaks[line - 1] + 1 if line else 0) + 1,
                         "end_column": units(b) - units(breaks[last - 1] + 1 if last else 0) + 1,
                         "offset": units(a),
+                        "cp_offset": a,
                         "match": m[0],
                         "message": rule.message_for(m[0]),
                         "severity": rule.severity,

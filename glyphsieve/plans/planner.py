@@ -34,13 +34,14 @@ def supported(rule: Rule, file: str = "file") -> Column:
     return found
 
 
-def restricted(files: DataFrame, paths: Iterable[str] | DataFrame | None) -> DataFrame:
-    """The files of these paths: exact ones, after normalization. Many of them come as a table (file)."""
+def restricted(files: DataFrame, paths: Iterable[str] | DataFrame | None, inside: bool = True) -> DataFrame:
+    """The files of these paths (or all others): exact ones, after normalization. Many of them come as a table (file)."""
     if paths is None:
-        return files
+        return files if inside else files.limit(0)
     if isinstance(paths, DataFrame):
-        return files.join(paths.select("file").distinct(), "file", "left_semi")
-    return files.filter(F.col("file").isin([globs.normalized(p) for p in paths]))
+        return files.join(paths.select("file").distinct(), "file", "left_semi" if inside else "left_anti")
+    on = F.coalesce(F.col("file").isin([globs.normalized(p) for p in paths]), F.lit(False))
+    return files.filter(on if inside else ~on)
 
 
 def plan(files: DataFrame, rules: list[Rule], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None) -> DataFrame:

@@ -372,7 +372,7 @@ FIXED = Rule("em", ("**/*.md",), pattern=f" {EM} ", fix=", ")
 @query(f"SELECT file, replace(text, ' {EM} ', ', ') AS text, CAST((length(text) - length(replace(text, ' {EM} ', ''))) // 3 AS INTEGER) AS fixed FROM ({_files()}) WHERE contains(text, ' {EM} ')")
 def fix_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs(spark, sf_dir)
-    return fix.fixed_files(files, scan(files, [FIXED])).select("file", "text", "fixed")
+    return fix.fixed(files, [FIXED]).select("file", "text", "fixed")
 
 
 @query(f"SELECT file, replace(text, ' {EM} ', ', ') AS text FROM ({_files()}) WHERE contains(text, ' {EM} ')")
@@ -387,7 +387,7 @@ def fix_overlap_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rules want each dash: the one that begins later wins."""
     files = docs(spark, sf_dir)
     rules = [Rule("wide", ("**/*.md",), pattern=f" {EM} ", fix=", "), Rule("narrow", ("**/*.md",), chars=(EM,), fix="-")]
-    return fix.fixed_files(files, scan(files, rules)).select("file", "fixed", "overlap", "stale")
+    return fix.fixed(files, rules).select("file", "fixed", "overlap", "stale")
 
 
 @query(f"SELECT file, CAST(0 AS INTEGER) AS fixed, CAST((length(text) - length(replace(text, ' {EM} ', ''))) // 3 AS INTEGER) AS stale FROM ({_files()}) WHERE contains(text, ' {EM} ')")
@@ -401,19 +401,19 @@ def fix_stale_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(sum((length(text) - length(replace(text, ' {EM} ', ''))) // 3) AS BIGINT) AS fixed, CAST(count(*) AS BIGINT) AS files FROM ({_files()}) WHERE contains(text, ' {EM} ')")
 def fix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs(spark, sf_dir)
-    return fix.fixed_files(files, scan(files, [FIXED])).agg(F.sum("fixed").alias("fixed"), F.count("*").alias("files"))
+    return fix.fixed(files, [FIXED]).agg(F.sum("fixed").alias("fixed"), F.count("*").alias("files"))
 
 
 @query(f"SELECT file, replace(replace(text, '{EM}', '{EN}'), '{EN}', '-') AS text FROM ({_files()})")
 def fix_fixpoint_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("em", ("**/*.md",), chars=(EM,), fix=EN), Rule("en", ("**/*.md",), chars=(EN,), fix="-")]
-    return fix.fix_to_fixpoint(docs(spark, sf_dir), lambda texts: scan(texts, rules)).files
+    return fix.fix_to_fixpoint(docs(spark, sf_dir), rules).files
 
 
 @query(f"SELECT CAST(10 * sum(length(text) - length(replace(text, '{EM}', ''))) AS BIGINT) AS fixed, false AS converged FROM ({_files()})")
 def fix_oscillation_not_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("em", ("**/*.md",), chars=(EM,), fix=EN), Rule("en", ("**/*.md",), chars=(EN,), fix=EM)]
-    done = fix.fix_to_fixpoint(docs(spark, sf_dir), lambda texts: scan(texts, rules))
+    done = fix.fix_to_fixpoint(docs(spark, sf_dir), rules)
     return spark.createDataFrame([(done.fixed, done.converged)], "fixed long, converged boolean")
 
 
@@ -445,31 +445,31 @@ def _em_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query(f"WITH {_KEYED} SELECT file, off AS \"offset\", context FROM ranked")
 def baseline_context_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
-    return baseline.keyed(found, files).select("file", "offset", "context")
+    return baseline.keyed(found).select("file", "offset", "context")
 
 
 @query(f"WITH {_KEYED} SELECT file, off AS \"offset\", ordinal FROM ranked")
 def baseline_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
-    return baseline.keyed(found, files).select("file", "offset", F.col("ordinal").cast("int").alias("ordinal"))
+    return baseline.keyed(found).select("file", "offset", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query(f"WITH {_KEYED} SELECT file, 'em' AS rule_id, context, ordinal FROM ranked")
 def baseline_entries_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
-    return baseline.entries_for(found, files).orderBy("file", "rule_id", "context", "ordinal")
+    return baseline.entries_for(found).orderBy("file", "rule_id", "context", "ordinal")
 
 
-def _recorded(files: DataFrame, found: DataFrame, keep: str) -> DataFrame:
+def _recorded(found: DataFrame, keep: str) -> DataFrame:
     """A baseline of the findings for which ``keep`` holds; pos by offset."""
-    own = baseline.keyed(found, files).filter(keep)
+    own = baseline.keyed(found).filter(keep)
     return own.select("file", "rule_id", "context", F.col("ordinal").cast("int").alias("ordinal"), F.col("offset").cast("int").alias("pos"))
 
 
 @query(f"WITH {_KEYED} SELECT 'baselined' AS part, CAST(count(*) AS BIGINT) AS n FROM ranked WHERE off % 2 = 0 UNION ALL SELECT 'reported', count(*) FROM ranked WHERE off % 2 = 1 UNION ALL SELECT 'stale', 0")
 def baseline_partition_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
-    parts = baseline.split(found, files, _recorded(files, found, "offset % 2 = 0"))
+    parts = baseline.split(found, _recorded(found, "offset % 2 = 0"))
     counts = [df.agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, df in (("baselined", parts.baselined), ("reported", parts.reported), ("stale", parts.stale))]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
@@ -478,8 +478,8 @@ def baseline_partition_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_partition_count_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every context has changed: as many findings of a file are known as it has entries, the first ones."""
     files, found = _em_findings(spark, sf_dir)
-    old = _recorded(files, found, "offset % 2 = 0").withColumn("context", F.lit("gone"))
-    parts = baseline.split(found, files, old)
+    old = _recorded(found, "offset % 2 = 0").withColumn("context", F.lit("gone"))
+    parts = baseline.split(found, old)
     return parts.baselined.select("file", "offset", F.lit(False).alias("reported")).unionByName(parts.reported.select("file", "offset", F.lit(True).alias("reported")))
 
 
@@ -487,7 +487,7 @@ def baseline_partition_count_tier(spark: SparkSession, sf_dir: str) -> DataFrame
 def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
     cleaned = files.select("file", F.translate("text", EM, "-").alias("text"))
-    parts = baseline.split(scan(cleaned, [EM_RULE], internal=True), cleaned, _recorded(files, found, "true"))
+    parts = baseline.split(scan(cleaned, [EM_RULE], internal=True), _recorded(found, "true"))
     return parts.stale.select("file", "context", "ordinal")
 
 
@@ -495,7 +495,7 @@ def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_scope_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
     cleaned = files.select("file", F.translate("text", EM, "-").alias("text"))
-    parts = baseline.split(scan(cleaned, [EM_RULE], internal=True), cleaned, _recorded(files, found, "true"), files.filter("file like 'docs/de/%'").select("file"))
+    parts = baseline.split(scan(cleaned, [EM_RULE], internal=True), _recorded(found, "true"), files.filter("file like 'docs/de/%'").select("file"))
     return parts.stale.select("file", "context", "ordinal")
 
 
@@ -505,9 +505,9 @@ def baseline_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, found = _em_findings(spark, sf_dir)
     german = files.filter("file like 'docs/de/%'").select("file")
     kept = found.filter("file like 'docs/de/%' AND offset % 2 = 0")
-    rest = baseline.keyed(found, files).filter("file like 'docs/de/%' AND offset % 2 = 0")
-    old = _recorded(files, found, "true")
-    new = baseline.pruned(old, kept, files, german)
+    rest = baseline.keyed(found).filter("file like 'docs/de/%' AND offset % 2 = 0")
+    old = _recorded(found, "true")
+    new = baseline.pruned(old, kept, german)
     # ordinals of what is left are counted anew, as in a scan of the new texts
     return new.join(german, "file", "left_anti").unionByName(rest.select("file", "rule_id", "context", "ordinal")).select("file", "context", F.col("ordinal").cast("int").alias("ordinal"))
 
@@ -518,7 +518,7 @@ def baseline_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_found(_files(), EM)} SELECT file, off AS \"offset\", string_split(text, chr(10))[line] AS excerpt, repeat(' ', col - 1) || '^' AS caret FROM found")
 def excerpt_caret(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs(spark, sf_dir)
-    return report.excerpts(scan(files, [EM_RULE]), files).select("file", "offset", "excerpt", "caret")
+    return report.with_caret(scan(files, [EM_RULE], excerpts=True)).select("file", "offset", "excerpt", "caret")
 
 
 @query(

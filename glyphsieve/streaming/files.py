@@ -19,7 +19,7 @@ def stream(spark: SparkSession, path: str, schema: str = "file string, text stri
 
 
 def scanned(files: DataFrame, rules: list[Rule], **options: Any) -> DataFrame:
-    """Findings of a stream: projections, filters and generators alone, so any output mode will do."""
+    """Findings of a stream: filters, projections and one pass over each batch of texts, so any output mode will do."""
     return scan(files, rules, **options)
 
 
@@ -28,6 +28,6 @@ def against_baseline(files: DataFrame, rules: list[Rule], baseline: DataFrame, s
 
     def run(batch: DataFrame, number: int) -> None:
         found = scan(batch, rules, internal=True, **options)
-        sink(known.split(found, batch, baseline, batch.select("file")).reported.drop("cp_offset"), number)
+        sink(known.split(found, baseline, batch.select("file")).reported.drop("cp_offset", "context"), number)
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
