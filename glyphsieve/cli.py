@@ -14,7 +14,7 @@ from glyphsieve.operators import baseline as known
 from glyphsieve.operators import fix, messages, report
 from glyphsieve.operators.scan import ordered, scan, skipped
 from glyphsieve.plans import config as configs
-from glyphsieve.plans.planner import rule_counts, warnings
+from glyphsieve.plans.planner import DEFAULT_IGNORE, rule_counts, warnings
 from glyphsieve.plans.rules import RuleError, UnsupportedScopeError, virtual_rules
 from glyphsieve.sources import files as sources
 from glyphsieve.sources.tables import kept
@@ -125,7 +125,7 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
         hold = spark.createDataFrame([(p,) for p in dirty], "file string")
         scope = files.select("file")
     else:
-        files = sources.folder(spark, loaded.root)
+        files = sources.folder(spark, loaded.root, ignore=[*DEFAULT_IGNORE, *options["ignore"]])
         scope = None
         if o.paths:
             options["paths"] = [os.path.relpath(os.path.join(os.path.realpath(cwd), p), os.path.realpath(loaded.root)) for p in o.paths]
@@ -135,6 +135,8 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
         out(report.issue_report(rules, counts, ignore=options["ignore"], baseline=loaded.config.get("baseline"), verbatim=o.verbatim, version=VERSION))
         return OK
     if not o.staged:
+        for r in sources.unreadable(spark, loaded.root, [*DEFAULT_IGNORE, *options["ignore"]]).collect():
+            say(f"{r['file']} can't be read: {r['error']}")
         for w in warnings(files, rules, ignore=options["ignore"]):
             say(w)
     refused = [r["file"] for r in skipped(files, rules, ignore=options["ignore"], paths=options["paths"]).collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -22,6 +23,11 @@ def normalized(path: str) -> str:
     return path
 
 
+def relative_to_root(path: str, root: str) -> str:
+    """A path as rules and baselines name it: from the root, with forward slashes."""
+    return normalized(os.path.relpath(os.path.realpath(path), os.path.realpath(root)))
+
+
 class GlobError(ValueError):
     """A path pattern that isn't supported."""
 
@@ -54,7 +60,7 @@ def alternatives(pattern: str) -> list[str]:
 def _segment(segment: str, dots: bool) -> str:
     """One path segment; a leading dot must be named unless ``dots``."""
     out, i = [], 0
-    if segment[:1] != "." and not dots and segment[:1] in ("*", "?", "["):
+    if not dots and (segment[:1] in ("*", "?", "[") or segment[:2] == "!("):
         out.append("(?!\\.)")
     while i < len(segment):
         c = segment[i]
@@ -62,9 +68,10 @@ def _segment(segment: str, dots: bool) -> str:
             end = segment.find(")", i)
             if end < 0:
                 raise GlobError(f"a group isn't closed in {segment}")
-            if c == "!":
-                raise GlobError(f"negated groups aren't supported: {segment}")
             body = "|".join(_segment(x, True) for x in segment[i + 2 : end].split("|"))
+            if c == "!":  # anything but one of these before what follows
+                rest = _segment(segment[end + 1 :], True)
+                return "".join(out) + f"(?!(?:{body}){rest}(?:/|\\z))[^/]*{rest}"
             out.append(f"(?:{body})" + {"@": "", "+": "+", "*": "*", "?": "?"}[c])
             i = end + 1
         elif c == "*":
@@ -95,7 +102,7 @@ def _segment(segment: str, dots: bool) -> str:
 
 
 def to_regex(pattern: str, dots: bool = False) -> str:
-    """A regular expression for whole paths, the same in Java, RE2 (but for the lookahead on dots) and Python.
+    """A regular expression for whole paths, the same in Java, RE2 (but for the lookaheads on dots and in negated groups) and Python.
 
     ``**`` stands for any directories, ``*`` and ``?`` stay inside one, and neither enters a name with a leading
     dot unless the pattern names the dot (``dots``: always)."""

@@ -280,7 +280,12 @@ def plan_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(_tree(spark, sf_dir), [Rule("all", ("**",), chars=("x",))], paths=wanted).select("file", "rule_id")
 
 
-@query()
+@query(f"""WITH {_PATHS}, named AS (
+  SELECT row_number() OVER (ORDER BY p COLLATE "C") AS r, string_split(p, '/') AS parts FROM (SELECT DISTINCT regexp_replace(file, '[0-9]+', '*') AS p FROM paths)
+), segments AS (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part, len(parts) AS many FROM named
+), words AS (SELECT *, regexp_extract(part, '^[.]?([^.*]*)', 1) AS word FROM segments
+), numbers AS (SELECT word, row_number() OVER (ORDER BY min(r * 100 + i)) AS n, arg_min(CASE WHEN i = many THEN 'file' ELSE 'dir' END, r * 100 + i) AS kind FROM words WHERE word <> '' GROUP BY word)
+SELECT array_to_string(any_value(parts), '/') AS pattern, string_agg(CASE WHEN w.word = '' THEN part ELSE replace(part, w.word, kind || n) END, '/' ORDER BY i) AS hidden FROM words w LEFT JOIN numbers ON w.word = numbers.word GROUP BY r""")
 def anonymize_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hide = globs.anonymizer()
     patterns = [r["p"] for r in _tree(spark, sf_dir).selectExpr("regexp_replace(file, '[0-9]+', '*') AS p").distinct().orderBy("p").collect()]
@@ -420,12 +425,39 @@ def fix_oscillation_not_converged(spark: SparkSession, sf_dir: str) -> DataFrame
 CLAUSES = Rule("dash", ("**/*.md",), pattern=f"\\s*{EM}\\s*", fix=clause_separator)
 
 
-@query()
+# sentences with their places: a sign that no text has goes where one begins
+_WS = "[ \\t\\r\\f\\v\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_SENTENCES = f"""lines AS (
+  SELECT file, text, string_split(text, chr(10)) AS l FROM files WHERE contains(text, '{EM}')
+), marked AS (
+  SELECT file, text, list_aggregate(list_transform(l, lambda x, i: CASE WHEN i > 1 AND (regexp_matches(x, '^{_WS}*(<|([-*+>|]|[0-9]+[.)]|#{{1,6}}){_WS})') OR regexp_matches(l[i - 1], '^{_WS}*(#{{1,6}}{_WS}|$)')) THEN chr(1) ELSE '' END
+    || regexp_replace(x, '([.!?;]["''`)\\]]*{_WS})', '\\1' || chr(1), 'g')), 'string_agg', chr(10)) AS m FROM lines
+), cut AS (
+  SELECT file, text, unnest(string_split(m, chr(1))) AS raw, generate_subscripts(string_split(m, chr(1)), 1) AS nth FROM marked
+), sentences AS (
+  SELECT file, nth, raw, regexp_replace(regexp_replace(raw, '^({_WS}|\\n)+', ''), '({_WS}|\\n)+$', '') AS sentence, CAST(sum(length(raw)) OVER (PARTITION BY file ORDER BY nth) AS BIGINT) - length(raw) AS begins FROM cut
+)"""
+
+
+@query(
+    f"""WITH {_found(_files('em'), SPACED)}, {_SENTENCES}, held AS (
+  SELECT f.file, f.off, f.match, s.sentence AS c, f.off - s.begins - (length(s.raw) - length(regexp_replace(s.raw, '^({_WS}|\\n)+', ''))) AS pos FROM found f JOIN sentences s ON f.file = s.file AND f.off >= s.begins AND f.off < s.begins + length(s.raw)
+), split AS (
+  SELECT *, length(c) - length(replace(c, '{EM}', '')) AS dashes, substr(c, 1, pos) AS before, substr(c, pos + length(match) + 1) AS after, string_split(c, '{EM}') AS parts, regexp_extract(match, '{EM}(.*)$', 1, 's') AS right_side, regexp_extract(match, '^(.*){EM}', 1, 's') AS left_side FROM held
+), signed AS (
+  SELECT *, CASE WHEN dashes = 2 AND NOT regexp_matches(parts[2], '[.!?]({_WS}|\\n)') AND contains(substr(c, pos + 1, length(match)), '{EM}') THEN CASE WHEN contains(before, '{EM}') THEN ')' ELSE '(' END
+    WHEN regexp_matches(after, '^({_WS}|\\n)*(?i:and|but|or|nor|so|yet|then|because)([^A-Za-z0-9_]|$)') THEN ',' WHEN dashes > 1 OR contains(before, ':') THEN ',' ELSE ':' END AS mark FROM split
+), ended AS (
+  SELECT *, CASE WHEN contains(right_side, chr(10)) THEN right_side WHEN contains(left_side, chr(10)) THEN left_side END AS side FROM signed
+)
+SELECT file, off AS "offset", match, CASE WHEN side IS NOT NULL THEN CASE WHEN mark = '(' THEN regexp_extract(side, '\\r?\\n.*', 0, 's') || mark ELSE mark || regexp_extract(side, '\\r?\\n.*', 0, 's') END
+  WHEN mark = '(' THEN CASE WHEN pos = 0 THEN '(' ELSE ' (' END WHEN after = '' OR regexp_matches(after, '^[.,;:!?)\\]}}\\n]') THEN mark ELSE mark || ' ' END AS replacement FROM ended"""
+)
 def clause_separator_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs(spark, sf_dir, "em"), [CLAUSES]).select("file", "offset", "match", "replacement")
 
 
-@query()
+@query(f"WITH {_found(_files('em'), EM)}, {_SENTENCES} SELECT f.file, f.off AS \"offset\", s.sentence FROM found f JOIN sentences s ON f.file = s.file AND f.off >= s.begins AND f.off < s.begins + length(s.raw)")
 def sentence_of_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = Rule("dash", ("**/*.md",), chars=(EM,), fix=lambda c: c.container)
     return scan(docs(spark, sf_dir, "em"), [rule]).select("file", "offset", F.col("replacement").alias("sentence"))
@@ -596,7 +628,7 @@ def html_script_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_pages(spark, sf_dir), [rule], text_attributes=[]).groupBy("file").agg(F.count("*").alias("findings"))
 
 
-@query()
+@query(f"WITH {_found(_files('em'), SPACED)} SELECT file, off AS \"offset\", match FROM found")
 def markdown_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs(spark, sf_dir, "em"), [Rule("em", ("**/*.md",), pattern=f"\\s*{EM}\\s*", scope="markdown")]).select("file", "offset", "match")
 

@@ -1,6 +1,7 @@
 """The command line over real folders and git repositories."""
 
 import json
+import os
 import subprocess
 
 import pytest
@@ -145,3 +146,25 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(got) == 0
+
+
+def test_folder(spark, tmp_path, monkeypatch):
+    from glyphsieve.sources import files as sources
+
+    for name in ("a.md", "sub/b.md", "node_modules/x/c.md", "sub/.git/d", "skip/e.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xff x" if name == "a.md" else b"y")
+    (tmp_path / "loop").symlink_to("loop")
+    (tmp_path / "gone").symlink_to("nowhere")
+    entered = []
+    scandir = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: entered.append(os.path.relpath(p, tmp_path)) or scandir(p))
+    assert sources.walked(str(tmp_path)) == ["a.md", "gone", "loop", "skip/e.md", "sub/b.md"]
+    assert "node_modules" not in entered
+    assert "sub/.git" not in entered
+    monkeypatch.undo()
+    got = {r.file: r.text for r in sources.folder(spark, str(tmp_path), ignore=["node_modules/**", "**/.git/**", "skip/**"]).collect()}
+    assert got == {"a.md": "\ufffd x", "sub/b.md": "y"}
+    assert [r.file for r in sources.unreadable(spark, str(tmp_path)).collect()] == ["loop"]
+    by_spark = sources.folder(spark, f"file://{tmp_path}/sub", "*.md")
+    assert {r.file: r.text for r in by_spark.collect()} == {"b.md": "y"}

@@ -177,3 +177,21 @@ def test_contexts():
     assert looks_binary("a\0")
     assert not looks_binary("a" * 8192 + "\0")
     assert strip_bom("\ufeff\ufeffa") == ("\ufeffa", True)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "yes", "no"),
+    [
+        ("src/!(a|b).md", ["src/c.md", "src/ab.md", "src/aa.md"], ["src/a.md", "src/b.md", "src/c.txt", "src/.c.md", "x/c.md"]),
+        ("!(node_modules)/*.js", ["src/x.js", "node_modules2/x.js"], ["node_modules/x.js", ".x/y.js"]),
+        ("**/!(*.test).ts", ["a/b.ts", "c.ts"], ["a/b.test.ts"]),
+        ("x!(1)", ["x", "x2", "x11"], ["x1", "y"]),
+    ],
+)
+def test_negated_groups(spark, pattern, yes, no):
+    from pyspark.sql import functions as F
+
+    for path in yes + no:
+        assert globs.matches(path, [pattern]) == (path in yes)
+    df = spark.createDataFrame([(p,) for p in yes + no], "p string")
+    assert {r.p for r in df.filter(F.col("p").rlike(globs.to_regex(pattern))).collect()} == set(yes)
