@@ -31,7 +31,8 @@ def decoded(content: Column) -> Column:
 
 def relative(path: Column, root: str) -> Column:
     """Paths below the root, with forward slashes."""
-    head = "^(?:[a-z]+:)?/*" + re.escape(to_posix(os.path.abspath(root)).strip("/")) + "/"
+    below = root.split("://", 1)[1] if "://" in root else to_posix(os.path.abspath(root))
+    head = "^(?:[a-z][a-z0-9+.-]*:)?/*" + re.escape(below.strip("/")) + "/"
     return F.regexp_replace(F.url_decode(F.replace(F.replace(path, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))), head, "")
 
 
