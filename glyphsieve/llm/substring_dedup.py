@@ -4,18 +4,20 @@ Words are runs of ASCII letters, digits and non-ASCII characters, case folded.
 Every window of ``words`` words is looked at, so every passage of so many words that
 stands in two places is found, from its first word to its last.
 
-1. Texts are dealt into chunks by a hash. Each chunk makes a count-min sketch of all
-   its windows: ``depth`` rows of counters, which saturate at 2. Its non-zero counters
-   go to the tasks that own their ranges, in order, as gaps of one to four bytes.
-   There the sketches of all chunks are added up; a chunk gets back one bit for each
-   counter that it sent: whether the sum is 2 or more.
+1. Texts are dealt into chunks by a hash, compressed on their way. Each chunk makes a
+   count-min sketch of all its windows: ``depth`` rows of counters, which saturate at 2.
+   Its non-zero counters go to the tasks that own their ranges, in order, as compressed
+   gaps. There the sketches of all chunks are added up; a chunk gets back one bit for
+   each counter that it sent: whether the sum is 2 or more.
 2. A chunk's windows all of whose counters are 2 or more may be repeated; counters only
    overestimate, so no repeated window is lost. Those windows alone are grouped exactly,
-   by 128 bits of hash: first in the chunk, then, one entry for each window of a chunk,
+   by 112 bits of hash: first in the chunk, then, one entry for each window of a chunk,
    over all chunks. What is found once after all is dropped.
 3. The windows of a text that overlap become one span.
 
-No task gets more of a window, however popular, than one entry for each chunk. The
+No task gets more of a window, however popular, than one entry for each chunk. A chunk
+sends a message to each of the tasks (``spark.sql.shuffle.partitions``): with very many of
+those ``chunk_bytes`` should grow too, so that messages stay larger than their frames. The
 rows of the sketch are as wide as ``load`` times the windows (as estimated from the
 bytes of the texts); that decides how many windows pass in vain, and nothing else.
 
@@ -36,22 +38,25 @@ Defined results:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.shared import written
-from glyphsieve.llm.textops import U64, buffers, char_index, fold, mix, powers, slices, span_hashes, words
+from glyphsieve.llm.textops import U64, buffers, char_index, expanded, fold, mix, powers, slices, span_hashes, squeezed, words
 
 WORDS = 40
 DEPTH = 2
 #: Counters in a row of the sketch for each window.
 LOAD = 16
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Bits of the second hash of a window.
+MORE = U64((1 << 48) - 1)
 #: Counters that a task adds up at a time.
 BLOCK = 1 << 24
 
@@ -86,31 +91,47 @@ def cells_of(hashes: np.ndarray, d: int, width: int) -> np.ndarray:
     return (mix(hashes + U64(d + 1)) % U64(width) + U64(d * width)).astype(np.int64)
 
 
-def _gaps(cells: np.ndarray) -> bytes:
-    """Ascending numbers as gaps of equal size; the first byte is the size."""
-    d = np.diff(cells, prepend=0)
-    most = int(d.max()) if len(d) else 0
-    size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s))
-    return bytes([size]) + d.astype(f"<u{size}").tobytes()
-
-
-def _from_gaps(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64))
-
-
 def _ranges(cells: np.ndarray, size: int, tasks: int) -> np.ndarray:
     """Where the counters of each task begin (and the last one's end)."""
     return np.searchsorted(cells, np.arange(tasks + 1) * size)
 
 
-def _distinct(texts: pa.Table) -> tuple[np.ndarray, pa.Array]:
+PACKED = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch by chunk, compressed: keys, hashes and lengths, then the bytes."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        chunk, k, t = (b.column(c).to_numpy() for c in ("chunk", "k", "t"))
+        data, offsets = buffers(b.column("text"))
+        order = np.argsort(chunk, kind="stable")
+        cut = np.flatnonzero(np.r_[True, chunk[order][1:] != chunk[order][:-1], True]) if len(order) else [0]
+        rows = []
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            on = order[s:e]
+            head = np.stack([k[on], t[on], offsets[on + 1] - offsets[on]]).astype("<i8").tobytes()
+            rows.append((int(chunk[on[0]]), len(on), squeeze.compress(head + b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in on))))
+            if len(rows) == 64 or e == len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED)
+                rows = []
+
+
+def _distinct(packed: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """(keys, texts) of a chunk in order of key and text, repeated rows once."""
-    k, t = texts["k"].to_numpy(), texts["t"].to_numpy()
+    heads, parts = [], []
+    for n, blob in zip(packed["n"].to_pylist(), packed["blob"].to_pylist(), strict=True):
+        whole = zstandard.ZstdDecompressor().decompress(blob)
+        heads.append(np.frombuffer(whole, "<i8", count=3 * n).reshape(3, n))
+        parts.append(whole[24 * n :])
+    k, t, size = np.concatenate(heads, axis=1)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    texts = pa.Array.from_buffers(pa.large_string(), len(k), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(parts))])
     order = np.lexsort((t, k))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (k[order[1:]] != k[order[:-1]]) | (t[order[1:]] != t[order[:-1]])
     order = order[new]
-    return k[order], texts["text"].combine_chunks().take(pa.array(order))
+    return k[order], texts.take(pa.array(order))
 
 
 def _hashes(texts: pa.Array, n: int) -> np.ndarray:
@@ -119,6 +140,20 @@ def _hashes(texts: pa.Array, n: int) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, U64)
 
 
+def _several(columns: Iterable[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers, squeezed, each behind its length."""
+    return b"".join(len(x).to_bytes(8, "little") + x for x in map(squeezed, columns))
+
+
+def _apart(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(expanded(blob[at + 8 : at + 8 + n]))
+        at += 8 + n
+    return out
+
+
 MESSAGE = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary()), ("more", pa.binary())])
 MESSAGE_DDL = "r int, chunk long, blob binary, more binary"
 
@@ -134,7 +169,7 @@ def _sketched(tasks: int, n: int, depth: int, width: int):
     def run(texts: pa.Table) -> pa.Table:
         cells, twice = sketch(_hashes(_distinct(texts)[1], n), depth, width)
         cut, chunk = _ranges(cells, size, tasks), texts["chunk"][0].as_py()
-        return _table([(r, chunk, _gaps(cells[s:e] - r * size), np.packbits(twice[s:e]).tobytes()) for r, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e])
+        return _table([(r, chunk, squeezed(cells[s:e] - r * size), np.packbits(twice[s:e]).tobytes()) for r, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e])
 
     return run
 
@@ -164,7 +199,7 @@ def _merged(size: int):
         for got in by.values():
             sketches = []
             for *_, gaps, twice in got:
-                cells = _from_gaps(gaps)
+                cells = expanded(gaps)
                 sketches.append((cells, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells))))
             rows = [(r, chunk, np.packbits(bits).tobytes(), None) for (r, chunk, *_), bits in zip(got, added(sketches, size), strict=True)]
             yield from _table(rows).to_batches(max_chunksize=64)
@@ -175,7 +210,7 @@ def _merged(size: int):
 def _marked(tasks: int, n: int, depth: int, width: int):
     """The windows of a chunk that may be repeated: an entry for each hash by target task, and, at -1, their places.
 
-    An entry: two hashes, the least key, how many places. The places: key, number of windows and their entries, starts and ends by text."""
+    Entries: two hashes, the least key, how many places. The places: key and number of windows by text, then their entries, starts and ends."""
     size = -(-depth * width // tasks)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -183,8 +218,12 @@ def _marked(tasks: int, n: int, depth: int, width: int):
             return _table([])
         key, text = _distinct(texts)
         data, offsets = buffers(text)
-        parts = [(i, j, *windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)) for i, j in slices(offsets, 1 << 20)]
-        h = np.concatenate([p[5] for p in parts])
+        parts, hashes = [], []
+        for i, j in slices(offsets, 1 << 20):
+            word, begin, row, own, start, end = windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+            hashes.append(own)
+            parts.append((i, j, word, *(x.astype(np.int32) for x in (begin, row, start, end))) if offsets[j] - offsets[i] < 1 << 31 else (i, j, word, begin, row, start, end))
+        h = np.concatenate(hashes)
         cells, _ = sketch(h, depth, width)
         cut = _ranges(cells, size, tasks)
         said = dict(zip(answers["r"].to_pylist(), answers["blob"].to_pylist(), strict=True))
@@ -201,13 +240,13 @@ def _marked(tasks: int, n: int, depth: int, width: int):
             on, own = on[some], own[some]
             on = on[many[np.minimum(np.searchsorted(many, own), len(many) - 1)] == own]
         rows, first, last, g, at = [], [], [], [], 0
-        for i, j, word, begin, row, _, start, end in parts:
+        for i, j, word, begin, row, start, end in parts:
             s, e = np.searchsorted(on, (at, at + len(begin)))
             mine = on[s:e] - at
             at += len(begin)
             if not len(mine):
                 continue
-            g.append(window_hashes(mix(word + U64(0x51ED270B)), n, begin[mine]))
+            g.append(window_hashes(mix(word + U64(0x51ED270B)), n, begin[mine]) & MORE)
             chars = char_index(data[offsets[i] : offsets[j]])
             base = chars[offsets[i + row[mine]] - offsets[i]]
             rows.append(i + row[mine])
@@ -224,12 +263,12 @@ def _marked(tasks: int, n: int, depth: int, width: int):
         entry[order] = np.cumsum(new) - 1
         head = order[new]
         count = np.diff(np.append(np.flatnonzero(new), len(h)))
-        lot = np.stack([h[head].view(np.int64), g[head].view(np.int64), key[row[head]], count])
+        lot = (h[head], g[head], key[row[head]], count)
         target = ((h[head] >> U64(40)) * U64(tasks)) >> U64(24)  # ascending, as h is
         edge = np.searchsorted(target, np.arange(tasks + 1))
-        out = [(r, chunk, lot[:, s:e].astype("<i8").tobytes(), None) for r, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if s < e]
+        out = [(r, chunk, _several(x[s:e] for x in lot), None) for r, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if s < e]
         texts_on, run = np.unique(row, return_counts=True)
-        out.append((-1, chunk, np.stack([key[texts_on], run]).astype("<i8").tobytes(), np.stack([entry, first, last]).astype("<i4").tobytes()))
+        out.append((-1, chunk, _several((key[texts_on], run)), _several((entry, first, last))))
         return _table(out)
 
     return run
@@ -240,7 +279,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by: dict[int, list] = {}
     for b in batches:
         for r, chunk, blob, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            by.setdefault(r, []).append((chunk, np.frombuffer(blob, "<i8").reshape(4, -1)))
+            by.setdefault(r, []).append((chunk, np.stack(_apart(blob))))
     for r, got in by.items():
         h, g, key, count = np.concatenate([x for _, x in got], axis=1)
         chunk = np.repeat([c for c, _ in got], [x.shape[1] for _, x in got])
@@ -254,7 +293,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = 0, []
         for c, x in got:
             e = at + x.shape[1]
-            rows.append((r, c, total[at:e].astype("<i8").tobytes(), np.packbits(first[at:e]).tobytes()))
+            rows.append((r, c, squeezed(total[at:e]), np.packbits(first[at:e]).tobytes()))
             at = e
         yield from _table(rows).to_batches(max_chunksize=64)
 
@@ -270,10 +309,11 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by.setdefault(chunk, []).append((r, blob, more))
     for got in by.values():
         (_, texts, places), *answers = sorted(got)
-        total = np.frombuffer(b"".join(x for _, x, _ in answers), "<i8")
-        fresh = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // 8) for _, x, y in answers]).astype(bool)
-        key, run = np.frombuffer(texts, "<i8").reshape(2, -1)
-        entry, start, end = np.frombuffer(places, "<i4").reshape(3, -1)
+        totals = [expanded(x) for _, x, _ in answers]
+        fresh = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)) for x, (*_, y) in zip(totals, answers, strict=True)]).astype(bool)
+        total = np.concatenate(totals)
+        key, run = _apart(texts)
+        entry, start, end = _apart(places)
         row = np.repeat(np.arange(len(key)), run)
         first = np.zeros(len(entry), dtype=bool)
         first[np.unique(entry, return_index=True)[1]] = fresh  # of a chunk's places the first in order
@@ -287,7 +327,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
         cut = np.flatnonzero(new)
         n = np.diff(np.append(cut, len(on)))
-        out = (key[row[cut]], start[cut], end[np.append(cut[1:], len(on)) - 1], n.astype(np.int32), np.maximum.reduceat(copies, cut).astype(np.int32), np.logical_or.reduceat(first, cut))
+        out = (key[row[cut]], start[cut].astype(np.int32), end[np.append(cut[1:], len(on)) - 1].astype(np.int32), n.astype(np.int32), np.maximum.reduceat(copies, cut).astype(np.int32), np.logical_or.reduceat(first, cut))
         for i in range(0, len(cut), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in out], ["k", "start", "end", "windows", "copies", "first"])
 
@@ -298,7 +338,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = docs.select(docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).filter("k is not null and text is not null")
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0
     chunks, width = max(1, -(-size // chunk_bytes)), max(1, int(load * size / 6))
-    placed = texts.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(chunks))).repartition(min(tasks, chunks), "chunk")
+    packed = texts.withColumn("chunk", F.pmod(F.xxhash64("k", "t"), F.lit(chunks))).mapInArrow(_pack, "chunk long, n long, blob binary")
+    placed = packed.repartition(min(tasks, chunks), "chunk")
     sketches = placed.groupBy("chunk").applyInArrow(_sketched(tasks, words, depth, width), MESSAGE_DDL)
     answers = sketches.repartitionById(tasks, F.col("r")).mapInArrow(_merged(-(-depth * width // tasks)), MESSAGE_DDL)
     # the texts' shuffle is the one of the sketches, used again

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -147,3 +148,15 @@ def fold(data: np.ndarray) -> np.ndarray:
     after = after[(b >= 0x80) & (b <= 0x9E) & (b != 0x97)]
     out[after] |= 0x20
     return out
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """64-bit numbers as differences, in planes of bytes, compressed."""
+    d = np.diff(values.view(np.int64), prepend=np.int64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def expanded(blob: bytes) -> np.ndarray:
+    """What ``squeezed`` was given, as signed numbers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
