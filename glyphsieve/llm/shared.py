@@ -1,40 +1,18 @@
-"""Where intermediate tables go, and what every query of this subpackage reads."""
+"""What every query of this subpackage reads, and where intermediate tables go."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphsieve.sources.tables import kept as written
+from glyphsieve.sources.tables import outside, scratch, shared_dir
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["outside", "read", "scratch", "shared_dir", "small", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
-
-    Only a local session without that setting, as in tests, gets a temporary folder."""
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir()
-    if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="glyphsieve-")
-        sc.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, from a table written to the shared folder; lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, row_bytes: int, most_bytes: int) -> DataFrame:

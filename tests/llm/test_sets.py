@@ -3,10 +3,11 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from glyphsieve.llm import graph, ngram_join, substring_dedup
+from glyphsieve.llm import graph, ngram_join, queries, substring_dedup
 from tests.llm.conftest import words
 
 
@@ -204,3 +205,16 @@ def test_sketches_add_up_and_are_never_too_low():
             assert all(m for m, v in zip(marked, p.tolist(), strict=True) if true[v] > 1)
             if width > 1 << 20:
                 assert marked == [true[v] > 1 for v in p.tolist()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = sorted(c[0] for c in got.description)
+    assert names == sorted(df.columns)
+    order = [[c[0] for c in got.description].index(n) for n in names]
+    want = Counter(tuple(r[i] for i in order) for r in got.fetchall())
+    assert Counter(tuple(r[n] for n in names) for r in df.collect()) == want
