@@ -25,7 +25,8 @@ Defined results:
   "other"; weights not given are 1; a subtree of weight 0 gets nothing;
 * shares are whole tokens, rounded down, so siblings together may lack some few;
 * a null or empty text has no tokens: it costs nothing and comes in every epoch that
-  reaches its hash; a leaf without any tokens gets nothing;
+  reaches its hash; a leaf without any tokens gets nothing; a very long text is one
+  document: it comes whole, where its tokens fit, or not at all;
 * rows with one key have one hash: they are selected together or not at all;
 * an empty table gives no rows; columns of other names go through untouched, and
   ``epoch`` is added (in place of a column of that name).

@@ -15,6 +15,7 @@ Defined results:
 * a text with at least k characters but fewer than a window has one;
 * repeated rows each get their fingerprints, a null key included;
 * positions are characters of the given text, at the gram's first character;
+* a very long text is read whole, in pieces that overlap so that no window is lost;
 * other columns are not read; an empty table gives none.
 """
 
