@@ -43,6 +43,7 @@ Defined results:
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -230,11 +231,11 @@ class Nystrom:
 
     def features(self, words: list[np.ndarray]) -> np.ndarray:
         """With a last column of ones, for the bias."""
-        out = np.ones((len(words), self.root.shape[1] + 1))
+        out = np.ones((len(words), self.root.shape[1] + 1), np.float32)
         for at, matrix in by_length(words):
-            for i in range(0, len(at), 4096):
-                part = matrix[i : i + 4096]
-                out[at[i : i + 4096], :-1] = (self._sums(part) / norms(part)[:, None]) @ self.root
+            for i in range(0, len(at), 1024):
+                part = matrix[i : i + 1024]
+                out[at[i : i + 1024], :-1] = (self._sums(part) / norms(part)[:, None]) @ self.root
         return out
 
     def model(self, w: np.ndarray) -> dict:
@@ -244,13 +245,18 @@ class Nystrom:
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Linear machine with squared hinge loss, by Newton's method; the last column of x is the bias."""
+    """Linear machine with squared hinge loss, by Newton's method; the last column of x is the bias. Rows are read in blocks."""
     w, penalty = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(steps):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        xa, ca = x[on], cost[on]
-        step = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(penalty), ((ca * y[on] * margin[on]) @ xa) - penalty * w)
+        matrix, gradient = np.diag(penalty), -penalty * w
+        for i in range(0, len(x), 8192):
+            part, sign = x[i : i + 8192].astype(float), y[i : i + 8192]
+            margin = 1 - sign * (part @ w)
+            on = margin > 0
+            part, weight = part[on], cost[i : i + 8192][on]
+            matrix += (part * weight[:, None]).T @ part
+            gradient += (weight * sign[on] * margin[on]) @ part
+        step = np.linalg.solve(matrix, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -290,11 +296,13 @@ def landmarks(words: list[np.ndarray], word: np.ndarray, text: np.ndarray, n_tox
     count = np.array([len(q) for q in each])
     kinds, quad = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]), return_inverse=True)
     start = np.cumsum(count) - count
-    many = count[word]
-    entry = np.repeat(start[word] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    pair = np.unique(np.repeat(text, many) * max(1, len(kinds)) + quad[entry])
-    texts, which = pair // max(1, len(kinds)), pair % max(1, len(kinds))
-    a, b = (np.bincount(which[on], minlength=len(kinds)) + 0.5 for on in (texts < n_toxic, texts >= n_toxic))
+    a, b = np.full(len(kinds), 0.5), np.full(len(kinds), 0.5)
+    edges = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True])
+    for s, e in zip(edges[:-1], edges[1:], strict=True):  # each text has a quad or not
+        own = word[s:e]
+        many = count[own]
+        entry = np.repeat(start[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        (a if text[s] < n_toxic else b)[np.unique(quad[entry])] += 1
     odds = np.log(a / (n_toxic + 1 - a)) - np.log(b / (n_clean + 1 - b))
     z = odds / np.sqrt(1 / a + 1 / b)
     in_toxic = np.bincount(word[text < n_toxic], minlength=len(words))
@@ -318,7 +326,7 @@ def landmarks(words: list[np.ndarray], word: np.ndarray, text: np.ndarray, n_tox
     return marks + clean[:: max(1, len(clean) // (most - len(marks)))][: most - len(marks)]
 
 
-def train(toxic: list[str], clean: list[str], *, most_landmarks: int = 192, rounds: int = 5, negatives: int = 3000, seed: int = 3) -> dict | None:
+def train(toxic: list[str], clean: list[str], *, most_landmarks: int = 256, rounds: int = 5, negatives: int = 3000, seed: int = 3) -> dict | None:
     """A model from texts of both labels, or None without words of both."""
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     words, word, sentence, of = sentences(toxic + clean)
@@ -333,7 +341,7 @@ def train(toxic: list[str], clean: list[str], *, most_landmarks: int = 192, roun
     # sentences with inherited labels
     cut = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
     run = np.diff(np.append(cut, len(sentence)))
-    mean = np.empty((len(cut), x.shape[1]))
+    mean = np.empty((len(cut), x.shape[1]), np.float32)
     for i in range(0, len(cut), 4096):
         at = cut[i : i + 4096]
         end = cut[i + 4096] if i + 4096 < len(cut) else len(word)
@@ -341,6 +349,7 @@ def train(toxic: list[str], clean: list[str], *, most_landmarks: int = 192, roun
     mean[:, -1] = 1
     y = np.where(of[sentence[cut]] < len(toxic), 1.0, -1.0)
     w = machine(mean, y, len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum()), ridge=10.0)
+    del mean
     value = x[:, :-1] @ w[:-1]
 
     # words as instances
@@ -436,8 +445,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     share = kinds.groupBy("y").count().select("y", F.least(F.lit(1.0), 4 * sample_docs / F.col("count")).alias("share"))
     near = kinds.join(F.broadcast(share), "y").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.col("share") * (1 << 20) + 1)
     picked = near.withColumns({"turn": F.row_number().over(turn), "chars": F.sum("n").over(turn)}).filter((F.col("turn") <= sample_docs) & (F.col("chars") <= sample_chars)).select("y", "h")
-    found = rows.select("t", "h").join(F.broadcast(picked), "h").dropDuplicates(["y", "h"]).select("y", "t").collect()
-    return train([r["t"] for r in found if r["y"] == 1], [r["t"] for r in found if r["y"] == 0], seed=seed, **options)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list[str]] = {0: [], 1: []}
+        for b in batches:
+            for y, t in zip(b.column("y").to_pylist(), b.column("t").to_pylist(), strict=True):
+                texts[y].append(t)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts[1], texts[0], seed=seed, **options))])], ["model"])
+
+    # the sample is bounded, so one task learns from it; the driver gets the model alone
+    found = rows.select("t", "h").join(F.broadcast(picked), "h").dropDuplicates(["y", "h"]).select("y", "t").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def judged(docs: DataFrame, model: dict | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
