@@ -358,13 +358,15 @@ WITH texts AS (
   SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), split AS (
   SELECT doc_id, md5(text) AS t, regexp_extract_all(text, '({other}*)({sign}+)', 1) AS gaps, regexp_extract_all(text, '({other}*)({sign}+)', 2) AS ws FROM texts
+), folded AS (
+  SELECT *, [lower(x) FOR x IN ws] AS low FROM split
 ), word AS (
-  SELECT doc_id, t, unnest(range(1, len(ws) + 1)) AS i, unnest(gaps) AS gap, unnest(ws) AS w, [lower(x) FOR x IN ws] AS all_words, len(ws) AS many FROM split
+  SELECT doc_id, t, unnest(range(1, len(ws) + 1)) AS i, unnest(gaps) AS gap, unnest(ws) AS w,
+    unnest([CASE WHEN j + {n - 1} <= len(low) THEN md5(array_to_string(list_slice(low, j, j + {n - 1}), ' ')) END FOR j IN range(1, len(low) + 1)]) AS h FROM folded
 ), placed AS (
-  SELECT doc_id, t, i, many, all_words, len(w) AS size, sum(len(gap) + len(w)) OVER (PARTITION BY doc_id, t ORDER BY i) AS until FROM word
+  SELECT doc_id, t, i, h, length(w) AS size, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, t ORDER BY i) AS until FROM word
 ), windows AS (
-  SELECT doc_id, t, i, until - size AS start, lead(until, {n - 1}) OVER (PARTITION BY doc_id, t ORDER BY i) AS stop,
-    CASE WHEN i + {n - 1} <= many THEN md5(array_to_string(list_slice(all_words, i, i + {n - 1}), ' ')) END AS h FROM placed
+  SELECT doc_id, t, i, h, until - size AS start, lead(until, {n - 1}) OVER (PARTITION BY doc_id, t ORDER BY i) AS stop FROM placed
 ), counted AS (
   SELECT *, count(*) OVER (PARTITION BY h) AS copies, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) = 1 AS fresh FROM windows WHERE h IS NOT NULL
 ), repeated AS (
