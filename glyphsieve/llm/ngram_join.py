@@ -41,6 +41,9 @@ Defined results:
   texts stands for both of its sets, which may link to each other, and its copies and
   links are those of both together;
 * other columns are not read, whatever their names; empty tables give an empty result.
+
+A task that is run again must see its rows in the same order, as it does where docs is read
+from files (or written before); chunks are named by partition and number.
 """
 
 from __future__ import annotations
