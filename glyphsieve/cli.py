@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.operators import baseline as known
 from glyphsieve.operators import fix, messages, report
-from glyphsieve.operators.scan import ordered, scan, skipped
+from glyphsieve.operators.scan import ordered, scan
 from glyphsieve.plans import config as configs
 from glyphsieve.plans.planner import DEFAULT_IGNORE, rule_counts, warnings
 from glyphsieve.plans.rules import RuleError, UnsupportedScopeError, virtual_rules
@@ -139,9 +139,6 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
             say(f"{r['file']} can't be read: {r['error']}")
         for w in warnings(files, rules, ignore=options["ignore"]):
             say(w)
-    refused = [r["file"] for r in skipped(files, rules, ignore=options["ignore"], paths=options["paths"]).collect()]
-    for file in refused:
-        say(f"{file} was skipped: JSX can't be read")
 
     def again(texts: DataFrame) -> DataFrame:
         return scan(texts, **options, internal=True, excerpts=o.format == "pretty")
@@ -163,17 +160,15 @@ def _run(o: argparse.Namespace, loaded: configs.Loaded, spark: SparkSession, out
         found, fixed, converged = done.findings, done.fixed, done.converged
     else:
         found = again(files)
-    return _report(o, found, (_use_baseline(loaded, o), scope), out, say, fixed, converged, len(refused))
+    return _report(o, found, (_use_baseline(loaded, o), scope), out, say, fixed, converged)
 
 
-def _report(o: argparse.Namespace, found: DataFrame, use: tuple[str | None, DataFrame | None] | None, out: Callable[[str], None], say: Callable[[str], None], fixed: int = 0, converged: bool = True, refused: int = 0) -> int:
+def _report(o: argparse.Namespace, found: DataFrame, use: tuple[str | None, DataFrame | None] | None, out: Callable[[str], None], say: Callable[[str], None], fixed: int = 0, converged: bool = True) -> int:
     path, scope = use or (None, None)
     spark = found.sparkSession
     found = kept(found)
     accounted = stale = 0
     if path is not None and o.baseline_write:
-        if refused:
-            raise known.BaselineError("files were skipped, so a baseline would not record their findings")
         known.write(known.entries_for(found), path)
         say(f"recorded {report.plural(found.count(), 'finding')} in {path}")
         return OK
@@ -199,7 +194,7 @@ def _report(o: argparse.Namespace, found: DataFrame, use: tuple[str | None, Data
         out(report.sarif_report(shown, o.quiet, VERSION))
     else:
         out(report.pretty_report(shown, quiet=o.quiet, color=not o.no_color and sys.stdout.isatty(), fixed=fixed, baselined=accounted))
-    code = report.exit_code(F.col("errors"), F.col("warnings"), max_warnings=o.max_warnings, strict_stale=F.lit(stale) if o.baseline_strict else None, converged=F.lit(converged), skipped=F.lit(refused))
+    code = report.exit_code(F.col("errors"), F.col("warnings"), max_warnings=o.max_warnings, strict_stale=F.lit(stale) if o.baseline_strict else None, converged=F.lit(converged))
     return report.summary(found).select(code.alias("code")).first()["code"]
 
 

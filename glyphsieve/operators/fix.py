@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glyphsieve.functions.chars import BOM
 from glyphsieve.functions.text import binary, context_of, strip_bom, without_bom
 from glyphsieve.operators.batchscan import line_at
-from glyphsieve.operators.scan import COLUMNS, FINDINGS, any_of, refused, targets, with_rules
+from glyphsieve.operators.scan import COLUMNS, FINDINGS, any_of, targets, with_rules
 from glyphsieve.operators.textscan import MARKER, scan_text
 from glyphsieve.plans.planner import restricted
 from glyphsieve.plans.rules import Rule
@@ -166,7 +166,7 @@ def _run(files: DataFrame, rules: list[Rule | dict], most: int, hold: DataFrame
     # a fix may make what another rule matches: rules read the files that they are about, once any of them matches
     inside, applies = targets(files, rules, tuple(ignore), paths)
     text = F.col("text")
-    hit = any_of(F.col(applies[r.id]) & without_bom(text).rlike(r.java) for r in rules) & ~refused(rules, applies)
+    hit = any_of(F.col(applies[r.id]) & without_bom(text).rlike(r.java) for r in rules)
     if not assume_text:
         hit = hit & ~binary(text)
     inside = inside.withColumn("hit", F.coalesce(hit, F.lit(False)))

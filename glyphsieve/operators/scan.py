@@ -126,7 +126,7 @@ def _native(rows: DataFrame, rules: list[Rule], applies: dict[str, str], extra:
 _JSX_BLOCK = r"(?is)<script\b[^>]*\blang\s*=\s*[\"']?(?:tsx|jsx)\b"
 
 
-def jsx(rule: Rule) -> Column:
+def holds_jsx(rule: Rule) -> Column:
     """Whether the rule's scope would have to read JSX in the file."""
     name = F.lower("file")
     if rule.scope == "strings":
@@ -165,7 +165,7 @@ def any_of(columns: Iterable[Column]) -> Column:
 
 def refused(rules: list[Rule], applies: dict[str, str]) -> Column:
     """Whether a rule would have to read JSX in the file."""
-    return any_of(F.col(applies[r.id]) & jsx(r) for r in rules if r.scope in ("strings", "markup"))
+    return any_of(F.col(applies[r.id]) & holds_jsx(r) for r in rules if r.scope in ("strings", "markup"))
 
 
 def with_rules(rows: DataFrame, rules: list[Rule], applies: dict[str, str], *more: str) -> DataFrame:
@@ -174,17 +174,19 @@ def with_rules(rows: DataFrame, rules: list[Rule], applies: dict[str, str], *mor
     return rows.select("file", "text", on.alias("on"), *more).filter(F.exists("on", lambda x: x))
 
 
-def scan(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER, native: bool = False, internal: bool = False, excerpts: bool = False) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None, assume_text: bool = False, text_attributes: Iterable[str] | None = None, marker: str = MARKER, native: bool = False, internal: bool = False, excerpts: bool = False, jsx: bool = True) -> DataFrame:
     """Findings (FINDINGS) of a table (file, text), in no order.
 
     A null file or text has none; repeated rows are files of their own. Text that begins with a byte order mark is
     read without it. ``internal`` keeps cp_offset, the offset in code points, and context, the hash of what stands
-    around the match; ``excerpts`` the line that it begins in."""
+    around the match; ``excerpts`` the line that it begins in. Without ``jsx`` files in which a rule would have to read
+    JSX are left out (``skipped`` names them)."""
     rules = [Rule.of(r) for r in rules]
     attributes = None if text_attributes is None else tuple(text_attributes)
     extra = (*(INTERNAL if internal else ()), *(("excerpt",) if excerpts else ()))
     rows, applies = candidates(files, rules, tuple(ignore), paths, assume_text)
-    rows = rows.filter(~refused(rules, applies))
+    if not jsx:
+        rows = rows.filter(~refused(rules, applies))
     inside = [r for r in rules if native and is_native(r)]
     other = [r for r in rules if r not in inside]
     columns = [*COLUMNS, *extra]
@@ -203,10 +205,10 @@ def scan(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] =
 
 
 def skipped(files: DataFrame, rules: list[Rule | dict], *, ignore: Iterable[str] = (), paths: Iterable[str] | DataFrame | None = None) -> DataFrame:
-    """(file, reason): files that were not scanned as a rule would have to read JSX there."""
+    """(file, reason): files that a scan without ``jsx`` leaves out, as a rule would have to read JSX there."""
     rules = [Rule.of(r) for r in rules]
     rows, applies = candidates(files, rules, tuple(ignore), paths, False)
-    return rows.filter(refused(rules, applies)).select("file", F.lit("JSX can't be read").alias("reason"))
+    return rows.filter(refused(rules, applies)).select("file", F.lit("JSX isn't read").alias("reason"))
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from glyphsieve.operators.scopes.markup import components_chunks
 from glyphsieve.plans.rules import DEFAULT_TEXT_ATTRIBUTES, UnsupportedScopeError, scope_supports
 
 
-def chunks_of(scope: str, text: str, file: str, text_attributes: tuple[str, ...] | None = None) -> list[Chunk]:
+def chunks_of(scope: str, text: str, file: str, text_attributes: tuple[str, ...] | None = None, jsx: bool = True) -> list[Chunk]:
     """(start, end, whether a fix sees the chunk itself) of what the scope reads; nothing in files it can't read."""
     names = frozenset(DEFAULT_TEXT_ATTRIBUTES if text_attributes is None else text_attributes)
     if scope == "raw":
@@ -19,12 +19,12 @@ def chunks_of(scope: str, text: str, file: str, text_attributes: tuple[str, ...]
     if not scope_supports(scope, file):
         return []
     if scope == "strings":
-        return [(a, b, True) for a, b in strings_of(text, file)]
+        return [(a, b, True) for a, b in strings_of(text, file, jsx)]
     if scope == "html":
         return pages_chunks(text, names)
     if scope == "markdown":
         return prose_chunks(text)
-    return components_chunks(text, names, file)
+    return components_chunks(text, names, file, jsx)
 
 
 __all__ = ["Chunk", "JsxError", "chunks_of"]

@@ -40,12 +40,12 @@ def blocks_of(text: str) -> list[tuple[str, dict[str, str | None], int, int]]:
     return found
 
 
-def components_chunks(text: str, names: frozenset[str], file: str) -> list[Chunk]:
+def components_chunks(text: str, names: frozenset[str], file: str, jsx: bool = True) -> list[Chunk]:
     chunks: list[Chunk] = []
 
-    def expression(start: int, end: int) -> None:
+    def expression(start: int, end: int, elements: bool = False) -> None:
         if text[start:end].strip():
-            chunks.extend((start + a, start + b, True) for a, b in literals(text[start:end]))
+            chunks.extend((start + a, start + b, True) for a, b in literals(text[start:end], elements))
 
     seen = set()
     for block, given, start, end in blocks_of(text):
@@ -54,9 +54,10 @@ def components_chunks(text: str, names: frozenset[str], file: str) -> list[Chunk
             continue
         seen.add(kind)
         if block == "script":
-            if given.get("lang") in ("tsx", "jsx"):
+            elements = given.get("lang") in ("tsx", "jsx")
+            if elements and not jsx:
                 raise JsxError(file)
-            expression(start, end)
+            expression(start, end, elements)
         elif block == "template" and given.get("lang") in (None, "html"):
             inside = text[start:end]
             for token, a, b, name, attributes in tokens(inside, holes=True):

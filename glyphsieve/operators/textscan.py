@@ -56,7 +56,7 @@ class _Units:
         return at if self.wide is None else int(self.wide[at])
 
 
-def scan_text(text: str, file: str, rules: list[Rule], *, assume_text: bool = False, text_attributes: tuple[str, ...] | None = None, marker: str = MARKER) -> list[dict[str, Any]]:
+def scan_text(text: str, file: str, rules: list[Rule], *, assume_text: bool = False, text_attributes: tuple[str, ...] | None = None, marker: str = MARKER, jsx: bool = True) -> list[dict[str, Any]]:
     """Findings of one text, by offset and rule id."""
     if not rules or (not assume_text and looks_binary(text)):
         return []
@@ -79,7 +79,7 @@ def scan_text(text: str, file: str, rules: list[Rule], *, assume_text: bool = Fa
             quiet = suppressions_of(text, file, marker)
             units = _Units(text)
         if rule.scope not in chunks:
-            chunks[rule.scope] = chunks_of(rule.scope, text, file, text_attributes)
+            chunks[rule.scope] = chunks_of(rule.scope, text, file, text_attributes, jsx)
         begins, ends = [a for a, _ in spans], [b for _, b in spans]
         for start, end, own in chunks[rule.scope]:
             first = bisect_right(ends, start)

@@ -135,7 +135,8 @@ def test_jsx_files_are_skipped(spark):
     df = spark.createDataFrame([("a.tsx", D), ("b.ts", f"'{D}'"), ("c.vue", f"<script lang='jsx'>'{D}'</script>"), ("d.tsx", "plain")], FILES)
     rules = [EM, Rule("s", ("**/*.{ts,tsx}",), chars=(D,), scope="strings"), Rule("m", ("**/*.vue",), chars=(D,), scope="markup")]
     assert {r.file for r in skipped(df, rules).collect()} == {"a.tsx", "c.vue"}
-    assert {r.file for r in scan(df, rules).collect()} == {"b.ts"}
+    assert {r.file for r in scan(df, rules, jsx=False).collect()} == {"b.ts"}
+    assert {(r.file, r.rule_id) for r in scan(df, rules).collect()} == {("a.tsx", "em"), ("b.ts", "em"), ("b.ts", "s"), ("c.vue", "em"), ("c.vue", "m")}
 
 
 def test_plan(spark):

@@ -153,7 +153,7 @@ def test_components():
     assert lines("markup", "a.vue", VUE) == want
     assert lines("markup", "a.html", VUE) == []
     with pytest.raises(JsxError):
-        chunks_of("markup", '<script lang="tsx">"x"</script>', "a.vue")
+        chunks_of("markup", '<script lang="tsx">"x"</script>', "a.vue", jsx=False)
 
 
 @pytest.mark.parametrize(
@@ -182,13 +182,33 @@ def test_literals(code, want):
     assert [code[a:b] for a, b in literals(code)] == want
 
 
+@pytest.mark.parametrize(
+    ("code", "want"),
+    [
+        ("const a = <p title='t' data-x=\"d\">it's text</p>; 'after'", ["'t'", '"d"', "'after'"]),
+        ("return (<div>{a ? 'yes' : <b>don't</b>} isn't {`q ${x}`}</div>)", ["'yes'", "`q ${", "}`"]),
+        ("x = <><br/>can't<hr /></>, 'z'", ["'z'"]),
+        ("f(<A.B {...{k: 'v'}} on={() => { g('h') }} />, 's')", ["'v'", "'h'", "'s'"]),
+        ("x = <A icon=<B c='d'/> e='f'>t's</A> / 2; 'g'", ["'d'", "'f'", "'g'"]),
+        ("const f = <T,>(x: T) => 'a'; const g = <T extends U>(x: T) => \"b\"", ["'a'", '"b"']),
+        ("if (a < b && c > d) 'x'", ["'x'"]),
+        ("x = <List<Item> of='y'>{/* don't */}{'z'}</List>", ["'y'", "'z'"]),
+        ("x = <p>{", []),
+        ("x = <p a='never closed", ["'never closed"]),
+        ("y = <p // it's a comment\n b='c'/>", ["'c'"]),
+    ],
+)
+def test_elements(code, want):
+    assert [code[a:b] for a, b in literals(code, jsx=True)] == want
+
+
 def test_strings_scope():
     found = seen("strings", "a.ts", f'const label = "one {D} two";')
     assert [(f["line"], f["column"]) for f in found] == [(1, 20)]
     assert len(seen("strings", "a.mjs", f"`head {D} ${{v}} tail {D}`")) == 2
     assert seen("strings", "a.py", f'"{D}"') == []
     with pytest.raises(JsxError):
-        chunks_of("strings", "x", "a.tsx")
+        chunks_of("strings", "x", "a.tsx", jsx=False)
 
 
 def test_many_chunks_and_one_match():
