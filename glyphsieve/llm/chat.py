@@ -33,13 +33,14 @@ Defined results:
 * a tie in the order of turns can't be: equal turns of a conversation are one;
 * other columns are not read, whatever their names; an empty table gives no rows;
 * a tokenizer that can't be read, or lacks the end token, is an error at once: the driver
-  reads its file and sends it along with the tasks.
+  reads its file and sends it along with the tasks; nothing of it need be on executors.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from base64 import b64decode
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -52,8 +53,11 @@ from pyspark.sql import functions as F
 from glyphsieve.llm.shared import written
 from glyphsieve.llm.textops import lists
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Ranks of a byte-pair encoding, or a file of the tokenizers library (.json), which is several times slower.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = "<|endoftext|>"
+#: How a text is cut before pairs are merged.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 SPANS = "array<struct<start:bigint,end:bigint>>"
 NODES = f"part int, moves boolean, first int, tree bigint, start bigint, depth int, position int, role string, conversations array<bigint>, tokens array<int>, attends {SPANS}, report string, path array<binary>, lengths array<int>"
 RESULT = f"tree bigint, start bigint, end bigint, depth int, role string, conversations array<bigint>, tokens array<int>, positions array<int>, attends {SPANS}"
@@ -65,16 +69,25 @@ Spans = list[tuple[int, int]]
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(json: str, end: str):
+def _tokenizer(file: str, end: str) -> Callable[[list[str]], list[list[int]]]:
+    """From texts to their tokens and the end token's. In a text the end token's string is ordinary text.
+
+    Ranks don't name their end token: it is the number behind the last one."""
+    if file[:1] != "{":
+        from tiktoken import Encoding
+
+        ranks = {b64decode(token): int(rank) for token, rank in map(str.split, file.splitlines())}
+        pairs, last = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+        return lambda texts: [[*pairs.encode_ordinary(t), last] for t in texts]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use the cores
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(json)
+    t = Tokenizer.from_str(file)
     last = t.token_to_id(end)
     if last is None:
         raise ValueError(f"the tokenizer has no token {end}")
-    t.encode_special_tokens = True  # in a text its string is ordinary text
-    return t, last
+    t.encode_special_tokens = True
+    return lambda texts: [[*x.ids, last] for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def read_tokenizer(path: str) -> str:
@@ -82,12 +95,11 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-def encoded(turns: list[str], json: str, end: str) -> list[list[int]]:
+def encoded(turns: list[str], file: str, end: str) -> list[list[int]]:
     """The tokens of each turn; equal turns are tokenized once."""
-    t, last = _tokenizer(json, end)
     known = dict.fromkeys(turns)
-    for turn, x in zip(known, t.encode_batch_fast(list(known), add_special_tokens=False), strict=True):
-        known[turn] = [*x.ids, last]
+    for turn, tokens in zip(known, _tokenizer(file, end)(list(known)), strict=True):
+        known[turn] = tokens
     return [known[turn] for turn in turns]
 
 
@@ -256,8 +268,8 @@ def prefix_tree(conversations: DataFrame, *, key: str = "conv_id", turn: str = "
     """One row for each node: see the module."""
     spark = conversations.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    json = read_tokenizer(tokenizer)
-    _tokenizer(json, end)
+    file = read_tokenizer(tokenizer)
+    _tokenizer(file, end)
     empty = F.lit("")
     turns = conversations.select(conversations[key].cast("long").alias("k"), conversations[turn].alias("n"), F.coalesce(conversations[role].cast("string"), empty).alias("role"), F.coalesce(conversations[text].cast("string"), empty).alias("text")).filter("k is not null")
     whole = turns.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("n", "role", "text"))).alias("turns"))
@@ -265,6 +277,6 @@ def prefix_tree(conversations: DataFrame, *, key: str = "conv_id", turn: str = "
     # a role with a line end would write the same turn as another role and text do, and is the same node
     distinct = hashed.groupBy("path").agg(F.array_sort(F.collect_list("k")).alias("conversations"), F.any_value(F.struct("roles", "texts")).alias("one"))
     placed = distinct.repartitionByRange(tasks, "path").sortWithinPartitions("path").select(F.spark_partition_id().alias("part"), "path", "one.roles", "one.texts", "conversations")
-    scanned = written(placed.mapInArrow(_scan(spark.sparkContext.broadcast(json), end), NODES))
+    scanned = written(placed.mapInArrow(_scan(spark.sparkContext.broadcast(file), end), NODES))
     reports = [r.asDict(recursive=True) for r in scanned.filter("report is not null").select("part", "report", "moves", "start", "path", "lengths", "attends").collect()]
     return scanned.filter("report is null").mapInArrow(_finish(carried(reports)), RESULT)

@@ -148,6 +148,13 @@ def test_prefix_tree(spark, rng, roots):
     assert got == slow_tree(conversations)
 
 
+def test_ranks_and_the_tokenizers_library_agree(rng):
+    texts = [words(rng, 60, "abcdéß ") for _ in range(20)] + ["a  b\n\n c \t d", "   ", "q" * 5000, "<|endoftext|> x", "日本 é 12 345!!", "it's I'll we've\r\n\r\n x", ""]
+    got = chat.encode(texts)
+    assert got == chat.encode(texts, "/opt/tokenizers/byte_bpe_50k.json")
+    assert {x[-1] for x in got} == {50256}
+
+
 def test_chat_edge_cases(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat.prefix_tree(spark.createDataFrame([], schema)).count() == 0
