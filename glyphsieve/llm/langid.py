@@ -42,9 +42,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphsieve.llm.shared import small, written
 from glyphsieve.llm.textops import buffers, fold, lists, slices
 
 HIDDEN = 8
+#: The table of languages is broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 SEGMENT = 256
 CONTEXT = 32
 #: Of the floor under which no text is accepted: bytes of a held-out piece, natural logarithms below the lowest of them, and what short texts are given over the root of their trigrams.
@@ -365,7 +368,7 @@ def sample(docs: DataFrame, text: str, label: str, most: int, chars: int, seed:
     size = rows.groupBy("y").agg((F.sum("n") * F.approx_count_distinct("h") / F.count("*")).alias("pieces"))
     cut = (F.least(F.lit(1.0), 4 * most / F.greatest(F.col("pieces"), F.lit(1.0))) * (1 << 20)).cast("int") + 1
     picked = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(F.col("h"), i, F.lit(seed)), F.lit(1 << 20)) < F.col("cut"))
-    some = rows.join(size.select("y", cut.alias("cut")), "y").select("y", "t", picked.alias("at")).filter(F.size("at") > 0)
+    some = rows.join(small(written(size.select("y", cut.alias("cut"))), 64, BROADCAST_BYTES), "y").select("y", "t", picked.alias("at")).filter(F.size("at") > 0)
     pieces = some.select("y", F.explode(F.transform("at", lambda i: F.col("t").substr((i * chars + 1).cast("int"), F.lit(chars)))).alias("t")).select("y", "t", F.xxhash64("t", F.lit(seed + 1)).alias("k"))
     turn = F.row_number().over(Window.partitionBy("y").orderBy("k"))
     got = pieces.dropDuplicates(["y", "k"]).withColumn("turn", turn).orderBy("turn", "k", "y").limit(most).collect()
