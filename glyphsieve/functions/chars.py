@@ -37,6 +37,13 @@ def describe(text: str) -> str:
     return " ".join(f"U+{ord(c):04X}" for c in text)
 
 
+def escaped(text: str) -> str:
+    """The text in printable ASCII: any other UTF-16 unit as \\uXXXX, so that it survives copying."""
+    units = text.encode("utf-16-be", "surrogatepass")
+    codes = (units[i] << 8 | units[i + 1] for i in range(0, len(units), 2))
+    return "".join(chr(c) if 0x20 <= c <= 0x7E else f"\\u{c:04x}" for c in codes)
+
+
 def is_invisible(text: str) -> bool:
     return bool(text) and all(c in INVISIBLE or c in SPACES for c in text)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import platform
 from collections.abc import Iterable
+from importlib import metadata
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -134,13 +136,21 @@ def exit_code(errors: Column, warnings: Column, *, max_warnings: int | None = No
     return code.otherwise(0)
 
 
+def _version(name: str) -> str | None:
+    try:
+        return metadata.version(name)
+    except metadata.PackageNotFoundError:
+        return None
+
+
 def issue_report(rules: Iterable[Rule], counts: DataFrame, *, ignore: Iterable[str] = (), baseline: str | bool | None = None, verbatim: bool = False, version: str = "") -> str:
     """A description of a configuration to send along with a question: no file is read, and names are replaced unless ``verbatim``."""
     hide = (lambda p: p) if verbatim else globs.anonymizer()
     seen = {r["rule_id"]: r for r in counts.collect()}
-    lines = ["## Configuration", "", f"{TOOL} {version}".strip(), "", f"ignore: {', '.join(hide(p) for p in ignore) or 'nothing more'}", f"baseline: {'none' if not baseline else 'in use'}", ""]
+    peers = ", ".join(f"{name} {found}" for name in ("pyspark", "pyarrow", "regex") if (found := _version(name)))
+    lines = ["## Configuration", "", f"{TOOL} {version}".strip() + f" on Python {platform.python_version()} with {peers}", "", f"ignore: {', '.join(hide(p) for p in ignore) or 'nothing more'}", f"baseline: {'none' if not baseline else 'in use'}", ""]
     for i, r in enumerate(rules, 1):
-        what = "chars " + " ".join(chars.describe(c) for c in r.chars) if r.chars is not None else f"pattern {r.pattern if verbatim else '(left out)'}"
+        what = "chars " + " ".join(chars.describe(c) for c in r.chars) if r.chars is not None else f"pattern `{chars.escaped(r.pattern)}`"
         lines += [f"### rule {i}{': ' + r.id if verbatim else ''}", "", f"- {what}", f"- scope {r.scope}, severity {r.severity}, fix {'none' if r.fix is None else 'text' if isinstance(r.fix, str) else 'function'}", f"- include {', '.join(map(hide, r.include))}"]
         if r.exclude:
             lines.append(f"- exclude {', '.join(map(hide, r.exclude))}")

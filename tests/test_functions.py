@@ -195,3 +195,7 @@ def test_negated_groups(spark, pattern, yes, no):
         assert globs.matches(path, [pattern]) == (path in yes)
     df = spark.createDataFrame([(p,) for p in yes + no], "p string")
     assert {r.p for r in df.filter(F.col("p").rlike(globs.to_regex(pattern))).collect()} == set(yes)
+
+
+def test_escaped():
+    assert chars.escaped("a\u200b\U0001f680~\n") == "a\\u200b\\ud83d\\ude80~\\u000a"
