@@ -335,7 +335,7 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
         )
     names, K = pa.array(network.names, pa.string()), len(network.names)
     probs, runs, familiar = [], [], []
-    for i, j in slices(offsets, 2 << 20):
+    for i, j in slices(offsets, 1 << 19):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         labels, pooled = network.label(part, own)
         probs.append(pooled)
