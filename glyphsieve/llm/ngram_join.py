@@ -16,16 +16,19 @@ How it runs, each step over all rows that the one before left:
    has no partner.
 2. Equal sets become one set. The table of keys by set holds numbers only.
 3. Counts over what is left, added up by chunk before they are sent, give the orders.
-   In each, the sets that share a gram of their prefixes are linked, in the chunk
-   first; from a chunk one entry for each gram goes on. Candidates lie in the same
-   component in every order (the intersection), so only such cells of sets meet again.
+   The sets that share a gram of their prefixes under the first order meet in signatures
+   of two to four bits a gram: each bit is the parity of the grams that fall on it, so
+   bits that differ bound the overlap from above, and no similar pair fails. What a
+   task's pairs link goes on as a few edges. Components over all tasks are the cells.
+   Texts that only share rare grams, one with the next, would else be one cell.
 4. Cells meet in blocks of bounded size, every two blocks of a cell in a task of
    their own. There the prefixes are compared pair by pair under each order, and
    pairs that pass them all are verified by their exact overlap. A block gives each
    set's number of links and a few edges that span its groups, not the pairs.
 
-No partner is left out. No task gets more of a gram, however frequent, than one entry
-for each chunk. What a cell of sets that are all alike costs is the number of its pairs.
+No partner is left out. In steps 1 and 2 no task gets more of a gram, however frequent,
+than one entry for each chunk; in step 3 one for each set that has it in its prefix. What
+a cell of sets that are all alike costs is the number of its pairs.
 
 Result: a row (doc_id, class_id, copies, links) for each key that has a partner.
 class_id is the least key of the group that links connect it with; copies, how many
@@ -68,6 +71,8 @@ CHUNK, CHUNK_SETS = 1 << 21, 1 << 20
 #: Tables of keys are broadcast up to so many bytes (as counted by ``small``); larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 BLOCK_GRAMS, BLOCK_TEXTS = 1_000_000, 1000
+#: Sets with a gram in common meet pair by pair up to so many; more of them meet group by group, so many pairs at a time.
+FEW, TESTS = 32, 1 << 18
 M48 = U64((1 << 48) - 1)
 
 
@@ -303,18 +308,51 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches([(x[0], x[1], None, total[e - len(x[3]) // 2 : e].tobytes()) for x, e in zip(got, ends, strict=True)], ASKED)
 
 
-LINKS = pa.schema([("r", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("grams", pa.binary())])
-LINKS_DDL = "r int, k int, keys binary, grams binary"
+LINKS = pa.schema([("r", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary()), ("grams", pa.binary())])
+LINKS_DDL = "r int, ids binary, n binary, counts binary, bits binary, grams binary"
 
 
-def _links(threshold: float, orders: int, tasks: int):
-    """The sets' prefixes under each order: edges inside the chunk, and one set for each of its grams."""
+def signature_words(n: np.ndarray) -> np.ndarray:
+    """How many 64-bit words a set's signature has: a power of two, two bits a gram at least, 8192 bits at most."""
+    return np.int64(1) << np.ceil(np.log2(np.clip(n, 32, 4096) / 32)).astype(np.int64)
+
+
+def signatures(row: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sets' signatures, one behind the other: each bit is the parity of the grams that fall on it."""
+    size = signature_words(n) * 64
+    start = np.cumsum(size) - size
+    at = start[row] + (mix(gram ^ _seed(77)) & (size[row] - 1).astype(U64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=int(size.sum())) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, start: np.ndarray, bits: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets may reach the threshold by their sizes and signatures; none that does is left out.
+
+    Every bit in which two signatures differ is a gram of only one of the sets. The wider one is folded first."""
+    out = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6
+    most = (n[i] + n[j]) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    wide, other = (signature_words(n[x]) for x in (i, j))
+    kind = wide << 8 | other
+    for both in np.unique(kind[out]).tolist():
+        on = np.flatnonzero(out & (kind == both))
+        width = min(both >> 8, both & 255)
+        step = max(1, (1 << 18) // max(both >> 8, both & 255))
+        for s in range(0, len(on), step):
+            part = on[s : s + step]
+            x, y = (np.bitwise_xor.reduce(bits[start[z[part], None] + np.arange(w)].reshape(len(part), -1, width), axis=1) for z, w in ((i, both >> 8), (j, both & 255)))
+            out[part] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[part]
+    return out
+
+
+def _links(threshold: float, tasks: int):
+    """By target task the sets that have grams of their prefixes (of the first order) there: sizes, signatures and those grams."""
 
     def links(sets: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(sets):
             return pa.Table.from_batches([], LINKS)
         row, gram, n = _grams_of(sets)
-        ids = sets["rid"].to_numpy()
+        ids, size = sets["rid"].to_numpy(), signature_words(n)
+        bits, start = signatures(row, gram, n), np.cumsum(size) - size
         values, at = np.unique(gram, return_inverse=True)
         order, cut, target = _targets(mix(values), tasks)
         total = np.zeros(len(values), np.int64)
@@ -325,94 +363,141 @@ def _links(threshold: float, orders: int, tasks: int):
         shared = count > 1  # grams of one set alone come first in every order and link nothing
         row, gram, count = row[shared], gram[shared], count[shared]
         left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=len(ids)))
+        on = prefixes(row, gram, count, left, 0)
+        row, gram = row[on], gram[on]
+        order, cut, target = _targets(mix(gram), tasks)
+        row, gram = row[order], gram[order]  # in each target by row still
         out = []
-        for k in range(orders):
-            on = prefixes(row, gram, count, left, k)
-            g, who = gram[on], ids[row[on]]
-            if not len(g):
-                continue
-            by = np.argsort(g)
-            g, who = g[by], who[by]
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            least = np.repeat(np.minimum.reduceat(who, first), np.diff(np.append(first, len(g))))
-            node, component = local_components(who, least)
-            inner = node != component
-            out.append((0, k, np.concatenate([node[inner], component[inner]]).astype("<i8").tobytes(), None))
-            of = component[np.searchsorted(node, least[first])]
-            value = g[first]
-            by, cut, target = _targets(mix(value + U64(k)), tasks)
-            value, of = value[by], of[by]
-            out += [(int(t), k, of[s:e].astype("<i8").tobytes(), _pack(value[s:e], 6)) for t, s, e in zip(target, cut[:-1], cut[1:], strict=True)]
+        for t, s, e in zip(target, cut[:-1], cut[1:], strict=True):
+            who, counts = np.unique(row[s:e], return_counts=True)
+            own = np.repeat(start[who] - np.cumsum(size[who]) + size[who], size[who]) + np.arange(size[who].sum())
+            out.append((int(t), ids[who].astype("<i8").tobytes(), n[who].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), bits[own].tobytes(), _pack(gram[s:e], 6)))
         return pa.Table.from_batches(_batches(out, LINKS), LINKS)
 
     return links
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each order the chunks' own edges, and a few that link the sets which share a gram."""
-    by: dict[int, list] = {}
-    for b in batches:
-        for _, k, keys, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if grams is None:
-                node, component = np.frombuffer(keys, "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, np.int32)), pa.array(node), pa.array(component)], ["k", "a", "b"])
-            else:
-                by.setdefault(k, []).append((keys, grams))
-    for k, parts in by.items():
-        key = np.concatenate([np.frombuffer(x, "<i8") for x, _ in parts])
-        gram = np.concatenate([_unpack(x, 6) for _, x in parts])
-        order = np.argsort(gram)
-        key, gram = key[order], gram[order]
-        cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        least = np.repeat(np.minimum.reduceat(key, cut), np.diff(np.append(cut, len(gram))))
-        on = key != least
-        if on.any():
-            node, component = local_components(key[on], least[on])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, np.int32)), pa.array(node), pa.array(component)], ["k", "a", "b"])
-
-
-def _pair_counts(row: np.ndarray, column: np.ndarray, m: int) -> np.ndarray:
-    """(m, m): how many columns two rows share. Entries are distinct."""
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels once each i is in one group with its j."""
+    if not len(i):
+        return label
+    node, least = local_components(label[i], label[j])
+    to = np.arange(len(label))
+    to[node] = least
+    return to[label]
+
+
+def groups(who: np.ndarray, gram: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float) -> np.ndarray:
+    """A label for each set, the same for any two that share a gram and may be similar (and for those they are so linked with).
+
+    Pairs of one label aren't looked at again, so a gram of many copies costs little more than their number."""
+    m, size = len(n), signature_words(n)
+    start = np.cumsum(size) - size
+    order = np.lexsort((who, gram))
+    who, gram = who[order], gram[order]
+    cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    run = np.diff(np.append(cut, len(gram)))
+    pairs = [np.zeros(0, np.int64)]
+    for d in np.unique(run[(run > 1) & (run <= FEW)]).tolist():
+        at, (a, b) = cut[run == d], np.triu_indices(d, 1)
+        step = max(1, (1 << 20) // len(a))
+        for s in range(0, len(at), step):
+            r = who[at[s : s + step, None] + np.arange(d)]
+            pairs.append(np.unique(r[:, a] * np.int64(m) + r[:, b]))
+    i, j = np.divmod(np.unique(np.concatenate(pairs)), m)
+    on = may_link(i, j, n, start, bits, threshold)
+    label = _joined(np.arange(m), i[on], j[on])
+    for s, d in zip(cut[run > FEW].tolist(), run[run > FEW].tolist(), strict=True):
+        left = who[s : s + d]
+        while len(left):
+            kinds, at, many = np.unique(label[left], return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                break
+            left = left[np.argsort(many[at], kind="stable")]  # sets of small groups first: one test with all others each, then they are done
+            now = left[: max(1, TESTS // len(left))]
+            i, j = np.repeat(now, len(left)), np.tile(left, len(now))
+            on = label[i] != label[j]
+            i, j = i[on], j[on]
+            on = may_link(i, j, n, start, bits, threshold)
+            label = _joined(label, i[on], j[on])
+            left = left[len(now) :]
+    return label
+
+
+def _forest(threshold: float):
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the sets that share a gram and may be similar: a few edges that link them."""
+        got = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not got:
+            return
+        ids, n, counts = (np.concatenate([np.frombuffer(x[c], kind) for x in got]).astype(np.int64) for c, kind in ((1, "<i8"), (2, "<i4"), (3, "<i4")))
+        bits, gram = np.frombuffer(b"".join(x[4] for x in got), "<u8"), _unpack(b"".join(x[5] for x in got), 6)
+        label = groups(np.repeat(np.arange(len(ids)), counts), gram, n, bits, threshold)
+        node = np.flatnonzero(np.bincount(label, minlength=len(ids))[label] > 1)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label[node], ids[node])
+        for i in range(0, len(node), 1 << 16):
+            part = node[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(ids[part]), pa.array(least[label[part]])], ["k", "a", "b"])
+
+    return forest
+
+
+def _cells(reps: DataFrame, chunks: int, tasks: int, threshold: float) -> DataFrame:
+    """(rid, cell) of sets (rid, n, grams): any two similar ones are in one cell; others only by a chain of pairs that may be similar."""
+    placed = reps.select("rid", "n", "grams", F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk")).repartition(min(tasks, chunks), "chunk")
+    asked = placed.groupBy("chunk").applyInArrow(_ask(tasks), "r int, chunk long, grams binary, counts binary")
+    said = asked.repartitionById(tasks, F.col("r")).mapInArrow(_add_up, "r int, chunk long, grams binary, counts binary").drop("grams")
+    links = placed.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_links(threshold, tasks), LINKS_DDL)
+    edges = written(links.repartitionById(tasks, F.col("r")).mapInArrow(_forest(threshold), "k int, a long, b long").distinct())
+    return components(edges).select(F.col("node").alias("rid"), F.col("component").alias("cell"))
+
+
+def _pair_counts(row: np.ndarray, column: np.ndarray, m: int, split: int = 0) -> np.ndarray:
+    """(m, m), or (split, m - split) of the first rows and the others: how many columns two rows share. Entries are distinct."""
+    one, other = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     cut = np.flatnonzero(np.r_[True, column[1:] != column[:-1]]) if len(column) else np.zeros(0, np.int64)
     run = np.diff(np.append(cut, len(column)))
     total = np.zeros(m * m, np.int64)
-    if float((run.astype(float) ** 2).sum()) * 3e-9 <= len(cut) * float(m) * m * 1e-10 + len(cut) * m * 2e-9:
+    products = float(split * (m - split) if split else m * m)
+    if float((run.astype(float) ** 2).sum()) * 3e-9 <= len(cut) * products * 1e-10 + len(cut) * m * 2e-9:
         for d in np.unique(run[run > 1]):
             at = cut[run == d]
             step = max(1, (1 << 21) // int(d * d))
             for i in range(0, len(at), step):
                 r = row[at[i : i + step, None] + np.arange(d)]
                 total += np.bincount((r[:, :, None] * m + r[:, None, :]).ravel(), minlength=m * m)
-        return total.reshape(m, m)
-    total = np.zeros((m, m), np.float32)
+        return total.reshape(m, m)[one, other]
+    total = np.zeros((m, m), np.float32)[one, other]
     number = np.repeat(np.arange(len(cut)), run)
     for i in range(0, len(cut), 4096):
         on = (number >= i) & (number < i + 4096)
         hot = np.zeros((m, min(4096, len(cut) - i)), np.float32)
         hot[row[on], number[on] - i] = 1
-        total += hot @ hot.T
+        total += hot[one] @ hot[other].T
     return total.astype(np.int64)
 
 
-def similar(sets: list[np.ndarray], threshold: float, orders: int = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, coefficient) of all pairs i < j of sets that reach the threshold."""
+def similar(sets: list[np.ndarray], threshold: float, orders: int = ORDERS, split: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, coefficient) of all pairs i < j of sets that reach the threshold; with split only those of one of the first sets and one of the others."""
     m, n = len(sets), np.array([len(s) for s in sets])
     row = np.repeat(np.arange(m), n)
     gram = np.concatenate(sets)
     values, at, count = np.unique(gram, return_inverse=True, return_counts=True)
     on = count[at] > 1
     row, at, gram = row[on], at[on], gram[on]
-    passed = np.ones((m, m), dtype=bool)
+    passed = np.ones((split, m - split) if split else (m, m), dtype=bool)
     left = prefix_length(n, threshold) - (n - np.bincount(row, minlength=m))
     for k in range(orders):
         in_prefix = prefixes(row, gram, count[at], left, k)
-        passed &= _pair_counts(row[in_prefix], at[in_prefix], m) > 0
-    i, j = np.nonzero(np.triu(passed, 1))
+        passed &= _pair_counts(row[in_prefix], at[in_prefix], m, split) > 0
+    i, j = np.nonzero(passed if split else np.triu(passed, 1))
     if not len(i):
         return i, j, np.zeros(0)
-    shared = _pair_counts(row, at, m)[i, j]
+    shared = _pair_counts(row, at, m, split)[i, j]
+    j = j + split
     union = n[i] + n[j] - shared
     value = shared / union
     ok = shared >= threshold * union - 1e-9
@@ -423,13 +508,12 @@ def _meet(threshold: float, orders: int):
     """Of two blocks of a cell: how many links each set has between them, and its group there by least key."""
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
+        table = table.sort_by([("block", "ascending"), ("rid", "ascending")])
         rid, rep, block = (table[c].to_numpy() for c in ("rid", "rep", "block"))
         sets = [_unpack(x.as_py(), 6) for x in table["grams"]]
-        i, j, _ = similar(sets, threshold, orders)
-        one, other = table["one"][0].as_py(), table["other"][0].as_py()
-        on = ((block[i] == one) & (block[j] == other)) | ((block[i] == other) & (block[j] == one))
-        i, j = i[on], j[on]
+        if table["one"][0].as_py() != table["other"][0].as_py() and block[0] == block[-1]:  # one of the two blocks is empty
+            sets = []
+        i, j, _ = similar(sets, threshold, orders, int(np.searchsorted(block, block[0], "right")) % len(block)) if sets else (np.zeros(0, np.int64),) * 3
         links = np.bincount(i, minlength=len(rid)) + np.bincount(j, minlength=len(rid))
         node, component = local_components(i, j)
         least = np.full(len(rid), np.iinfo(np.int64).max)
@@ -457,14 +541,7 @@ def _compared(docs: DataFrame, key: str, text: str, n: int, threshold: float, or
     chunks = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // CHUNK_SETS))
     reps = written(sets.select("rid", "n", "grams").join(small(leads.select("rid", "rep"), 40, broadcast_bytes), "rid"))
 
-    placed = reps.select("rid", "n", "grams", F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk")).repartition(min(tasks, chunks), "chunk")
-    asked = placed.groupBy("chunk").applyInArrow(_ask(tasks), "r int, chunk long, grams binary, counts binary")
-    said = asked.repartitionById(tasks, F.col("r")).mapInArrow(_add_up, "r int, chunk long, grams binary, counts binary").drop("grams")
-    links = placed.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_links(threshold, orders, tasks), LINKS_DDL)
-    edges = written(links.repartitionById(tasks, F.col("r")).mapInArrow(_forest, "k int, a long, b long"))
-
-    inside = components(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "component"))).alias("c")).filter(F.size("c") == orders)
-    cells = written(inside.select(F.col("node").alias("rid"), F.xxhash64("c").alias("cell")))
+    cells = written(_cells(reps, chunks, tasks, threshold))
     sized = cells.join(reps.select("rid", "n"), "rid").groupBy("cell").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).filter("texts > 1")
     blocks = sized.select("cell", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     met = (

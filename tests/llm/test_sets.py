@@ -102,6 +102,50 @@ def test_a_popular_text_and_a_popular_passage(spark, rng):
     assert got[0] == (0, 99, 0)
 
 
+def test_a_chain_of_unlike_sets_does_not_meet(spark, rng, tmp_path, monkeypatch):
+    """Each text has half of the next one: all are linked by rare grams, none is similar to another."""
+    piece, popular = [words(rng, 20) for _ in range(121)], words(rng, 60).split()
+    rows = [(i, f"{piece[i]} {piece[i + 1]}") for i in range(120)]
+    rows += [(200 + i, " ".join([*popular[:i], f"new{i}", *popular[i + 1 :]])) for i in range(40)]
+    plain = ngram_join._meet
+
+    def watched(threshold, orders):
+        meet = plain(threshold, orders)
+
+        def see(table):
+            (tmp_path / str(table["rid"][0])).write_text(str(len(table)))
+            return meet(table)
+
+        return see
+
+    monkeypatch.setattr(ngram_join, "_meet", watched)
+    got = partners(ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == slow_partners(rows, ngram_join.N, ngram_join.THRESHOLD)
+    assert [int(f.read_text()) for f in tmp_path.iterdir()] == [40]
+
+
+@pytest.mark.parametrize("few", [1, 3, 32])
+def test_no_similar_sets_are_parted(few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "TESTS", 2000)
+    rng = np.random.default_rng(few)
+    base, sets = [rng.integers(0, 1 << 48, n).astype(np.uint64) for n in (3, 40, 300, 5000)], []
+    for i in range(160):
+        own = base[i % 4].copy()
+        new = rng.permutation(len(own))[: rng.integers(0, 1 + len(own) // 2)]
+        own[new] = rng.integers(0, 1 << 48, len(new))
+        sets.append(np.unique(own[: len(own) * rng.integers(6, 11) // 10]))
+    n = np.array([len(s) for s in sets])
+    row, gram = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    label = ngram_join.groups(row, gram, n, ngram_join.signatures(row, gram, n), 0.6)
+    similar = [(i, j) for i in range(160) for j in range(i) if (s := len(np.intersect1d(sets[i], sets[j]))) >= 0.6 * (n[i] + n[j] - s) - 1e-9]
+    assert len(similar) > 300
+    assert all(label[i] == label[j] for i, j in similar)
+    for split in (0, 1, 70):
+        i, j, _ = ngram_join.similar(sets, 0.6, split=split)
+        assert set(zip(j.tolist(), i.tolist(), strict=True)) == {(a, b) for a, b in similar if not split or b < split <= a}
+
+
 def test_one_of_each_group_stays(similar_docs):
     kept = ngram_join.deduplicated(similar_docs)
     assert kept.columns == similar_docs.columns
