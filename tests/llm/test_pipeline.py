@@ -80,6 +80,27 @@ def test_stages_and_the_whole_run(spark, docs_of, rng, tmp_path):
     assert Counter((r.doc_id, r.epoch) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
+def test_near_duplicates_meet_and_no_chain_of_others(spark, rng, tmp_path, monkeypatch):
+    """Each text has half of the next one; among them are a few near copies."""
+    piece = [words(rng, 20) for _ in range(61)]
+    rows = [(i, f"{piece[i]} {piece[i + 1]}") for i in range(60)] + [(100 + i, f"{piece[9]} {piece[10]} tail{i}") for i in range(3)]
+    plain = ngram_join._meet
+
+    def watched(threshold, orders):
+        meet = plain(threshold, orders)
+
+        def see(table):
+            (tmp_path / str(table["rid"][0])).write_text(str(len(table)))
+            return meet(table)
+
+        return see
+
+    monkeypatch.setattr(ngram_join, "_meet", watched)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) < 10
+
+
 def test_an_empty_table_and_nulls_everywhere(spark, empty, tmp_path):
     bench = [(1, "one item of a benchmark that stands in no text here")]
     write(spark, tmp_path, empty, bench)
