@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.llm.shared import small, written
@@ -271,8 +271,8 @@ class Network:
         mean, n = familiarity(self.known, data, offsets)
         return (n > 0) & (mean >= self.floor - SHORT / np.sqrt(np.maximum(n, 1)))
 
-    def label(self, data: np.ndarray, offsets: np.ndarray, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """(label of each byte, mean probabilities of each row)."""
+    def label(self, data: np.ndarray, offsets: np.ndarray, width: int = 2048, only_means: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(label of each byte, mean probabilities of each row). only_means: the labels, which cost time of their own, stay 0."""
         K, rows = len(self.names), len(offsets) - 1
         width = max(16, width * 8 // max(8, K))  # probabilities of a step stay of one size
         labels, pooled = np.zeros(len(data), np.int32), np.zeros((rows, K))
@@ -297,7 +297,7 @@ class Network:
             self._direction("f", np.ascontiguousarray(x.T), CONTEXT, logits)
             # columns are in order of length: backward, the shorter ones begin later
             self._direction("b", np.ascontiguousarray(xb.T), CONTEXT, logits, np.searchsorted(e - s, L - np.arange(L)))
-            best = logits.argmax(1)
+            best = None if only_means else logits.argmax(1)
             logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
             logits /= logits.sum(1, keepdims=True)
@@ -305,7 +305,8 @@ class Network:
             sums = np.einsum("lkb,lb->bk", logits, inside.astype(np.float32))
             for k in range(K):
                 pooled[:, k] += np.bincount(row[at], sums[:, k], minlength=rows)
-            labels[pos[:, CONTEXT:][inside.T]] = best.T[inside.T]
+            if best is not None:
+                labels[pos[:, CONTEXT:][inside.T]] = best.T[inside.T]
         return labels, pooled / np.maximum(sizes, 1)[:, None]
 
 
@@ -359,6 +360,18 @@ def _result(network: Network | None, texts: pa.Array, min_confidence: float) ->
     )
 
 
+def _kept(network: Network | None, texts: pa.Array, min_confidence: float) -> pa.Array:
+    """The field accepted of _result()."""
+    data, offsets = buffers(texts)
+    keep = np.diff(offsets) > 0
+    if network is not None:
+        for i, j in slices(offsets, 1 << 19):
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            _, pooled = network.label(part, own, only_means=True)
+            keep[i:j] &= (pooled.max(1) >= min_confidence) & network.familiar(part, own)
+    return pa.array(keep)
+
+
 def sample(docs: DataFrame, text: str, label: str, most: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
     """A bounded sample of pieces of labelled rows, the same for the same table: the least seeded hashes of each label in turn.
 
@@ -400,5 +413,11 @@ def detect_languages(docs: DataFrame, model: dict | None, *, key: str = "doc_id"
 
 def accepted(docs: DataFrame, model: dict | None, *, text: str = "text", min_confidence: float = 0.4) -> DataFrame:
     """The rows whose text the network accepts, with all their columns."""
-    keep: Column = detector(model, min_confidence)(docs[text])
-    return docs.filter(keep["accepted"])
+
+    @F.arrow_udf("boolean")
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        network = Network(model) if model is not None else None
+        for texts in batches:
+            yield _kept(network, texts, min_confidence)
+
+    return docs.filter(keep(docs[text]))

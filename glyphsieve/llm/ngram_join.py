@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 
 from glyphsieve.llm.graph import components, local_components
 from glyphsieve.llm.shared import small, written
-from glyphsieve.llm.textops import U64, buffers, mix, slices, span_hashes, word_ngrams, words
+from glyphsieve.llm.textops import U64, ascending, buffers, distinct, mix, slices, span_hashes, word_ngrams, words
 
 N = 3
 THRESHOLD = 0.6
@@ -123,7 +123,7 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         start, end, row = words(part, own)
         gram, first = word_ngrams(span_hashes(part, start, end), row, n)
-        key = np.unique((row[first].astype(U64) << U64(48)) | (gram >> U64(16)))
+        key = distinct((row[first].astype(U64) << U64(48)) | (gram >> U64(16)))
         yield (key >> U64(48)).astype(np.int64) + i, key & M48, i, j
 
 
@@ -151,17 +151,21 @@ def _send(chunk: int, ids: np.ndarray, row: np.ndarray, gram: np.ndarray, tasks:
     The keys, sizes and numbers of grams known to be shared go along once, with the first target."""
     n = np.bincount(row, minlength=len(ids))
     mixed = mix(gram)
-    order = np.argsort(mixed)
+    order = ascending(mixed)
+    a = mixed[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = mixed[order[1:]] != mixed[order[:-1]]
+    new[1:] = a[1:] != a[:-1]
     alone = new.copy()
     alone[:-1] &= new[1:]
-    one = np.sort(order[alone])
+    one = np.zeros(len(order), dtype=bool)
+    one[order[alone]] = True
+    one = np.flatnonzero(one)
     known = n - np.bincount(row[one], minlength=len(ids))
-    often = mixed[order[new & ~alone]]
+    often = a[new & ~alone]
     by: dict[int, list[bytes]] = {}
-    rest, cut, target = _targets(mixed[one], tasks)
-    own_row, value = row[one][rest], (mixed[one] >> U64(24))[rest]
+    mixed = mixed[one]
+    rest, cut, target = _targets(mixed, tasks)
+    own_row, value = row[one][rest], (mixed >> U64(24))[rest]
     for t, s, e in zip(target, cut[:-1], cut[1:], strict=True):
         by[int(t)] = [_steps(own_row[s:e]), _pack(value[s:e], 5), b""]
     rest, cut, target = _targets(often, tasks)
@@ -202,9 +206,9 @@ def _found_elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             by.setdefault(x[0], []).append(x[1:])
     for got in by.values():
         grams = [_unpack(g, 5) for *_, g, _ in got]
-        often = np.unique(_unpack(b"".join(x[-1] for x in got), 5))
+        often = distinct(_unpack(b"".join(x[-1] for x in got), 5))
         whole = np.concatenate(grams)
-        order = np.argsort(whole)
+        order = ascending(whole << U64(24))
         a = whole[order]
         same = np.zeros(len(a), dtype=bool)
         same[1:] = a[1:] == a[:-1]
@@ -393,7 +397,7 @@ def groups(who: np.ndarray, gram: np.ndarray, n: np.ndarray, bits: np.ndarray, t
     Pairs of one label aren't looked at again, so a gram of many copies costs little more than their number."""
     m, size = len(n), signature_words(n)
     start = np.cumsum(size) - size
-    order = np.lexsort((who, gram))
+    order = ascending(gram << U64(16))  # who ascends, so it does for each gram
     who, gram = who[order], gram[order]
     cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
     run = np.diff(np.append(cut, len(gram)))
@@ -403,8 +407,8 @@ def groups(who: np.ndarray, gram: np.ndarray, n: np.ndarray, bits: np.ndarray, t
         step = max(1, (1 << 20) // len(a))
         for s in range(0, len(at), step):
             r = who[at[s : s + step, None] + np.arange(d)]
-            pairs.append(np.unique(r[:, a] * np.int64(m) + r[:, b]))
-    i, j = np.divmod(np.unique(np.concatenate(pairs)), m)
+            pairs.append(distinct((r[:, a] * np.int64(m) + r[:, b]).ravel()))
+    i, j = np.divmod(distinct(np.concatenate(pairs)), m)
     on = may_link(i, j, n, start, bits, threshold)
     label = _joined(np.arange(m), i[on], j[on])
     for s, d in zip(cut[run > FEW].tolist(), run[run > FEW].tolist(), strict=True):

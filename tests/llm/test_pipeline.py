@@ -3,9 +3,10 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from glyphsieve.llm import langid, mixing, ngram_join
+from glyphsieve.llm import langid, mixing, ngram_join, textops
 from tests.llm.conftest import words
 from tests.llm.test_sets import slow_partners
 from tests.llm.test_texts import slow_contaminated, slow_labels
@@ -80,6 +81,51 @@ def test_stages_and_the_whole_run(spark, docs_of, rng, tmp_path):
     assert Counter((r.doc_id, r.epoch) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
+def test_stages_do_no_more_than_they_keep(rng, monkeypatch):
+    """No grams go through np.unique's hashing, which took most of the second stage's time; the first makes no labels."""
+    plain = np.unique
+
+    def watched(values, **options):
+        assert options or len(plain(values)) < 1000
+        return plain(values, **options)
+
+    texts = [words(rng, 400) for _ in range(40)]
+    texts += [f"{t} tail{i}" for i, t in enumerate(texts)] + [None, "", "two words"]
+    with monkeypatch.context() as m:
+        m.setattr(np, "unique", watched)
+        row, gram = (np.concatenate(x) for x in zip(*((r, g) for r, g, _, _ in ngram_join.gram_sets(pa.array(texts), 3)), strict=True))
+        assert len(gram) > 20_000
+        assert all(np.all(np.diff(gram[row == r].astype(np.int64)) > 0) for r in range(83))
+        sent = list(ngram_join._send(5, np.arange(83), row, gram, 3))
+        back = list(ngram_join._found_elsewhere(iter(sent)))
+        alive = np.concatenate([b.column(0).to_numpy() for b in ngram_join._alive(0.6)(iter(back))])
+        assert sorted(alive) == list(range(80))
+        row, gram = row[row < 80], gram[row < 80]
+        n = np.bincount(row)
+        assert len(plain(ngram_join.groups(row, gram, n, ngram_join.signatures(row, gram, n), 0.6))) == 40
+
+    def no_spans(*_):
+        raise AssertionError("spans are for op8 alone")
+
+    network = langid.Network(langid.train([words(rng, 99, "abcd"), words(rng, 99, "wxyz")], ["a", "z"], steps=20))
+    some = pa.array([None, "", "## 1", *(words(rng, k, "abcdwxyz") for k in (1, 3, 50, 900)), "qqq kkk"])
+    want = langid._result(network, some, 0.55).field("accepted")
+    monkeypatch.setattr(langid, "spans_of", no_spans)
+    assert langid._kept(network, some, 0.55).equals(want)
+    assert langid._kept(None, some, 0.55).to_pylist() == [False, False] + [True] * 6
+
+
+def test_ascending_is_the_stable_order():
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1)
+    values[::7] = values[3]
+    values[1::50] = (values[1::50] & ~np.uint64(0xFFFFFF)) | rng.integers(0, 1 << 13, 100, dtype=np.uint64)
+    values[2:4000:100] = values[3] ^ rng.integers(0, 4, 40, dtype=np.uint64)  # these differ in the last bits only
+    for v in (values, values[:1], values[:0], values & np.uint64(7)):
+        assert np.array_equal(textops.ascending(v), np.argsort(v, kind="stable"))
+        assert np.array_equal(textops.distinct(v), np.unique(v))
+
+
 def test_near_duplicates_meet_and_no_chain_of_others(spark, rng, tmp_path, monkeypatch):
     """Each text has half of the next one; among them are a few near copies."""
     piece = [words(rng, 20) for _ in range(61)]
