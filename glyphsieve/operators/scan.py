@@ -11,7 +11,6 @@ much slower (interpreted lambdas).
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable
 from functools import reduce
 
@@ -34,22 +33,8 @@ INTERNAL = ("cp_offset", "context")
 _EXTRA = {"cp_offset": "bigint", "context": "string", "excerpt": "string"}
 
 
-def positive(rule: Rule) -> bool:
-    """Whether the rule's pattern can't match nothing, as far as Python's own parser can tell."""
-    if rule.chars is not None:
-        return True
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            from re import _parser
-
-            return _parser.parse(rule.python.pattern).getwidth()[0] > 0
-        except Exception:  # noqa: BLE001  # an expression that only other engines read
-            return False
-
-
 def is_native(rule: Rule) -> bool:
-    return rule.native and positive(rule)
+    return rule.native and rule.positive
 
 
 def _replaced(text: Column, what: str) -> Column:

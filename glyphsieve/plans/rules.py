@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 from functools import cached_property
 from typing import Any
@@ -92,6 +93,20 @@ class Rule:
         except patterns.PatternError as cause:
             raise RuleError(f'rule "{self.id}": {cause}') from cause
 
+    @cached_property
+    def positive(self) -> bool:
+        """Whether the pattern can't match nothing, as far as Python's own parser can tell."""
+        if self.chars is not None:
+            return True
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                from re import _parser
+
+                return _parser.parse(self.python.pattern).getwidth()[0] > 0
+            except Exception:  # noqa: BLE001  # an expression that only other engines read
+                return False
+
     def check(self) -> Rule:
         if self.scope not in SCOPES:
             raise UnsupportedScopeError(self.scope)

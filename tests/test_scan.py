@@ -174,6 +174,36 @@ def test_fixpoint(spark):
     assert (done.fixed, done.converged, len(done.warnings)) == (9, False, 1)
 
 
+def one_by_one(text, file, rules, most):
+    fixed = overlap = 0
+    for _ in range(most):
+        new, n, over, _ = fix.apply_fixes(text, scan_text(text, file, rules))
+        fixed, overlap = fixed + n, overlap + over
+        if new == text:
+            break
+        text = new
+    return text, fixed, overlap
+
+
+@pytest.mark.parametrize(
+    ("rules", "scans"),
+    [
+        ([Rule("em", ("**",), chars=(D,), fix="\u2013"), Rule("en", ("**",), chars=("\u2013",), fix=D)], 2),
+        ([Rule("a", ("**",), chars=("a",), fix="b"), Rule("b", ("**",), chars=("b",), fix="c"), Rule("c", ("**",), chars=("c",), fix="a")], 3),
+        ([Rule("wide", ("**",), pattern=f"{D}b", fix="x"), Rule("b", ("**",), chars=("b",), fix="c"), Rule("c", ("**",), chars=("c",), fix="b")], 2),
+        ([Rule("more", ("**",), chars=("a",), fix="aa")], 11),
+    ],
+)
+def test_passes_that_go_round_are_counted_and_not_run(monkeypatch, rules, scans):
+    text, reads, read = f"\ufeffa{D}b{R} \u2013c {D}", [], fix.matches_of
+    monkeypatch.setattr(fix, "matches_of", lambda *args, **options: reads.append(args) or read(*args, **options))
+    for most in (1, 2, 3, 4, 5, 9, 10):
+        reads.clear()
+        steps, fixed, overlap, _, more = fix.passes_over(text, "a.md", rules, most)
+        assert ((steps[-1], fixed, overlap), len(steps), more) == (one_by_one(text, "a.md", rules, most), most, True)
+    assert len(reads) == scans
+
+
 def test_baseline(spark, tmp_path):
     files = spark.createDataFrame([("a.md", f"one {D} two\nthree {D} four"), ("b.md", f"{D} x {D}")], FILES)
     found = scan(files, [EM], internal=True)
