@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from glyphsieve.functions.chars import BOM
 from glyphsieve.functions.sentences import FIXES
 from glyphsieve.functions.text import binary, looks_binary, strip_bom, without_bom
+from glyphsieve.operators.batchscan import slices
 from glyphsieve.operators.scan import any_of, scan, targets, with_rules
 from glyphsieve.operators.textscan import MARKER, Units, matches_of
 from glyphsieve.plans.planner import restricted
@@ -70,11 +72,11 @@ def apply_fixes(text: str, findings: list[dict], on_skipped: Callable[[dict, str
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in chain.from_iterable(map(slices, batches)):
         rows = []
         for file, text, found in zip(*(b.column(c).to_pylist() for c in ("file", "text", "found")), strict=True):
             rows.append((file, *apply_fixes(text, found)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def fixed_files(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -192,7 +194,7 @@ def _fixing(rules: list[Rule], most: int, every_step: bool, counts_only: bool, o
     names = ["file", "text", "held", "fixed", "overlap", "stale", "more", "steps", "skipped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             rows = []
             for file, text, on, held in zip(*(b.column(c).to_pylist() for c in ("file", "text", "on", "held")), strict=True):
                 own = [r for r, o in zip(rules, on, strict=True) if o]
@@ -201,8 +203,7 @@ def _fixing(rules: list[Rule], most: int, every_step: bool, counts_only: bool, o
                 except ValueError as cause:
                     raise ValueError(f"{file}: {cause}") from cause
                 rows.append((file, steps[-1] if steps else text, held, fixed, overlap, 0, more and len(steps) == most, steps if every_step else None, skipped))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
