@@ -18,7 +18,7 @@ from glyphsieve.functions.chars import BOM
 from glyphsieve.functions.sentences import FIXES
 from glyphsieve.functions.text import binary, looks_binary, strip_bom, without_bom
 from glyphsieve.operators.batchscan import slices
-from glyphsieve.operators.scan import any_of, scan, targets, with_rules
+from glyphsieve.operators.scan import any_of, in_blocks, scan, targets, with_rules
 from glyphsieve.operators.textscan import MARKER, Units, matches_of
 from glyphsieve.plans.planner import restricted
 from glyphsieve.plans.rules import Rule
@@ -87,29 +87,52 @@ def fixed_files(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select("file", "text").join(grouped, "file").mapInArrow(_folded, APPLIED)
 
 
+#: Code points in a piece of a text.
+PIECE = 256
+
+
 def folded(text: Column, found: Column) -> Column:
     """struct<text, fixed, overlap, stale> in Spark's own expressions, for texts without a byte order mark.
 
-    found: array<struct<at, match, replacement>>, at in code points."""
-    latest = F.array_sort(found, lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).otherwise(0))
-    start = F.struct(text.alias("text"), F.lit(2**62).alias("before"), F.lit(0).alias("fixed"), F.lit(0).alias("overlap"), F.lit(0).alias("stale"))
-
-    def step(a: Column, f: Column) -> Column:
-        size = F.length(f["match"])
-        over = (f["at"] + size) > a["before"]
-        gone = a["text"].substr((f["at"] + 1).cast("int"), size) != f["match"]
-        rest = a["text"].substr((f["at"] + size + 1).cast("int"), F.length(a["text"]))
-        written = F.concat(a["text"].substr(F.lit(1), f["at"].cast("int")), f["replacement"], rest)
-        ok = ~over & ~gone
-        return F.struct(
-            F.when(ok, written).otherwise(a["text"]).alias("text"),
-            F.when(ok, f["at"].cast("long")).otherwise(a["before"]).alias("before"),
-            (a["fixed"] + ok.cast("int")).alias("fixed"),
-            (a["overlap"] + over.cast("int")).alias("overlap"),
-            (a["stale"] + (~over & gone).cast("int")).alias("stale"),
-        )
-
-    return F.aggregate(latest, start, step)
+    found: array<struct<at, match, replacement>>, at in code points. To cut a text costs its length, so it is cut once into pieces,
+    and from those for each match: linear in the text."""
+    match = lambda f, i: F.struct((-f["at"].cast("long")).alias("back"), i.alias("i"), f["at"].cast("long").alias("at"), (f["at"] + F.length(f["match"])).cast("long").alias("end"), f["match"].alias("match"), f["replacement"].alias("replacement"))
+    given = F.struct(F.sort_array(F.transform(found, match)).alias("latest"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.length(text).cast("long").alias("size"))
+    counts = ("fixed", "overlap", "stale")
+
+    def of(x: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            first, last = F.floor(begin / PIECE), F.floor(end / PIECE)
+            return F.array_join(F.slice(x["pieces"], (first + 1).cast("int"), (last - first + 1).cast("int")), "").substr((begin - first * PIECE + 1).cast("int"), (end - begin).cast("int"))
+
+        def tail(a: Column) -> Column:
+            return F.least(a["before"], x["size"])
+
+        def step(a: Column, f: Column) -> Column:
+            why = F.when(f["end"] > a["before"], 1).when(part(f["at"], f["end"]) != f["match"], 2).otherwise(0)
+
+            def after(why: Column) -> Column:
+                out = F.when(why == 0, F.array_append(a["out"], F.concat(f["replacement"], part(f["end"], tail(a))))).otherwise(a["out"])
+                return F.struct(F.when(why == 0, f["at"]).otherwise(a["before"]).alias("before"), *((a[n] + (why == k).cast("int")).alias(n) for k, n in enumerate(counts)), out.alias("out"))
+
+            return F.element_at(F.transform(F.array(why), after), 1)
+
+        none = F.array().cast("array<string>").alias("out")
+        start = F.struct(F.struct(F.lit(2**62).cast("long").alias("before"), *(F.lit(0).alias(n) for n in counts), none).alias("r"), F.array().cast("array<array<string>>").alias("outs"))
+
+        def block(a: Column, some: Column) -> Column:
+            r = a["r"]
+            return F.struct(F.aggregate(some, F.struct(*(r[n].alias(n) for n in ("before", *counts)), none), step).alias("r"), F.array_append(a["outs"], r["out"]).alias("outs"))
+
+        def whole(a: Column) -> Column:
+            r = a["r"]
+            written = F.array_join(F.reverse(F.flatten(F.array_append(a["outs"], r["out"]))), "")
+            return F.struct(F.concat(part(F.lit(0).cast("long"), tail(r)), written).alias("text"), *(r[n].alias(n) for n in counts))
+
+        return F.aggregate(in_blocks(x["latest"]), start, block, whole)
+
+    # the variable of a lambda is computed once, however often it is used
+    return F.element_at(F.transform(F.array(given), of), 1)
 
 
 #: (begin, rule id, end, match, replacement) of a match, in code points of the text without its byte order mark.

@@ -41,6 +41,11 @@ def _replaced(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
+def in_blocks(items: Column) -> Column:
+    """The items of an array by BLOCK; of an empty one an empty block."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
 def spans(text: Column, pattern: str, wide: Column) -> Column:
     """array<struct<offset, cp_offset, line, column, end_column, match>> of the matches; linear in the text."""
 
@@ -73,9 +78,6 @@ def spans(text: Column, pattern: str, wide: Column) -> Column:
 
     # an append copies its array, so matches are gathered in blocks, and blocks one behind the fold
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    def blocks(all_sizes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(all_sizes, i * BLOCK + 1, F.lit(BLOCK)))
-
     start = F.struct(state(zero, zero, one, one, empty).alias("r"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
 
     def block(a: Column, part: Column) -> Column:
@@ -83,7 +85,7 @@ def spans(text: Column, pattern: str, wide: Column) -> Column:
         return F.struct(F.aggregate(part, state(r["at"], r["cp"], r["line"], r["column"], empty), step).alias("r"), F.array_append(a["outs"], r["out"]).alias("outs"))
 
     def folded(all_sizes: Column) -> Column:
-        return F.aggregate(blocks(all_sizes), start, block, lambda a: F.flatten(F.array_append(a["outs"], a["r"]["out"])))
+        return F.aggregate(in_blocks(all_sizes), start, block, lambda a: F.flatten(F.array_append(a["outs"], a["r"]["out"])))
 
     # the variable of a lambda is computed once, however often it is used
     return F.element_at(F.transform(F.array(sizes), folded), 1)

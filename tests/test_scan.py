@@ -1,6 +1,7 @@
 """The scan: positions, suppressions and fixes, in both of its ways."""
 
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -181,6 +182,32 @@ def test_apply_fixes():
     assert fix.apply_fixes("ab", [f(0, "a", None)]) == ("ab", 0, 0, 0)
 
 
+def test_native_fold_is_the_plain_one_and_linear(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for i in range(120):
+        n = rng.choice([0, 1, 5, 50, 300, 2000])
+        text = "".join(rng.choice(f"ab{D}\u00e9{R}\n") for _ in range(n))
+        places = [(rng.randrange(n + 3), rng.choice([1, 1, 2, 5, 40, 300])) for _ in range(rng.choice([0, 1, 3, 64, 65, 200]))]
+        found = [(at, text[at : at + size] if rng.random() < 0.7 else "zz", rng.choice(["", "-", f"XY{R}"])) for at, size in places if text[at : at + size]]
+        rows.append((i, text, found))
+        out, before, counts = text, 2**62, [0, 0, 0]
+        for at, match, new in sorted(found, key=lambda f: -f[0]):
+            kind = 1 if at + len(match) > before else 2 * (text[at : at + len(match)] != match)
+            counts[kind] += 1
+            if not kind:
+                out, before = out[:at] + new + out[at + len(match) :], at
+        want[i] = dict(zip(("text", "fixed", "overlap", "stale"), (out, *counts), strict=True))
+    df = spark.createDataFrame(rows, "i int, text string, found array<struct<at:bigint,match:string,replacement:string>>")
+    folded = fix.folded(F.col("text"), F.col("found"))
+    assert {r.i: r.f.asDict() for r in df.select("i", folded.alias("f")).collect()} == want
+    many = 40_000
+    long = spark.createDataFrame([(f"{R} {D} " * many, [(4 * k + 2, D, "-") for k in range(many)])], "text string, found array<struct<at:bigint,match:string,replacement:string>>")
+    began = time.perf_counter()
+    [r] = long.select(folded["text"].alias("text")).collect()
+    assert r.text == f"{R} - " * many
+    assert time.perf_counter() - began < 20  # 160,000 characters are cut once, not 40,000 times
+
+
 def test_fixpoint(spark):
     df = spark.createDataFrame([("a.md", f"one {D} two {D} three"), ("b.md", "nothing"), ("held.md", D)], FILES)
     chain = [Rule("em", ("**",), chars=(D,), fix="\u2013"), Rule("en", ("**",), chars=("\u2013",), fix="-")]
