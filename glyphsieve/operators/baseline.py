@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,21 +47,26 @@ def split(findings: DataFrame, baseline: DataFrame, scope: DataFrame | None = No
 
     findings have their context; ``scope`` (file): the files that were scanned, if not all."""
     columns = findings.columns
-    own = keyed(findings)
-    twin = Window.partitionBy("file", "rule_id", "context", "ordinal")
-    own = kept(own.withColumn("copy", F.row_number().over(twin.orderBy("offset"))))  # read three times
-    known = kept(baseline.select("file", "rule_id", "context", "ordinal", "pos").withColumn("copy", F.row_number().over(twin.orderBy("pos"))))
-    key = ["file", "rule_id", "context", "ordinal", "copy"]
-    marked = own.join(known.select(*key, F.lit(True).alias("exact")), key, "left")
-    left = known.join(own.select(*key), key, "left_anti")
-    nth = Window.partitionBy("file", "rule_id")
-    rest = marked.filter("exact is null").withColumn("nth", F.row_number().over(nth.orderBy("offset", "context")))
-    entries = left.withColumn("nth", F.row_number().over(nth.orderBy("pos")))
-    by = ["file", "rule_id", "nth"]
-    second = rest.join(entries.select(*by, F.lit(True).alias("counted")), by, "left")
-    reported = second.filter("counted is null").select(*columns)
-    baselined = marked.filter("exact").select(*columns).unionByName(second.filter("counted").select(*columns))
-    stale = entries.join(rest.select(*by), by, "left_anti").select("file", "rule_id", "context", "ordinal")
+    own = findings.select("file", "rule_id", "context", F.lit(None).cast("int").alias("ordinal"), F.col("offset").cast("long").alias("at"), F.lit(True).alias("own"), F.struct(*columns).alias("finding"))
+    known = baseline.select("file", "rule_id", "context", F.col("ordinal").cast("int").alias("ordinal"), F.col("pos").cast("long").alias("at"), F.lit(False).alias("own"), F.lit(None).cast(own.schema["finding"].dataType).alias("finding"))
+    both = own.unionByName(known).repartition("file", "rule_id")  # findings and entries meet here; no later step moves them
+    both = both.withColumn("ordinal", F.when(~F.col("own"), F.col("ordinal")).when(F.col("context").isNull(), 0).otherwise(F.row_number().over(Window.partitionBy("file", "rule_id", "own", "context").orderBy("at")) - 1))
+    key = ["file", "rule_id", "context", "ordinal"]
+    same = Window.partitionBy(*key)
+    both = both.withColumns({"nth": F.row_number().over(same.orderBy(F.desc("own"), "at")), "findings": F.count_if("own").over(same), "rows": F.count("*").over(same)})
+    usable = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    # a context and ordinal are of one finding; of several entries the first is its
+    exact = usable & F.when(F.col("own"), F.col("rows") > F.col("findings")).otherwise((F.col("findings") > 0) & (F.col("nth") == F.col("findings") + 1))
+    both = both.select(*key, "at", "own", "finding", exact.alias("exact"))
+    file = Window.partitionBy("file", "rule_id")
+    left = {"more": F.count_if(~F.col("exact") & ~F.col("own")).over(file), "rest": F.count_if(~F.col("exact") & F.col("own")).over(file)}
+    both = both.withColumns({"nth": F.row_number().over(Window.partitionBy("file", "rule_id", "own", "exact").orderBy("at", "context")), **left})
+    counted = F.col("file").isNotNull() & F.col("rule_id").isNotNull() & (F.col("nth") <= F.when(F.col("own"), F.col("more")).otherwise(F.col("rest")))
+    gone = F.col("exact") | counted
+    part = F.when(F.col("own"), F.when(gone, "baselined").otherwise("reported")).when(~gone, "stale")
+    parts = kept(both.select(part.alias("part"), *key, "finding").filter("part is not null"))  # read three times
+    reported, baselined = (parts.filter(F.col("part") == p).select("finding.*") for p in ("reported", "baselined"))
+    stale = parts.filter("part = 'stale'").select(*key)
     if scope is not None:
         stale = stale.join(scope.select("file").distinct(), "file", "left_semi")
     return Parts(reported, baselined, stale)

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from glyphsieve.functions.text import context_of
+from glyphsieve.functions.text import context_of, is_plain
 from glyphsieve.operators.textscan import MARKER, scan_text, suppressed, suppressions_of
 from glyphsieve.plans.rules import Rule
 
@@ -115,6 +115,7 @@ def plain_findings(files: list[str], texts: pa.Array, rules: list[Rule], on: np.
     for i in np.flatnonzero(on.any(1)).tolist():
         text = texts[i].as_py()
         quiet = suppressions_of(text, files[i], marker)
+        spaced = "context" in more and is_plain(text)
         for k in np.flatnonzero(on[i]).tolist():
             rule, known = rules[k], said[k]
             for m in rule.python.finditer(text):
@@ -130,7 +131,7 @@ def plain_findings(files: list[str], texts: pa.Array, rules: list[Rule], on: np.
                 ends.append(b)
                 matches.append(sign)
                 if "context" in more:
-                    more["context"].append(context_of(text, a, b - a))
+                    more["context"].append(context_of(text, a, b - a, spaced))
                 if "excerpt" in more:
                     more["excerpt"].append(line_at(text, a))
         if len(rows) >= MOST:
