@@ -19,6 +19,7 @@ from glyphsieve.operators.suppress import suppressions, without_suppressed
 from glyphsieve.operators.textscan import MARKER
 from glyphsieve.plans.planner import plan, rule_counts
 from glyphsieve.plans.rules import Rule, invisibles, no_ai_punctuation
+from glyphsieve.sources.tables import kept
 
 EM, EN, NBSP, ZWSP, QUOTE, ROCKET, BOM = "\u2014", "\u2013", "\u00a0", "\u200b", "\u201d", "\U0001f680", "\ufeff"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,9 +470,11 @@ _HASH = "substr(sha256(regexp_replace(regexp_replace(substr(text, greatest(off -
 _KEYED = f"{_found(_files(), EM)}, keyed AS (SELECT file, off, {_HASH} AS context FROM found), ranked AS (SELECT file, off, context, CAST(row_number() OVER (PARTITION BY file, context ORDER BY off) - 1 AS INTEGER) AS ordinal FROM keyed)"
 
 
-def _em_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _em_findings(spark: SparkSession, sf_dir: str, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """again: the findings are read more than once, so the texts are scanned for a table."""
     files = docs(spark, sf_dir)
-    return files, scan(files, [EM_RULE], internal=True)
+    found = scan(files, [EM_RULE], internal=True)
+    return files, kept(found) if again else found
 
 
 @query(f"WITH {_KEYED} SELECT file, off AS \"offset\", context FROM ranked")
@@ -500,7 +503,7 @@ def _recorded(found: DataFrame, keep: str) -> DataFrame:
 
 @query(f"WITH {_KEYED} SELECT 'baselined' AS part, CAST(count(*) AS BIGINT) AS n FROM ranked WHERE off % 2 = 0 UNION ALL SELECT 'reported', count(*) FROM ranked WHERE off % 2 = 1 UNION ALL SELECT 'stale', 0")
 def baseline_partition_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, found = _em_findings(spark, sf_dir)
+    files, found = _em_findings(spark, sf_dir, again=True)
     parts = baseline.split(found, _recorded(found, "offset % 2 = 0"))
     counts = [df.agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, df in (("baselined", parts.baselined), ("reported", parts.reported), ("stale", parts.stale))]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -509,7 +512,7 @@ def baseline_partition_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_found(_files(), EM)}, n AS (SELECT file, off, row_number() OVER (PARTITION BY file ORDER BY off) AS k, count(*) FILTER (off % 2 = 0) OVER (PARTITION BY file) AS known FROM found) SELECT file, off AS \"offset\", k > known AS reported FROM n")
 def baseline_partition_count_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every context has changed: as many findings of a file are known as it has entries, the first ones."""
-    files, found = _em_findings(spark, sf_dir)
+    files, found = _em_findings(spark, sf_dir, again=True)
     old = _recorded(found, "offset % 2 = 0").withColumn("context", F.lit("gone"))
     parts = baseline.split(found, old)
     return parts.baselined.select("file", "offset", F.lit(False).alias("reported")).unionByName(parts.reported.select("file", "offset", F.lit(True).alias("reported")))
@@ -534,7 +537,7 @@ def baseline_scope_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KEYED} SELECT file, context, ordinal FROM ranked WHERE off % 2 = 0 OR NOT starts_with(file, 'docs/de/')")
 def baseline_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After a run over the German files that left every other finding there."""
-    files, found = _em_findings(spark, sf_dir)
+    files, found = _em_findings(spark, sf_dir, again=True)
     german = files.filter("file like 'docs/de/%'").select("file")
     kept = found.filter("file like 'docs/de/%' AND offset % 2 = 0")
     rest = baseline.keyed(found).filter("file like 'docs/de/%' AND offset % 2 = 0")
